@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivenry.llm import mixing, site_lines
+from scrivenry.llm import leaks, mixing, site_lines
 from scrivenry.llm.sql import SQL
 from scrivenry.sources import table
 
@@ -28,6 +28,14 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_site_lines(chunks, site_lines.site_lines(chunks))
 
 
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "evaluation_cases"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("item_id", "doc_id")
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     tokens = mixing.counted_once(table(spark, d, "documents"), targets)
@@ -42,5 +50,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_lines, p5_clean, p7_mixture, p7_report)
+    f.__name__: f for f in (p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
 }
