@@ -5,21 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scrivenry.llm import leaks, mixing, site_lines
+from scrivenry.llm import arrivals, leaks, mixing, site_lines
 from scrivenry.llm.sql import SQL
 from scrivenry.sources import table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = arrivals.duplicates(table(spark, d, "documents"))
+    return found.select(F.least("doc_id", "original_id").alias("doc_id_a"), F.greatest("doc_id", "original_id").alias("doc_id_b")).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     return site_lines.mark_site_lines(chunks, site_lines.site_lines(chunks))
 
 
 def p5_lines(spark: SparkSession, d: str) -> DataFrame:
-    found = site_lines.site_lines(table(spark, d, "chunks"))
+    chunks = table(spark, d, "chunks")
+    found = site_lines.wording(chunks, site_lines.site_lines(chunks))
     return found.select("source_id", site_lines.line_key(found["line"]).alias("letters"), "n_docs", "source_docs")
 
 
@@ -50,5 +57,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
+    f.__name__: f for f in (p2_found, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
 }

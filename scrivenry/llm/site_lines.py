@@ -15,6 +15,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from scrivenry.sources import materialize
 
@@ -28,15 +29,15 @@ def chunk_lines(chunks: DataFrame, min_letters: int = 20) -> DataFrame:
     """(chunk_id, doc_id, source_id, reading_order, line_no, line, key): a row per line; key is null below ``min_letters``."""
     lines = chunks.select("chunk_id", "doc_id", "source_id", "reading_order", F.posexplode(F.split("content", "\n", -1)).alias("at", "line"))
     key = line_key(F.col("line"))
-    # Two 64-bit hashes and the length stand for the key: fixed width in every shuffle. Few lines are shorter than 20 characters and need no regex.
+    # A 64-bit hash and the length stand for the letters: fixed width in every shuffle. Lines shorter than that need no regex.
     keyed = lines.withColumn("letters", F.when(F.length("line") >= min_letters, key))
     return keyed.select(
         "chunk_id", "doc_id", "source_id", "reading_order", (F.col("at") + 1).cast("long").alias("line_no"), "line",
-        F.when(F.length("letters") >= min_letters, F.struct(F.xxhash64("letters").alias("h"), F.hash(F.reverse("letters"), F.length("letters")).alias("g"))).alias("key"),
+        F.when(F.length("letters") >= min_letters, F.struct(F.xxhash64("letters").alias("h"), F.length("letters").alias("n"))).alias("key"),
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_tail(g: pd.Series) -> pd.Series:
     """P(chi-squared with one degree of freedom >= g)."""
     return g.map(lambda x: math.erfc(math.sqrt(max(x, 0.0) / 2)))
@@ -60,7 +61,7 @@ def _bh_threshold(tested: DataFrame, tests: Column, fdr: float) -> DataFrame:
 
 
 def site_lines(chunks: DataFrame, min_letters: int = 20, min_docs: int = 4, min_share: float = 0.07, fdr: float = 0.05) -> DataFrame:
-    """(source_id, key, line, n_docs, source_docs, share, llr): lines of a source that are in excess there.
+    """(source_id, key, n_docs, source_docs, share, llr): lines of a source that are in excess there.
 
     The outside of a source is every other source that doesn't itself repeat the line in
     ``min_share`` of its documents (else a notice shared by several sites would hide itself), and a
@@ -69,8 +70,8 @@ def site_lines(chunks: DataFrame, min_letters: int = 20, min_docs: int = 4, min_
     """
     permille = round(min_share * 1000)
     lines = chunk_lines(chunks, min_letters).filter(F.col("source_id").isNotNull() & F.col("doc_id").isNotNull() & F.col("key").isNotNull())
-    per_doc = lines.groupBy("source_id", "key", "doc_id").agg(F.min("line").alias("line"))
-    per_source = per_doc.groupBy("source_id", "key").agg(F.count("*").alias("n_docs"), F.min("line").alias("line"))
+    per_doc = lines.select("source_id", "key", "doc_id").distinct()
+    per_source = per_doc.groupBy("source_id", "key").agg(F.count("*").alias("n_docs"))
     sizes = chunks.filter(F.col("source_id").isNotNull()).groupBy("source_id").agg(F.countDistinct("doc_id").alias("source_docs"))
     totals = sizes.agg(F.sum("source_docs").alias("all_docs"), F.count("*").alias("sources"))
     repeated = F.col("n_docs") * 1000 >= F.col("source_docs") * permille
@@ -93,11 +94,11 @@ def site_lines(chunks: DataFrame, min_letters: int = 20, min_docs: int = 4, min_
             _term(k, n * F.col("p")) + _term(n - k, n * (1 - F.col("p"))) + _term(F.col("k2"), F.col("n2") * F.col("p")) + _term(F.col("n2") - F.col("k2"), F.col("n2") * (1 - F.col("p")))
         )).otherwise(0.0))
     )
-    tested = materialize(tested.select("source_id", "key", "line", "n_docs", "source_docs", "llr", "tests"), "site_line_tests")
+    tested = materialize(tested.select("source_id", "key", "n_docs", "source_docs", "llr", "tests"), "site_line_tests")
     least = _bh_threshold(tested, F.col("tests"), fdr)
     return (
         tested.crossJoin(F.broadcast(least)).filter((F.col("llr") >= F.col("least")) & repeated)
-        .select("source_id", "key", "line", "n_docs", "source_docs", (F.col("n_docs") / F.col("source_docs")).alias("share"), F.round("llr", 6).alias("llr"))
+        .select("source_id", "key", "n_docs", "source_docs", (F.col("n_docs") / F.col("source_docs")).alias("share"), F.round("llr", 6).alias("llr"))
     )
 
 
@@ -107,6 +108,13 @@ def mark_site_lines(chunks: DataFrame, found: DataFrame, min_letters: int = 20)
     return lines.join(found.select("source_id", "key"), ["source_id", "key"], "left_semi").select("chunk_id", "line_no").distinct()
 
 
+def wording(chunks: DataFrame, found: DataFrame, min_letters: int = 20) -> DataFrame:
+    """``found`` with a column ``line``: the least of the spellings in which each line occurs in its source."""
+    lines = chunk_lines(chunks, min_letters).filter("key is not null").select("source_id", "key", "line")
+    spelt = lines.join(found.select("source_id", "key"), ["source_id", "key"], "left_semi").groupBy("source_id", "key").agg(F.min("line").alias("line"))
+    return found.join(spelt, ["source_id", "key"])
+
+
 def without_site_lines(chunks: DataFrame, found: DataFrame, min_letters: int = 20) -> DataFrame:
     """(doc_id, text, n_removed): each document from its other lines, in reading order.
 
