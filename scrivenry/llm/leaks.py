@@ -161,7 +161,7 @@ def _verify(tests: _Tests, min_words: int, min_share: float):  # noqa: ANN202
                         if not _dense(a, b, int(d), int(least * min_share), least):
                             continue
                         span, matched = align(a, b, int(d))
-                        if span >= least - 2 and matched >= min_share * span:
+                        if matched - 1.5 * (span - matched) >= least and matched >= min_share * span:
                             out.append((pair["item_id"], doc_id, span, matched))
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "span", "matched"])
 
@@ -173,7 +173,9 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, min_share: flo
 
     The test set is taken in blocks of about ``block_items`` passages, whatever its size; what is
     sent to the tasks is bounded by the block. Two hits at least, together ``min_span`` words long,
-    must share a diagonal.
+    must share a diagonal. A stretch counts if its alignment scores as much as ``min_words``
+    undamaged words do (a shorter passage: as all its words) and ``min_share`` of it matches; stock
+    phrases that stand beside each other in both texts stay below.
     """
     spark = docs.sparkSession
     tests = items.select("item_id", "passage").filter("item_id is not null and length(passage) > 0").dropDuplicates(["item_id"])
