@@ -168,7 +168,7 @@ def _verify(tests: _Tests, min_words: int, min_share: float):  # noqa: ANN202
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, min_share: float = 0.8, min_span: int = 12, block_items: int = 10_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, min_share: float = 0.8, min_span: int = 16, block_items: int = 2_000) -> DataFrame:
     """(item_id, doc_id, span, matched): a row per pair; the longest verified stretch of the passage and its matching words.
 
     The test set is taken in blocks of about ``block_items`` passages, whatever its size; what is
@@ -193,6 +193,8 @@ def _leaks_of_block(spark, docs: DataFrame, passages: dict[int, str], min_words:
     shared = spark.sparkContext.broadcast(tests)
     hit = docs.mapInPandas(lambda parts: _hits(shared.value)(parts), "doc_id long, pos long, seed long")
     seeds = spark.createDataFrame(pd.DataFrame(tests.seeds, columns=["item_id", "at", "seed"]).astype("int64"), "item_id long, at long, seed long")
+    if len(tests.seeds) <= 2_000_000:  # sent along, a document's hits stay in its task and are counted there; else joined by shuffling
+        seeds = F.broadcast(seeds)
     diagonal = F.col("pos") - F.col("at")
     # Bins of 16 diagonals, each hit in two that overlap: hits up to 8 diagonals apart share one.
     bins = F.explode(F.array(F.floor(diagonal / 16) * 2, F.floor((diagonal + 8) / 16) * 2 + 1)).alias("bin")
