@@ -217,16 +217,19 @@ class AcceptedIndex:
         none is left.
         """
         at = Window.partitionBy("key").orderBy("doc_id")
-        shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+        counted = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = keys.join(counted, "key")
+        large = not counted.filter(F.col("n") > pivots).isEmpty()
         pairs = None
         while True:
-            shared = materialize(shared.select("key", "doc_id", "n"), "shared_keys")
+            if large:
+                shared = materialize(shared.select("key", "doc_id", "n"), "shared_keys")
             ranked = shared.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= pivots)
             pivot = ranked.select("key", F.col("doc_id").alias("old_id"))
             found = shared.join(pivot, "key").filter("old_id < doc_id").select("doc_id", "old_id").distinct()
             pairs = found if pairs is None else pairs.union(found).distinct()
             rest = shared.filter(F.col("n") > pivots)
-            if rest.isEmpty():
+            if not large or rest.isEmpty():
                 return pairs.withColumns({"old_batch": F.lit(None).cast("int"), "similarity": F.lit(None).cast("double")})
             shared = rest.join(pivot.withColumnRenamed("old_id", "doc_id"), ["key", "doc_id"], "left_anti").withColumn("n", F.col("n") - pivots)
 
@@ -243,7 +246,7 @@ class AcceptedIndex:
             repeats = materialize(best(open_.join(accepted, "old_id", "left_semi")), "repeats")
             done = done.unionByName(repeats)
             open_ = open_.join(repeats, "doc_id", "left_anti").join(repeats.select(F.col("doc_id").alias("old_id")), "old_id", "left_anti")
-        return materialize(done, "repeated")
+        return done
 
 
 def duplicates(docs: DataFrame, min_similarity: float = 0.5) -> DataFrame:
