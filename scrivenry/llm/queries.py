@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivenry.llm import arrivals, leaks, mixing, site_lines
+from scrivenry.llm import arrivals, canonical, leaks, mixing, site_lines
 from scrivenry.llm.sql import SQL
 from scrivenry.sources import table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def p1_mapped(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_citations(table(spark, d, "documents"), table(spark, d, "citator_entries"), table(spark, d, "authorities"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_mapped(spark, d).select("field", "record_id", "authority_id").distinct()
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return p1_mapped(spark, d).filter("authority_id = 0").groupBy("field", "value").agg(F.count("*").alias("n_rows"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     found = arrivals.duplicates(table(spark, d, "documents"))
     return found.select(F.least("doc_id", "original_id").alias("doc_id_a"), F.greatest("doc_id", "original_id").alias("doc_id_b")).distinct()
@@ -57,5 +69,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
+    f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p2_found, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
 }
