@@ -177,75 +177,88 @@ class AcceptedIndex:
             writer.mode("append").saveAsTable(name)
         self.empty = False
 
+    def close(self) -> None:
+        """Forget the names of the tables; their files stay."""
+        for part in ("bands", "codes"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
+
     def _table(self, part: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{part}")
 
+    @staticmethod
+    def _firsts(batch: DataFrame) -> DataFrame:
+        """(exact, doc_id, batch_no, codes, bands): the first of each set of exact copies, in the shared folder."""
+        first = batch.filter("size(codes) > 0").groupBy("exact").agg(F.min_by(F.struct("doc_id", "batch_no", "codes", "bands"), "doc_id").alias("x"))
+        return materialize(first.select("exact", "x.*"), "firsts")
+
     def accept_all(self, batch: DataFrame) -> None:
         """Take a batch as it is, unchecked (the history)."""
-        first = Window.partitionBy("exact").orderBy("doc_id")
-        self._append(batch.dropDuplicates(["doc_id"]).withColumn("at", F.row_number().over(first)).filter("at = 1 and size(codes) > 0").drop("at"))
+        self._append(self._firsts(batch))
 
     def arrive(self, batch: DataFrame) -> DataFrame:
         """(doc_id, original_id, similarity): the documents of the batch that repeat an accepted one; the others become accepted."""
-        batch = batch.dropDuplicates(["doc_id"]).filter("size(codes) > 0")
-        first = batch.groupBy("exact").agg(F.min("doc_id").alias("first_id"))
-        reps = batch.join(first, (batch["doc_id"] == first["first_id"])).drop(first["exact"]).drop("first_id")
+        reps = self._firsts(batch)
         keys = reps.select(F.explode("bands").alias("key"), "doc_id")
-        pairs = self._within(keys)
+        codes = reps.select("doc_id", "codes")
+        inner = self._within(keys).join(codes.toDF("old_id", "old_codes"), "old_id").join(codes, "doc_id")
+        links = inner.select("doc_id", "old_id", F.lit(None).cast("int").alias("old_batch"), _similarity("codes", "old_codes").alias("similarity"))
         if not self.empty:
-            known = keys.join(self._table("bands"), "key").select("doc_id", "old_id", "old_batch").distinct()
-            codes = reps.select("doc_id", "codes")
-            known = known.join(self._table("codes"), "old_id").join(codes, "doc_id").withColumn("similarity", _similarity("codes", "old_codes"))
-            pairs = pairs.unionByName(known.select("doc_id", "old_id", "old_batch", "similarity"))
-        own = reps.select(F.col("doc_id").alias("old_id"), F.col("codes").alias("old_codes"))
-        inner = pairs.filter("old_batch is null").drop("similarity").join(own, "old_id").join(reps.select("doc_id", "codes"), "doc_id")
-        inner = inner.withColumn("similarity", _similarity("codes", "old_codes")).select("doc_id", "old_id", "old_batch", "similarity")
-        links = materialize(pairs.filter("old_batch is not null").unionByName(inner).filter(F.col("similarity") >= self.min_similarity), "links")
+            known = self._table("bands").join(keys, "key").select("doc_id", "old_id", "old_batch").distinct()
+            known = self._table("codes").join(known, "old_id").join(codes, "doc_id")
+            links = links.unionByName(known.select("doc_id", "old_id", "old_batch", _similarity("codes", "old_codes").alias("similarity")))
+        links = materialize(links.filter(F.col("similarity") >= self.min_similarity), "links")
         repeated = self._decide(links)
-        originals = repeated.select(F.col("doc_id").alias("first_id"), "original_id", "similarity")
         self._append(reps.join(repeated, "doc_id", "left_anti"))
-        copies = batch.select("doc_id", "exact").join(first, "exact").join(originals, "first_id", "left")
+        first = reps.select("exact", F.col("doc_id").alias("first_id"))
+        originals = repeated.select(F.col("doc_id").alias("first_id"), "original_id", "similarity")
+        copies = batch.select("doc_id", "exact").distinct().join(first, "exact").join(originals, "first_id", "left")
         return copies.filter("doc_id <> first_id or original_id is not null").select(
             "doc_id", F.coalesce("original_id", "first_id").alias("original_id"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")
         )
 
     def _within(self, keys: DataFrame, pivots: int = 64) -> DataFrame:
-        """Pairs inside the batch that share a key, the earlier second.
+        """(doc_id, old_id): pairs inside the batch that share a key, the earlier second.
 
         Each key's first ``pivots`` documents are paired with all later ones, which is linear in
         the size of a key; keys with more documents are taken up again without those first, until
         none is left.
         """
-        at = Window.partitionBy("key").orderBy("doc_id")
-        counted = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = keys.join(counted, "key")
-        large = not counted.filter(F.col("n") > pivots).isEmpty()
+        whole = Window.partitionBy("key")
+        most = keys.groupBy("key").count().agg(F.max("count")).first()[0] or 0
         pairs = None
         while True:
-            if large:
-                shared = materialize(shared.select("key", "doc_id", "n"), "shared_keys")
-            ranked = shared.withColumn("at", F.row_number().over(at)).filter(F.col("at") <= pivots)
-            pivot = ranked.select("key", F.col("doc_id").alias("old_id"))
-            found = shared.join(pivot, "key").filter("old_id < doc_id").select("doc_id", "old_id").distinct()
+            ranked = keys.withColumns({"n": F.count("*").over(whole), "at": F.row_number().over(whole.orderBy("doc_id"))}).filter("n > 1")
+            if most > pivots:
+                ranked = materialize(ranked, "shared_keys")
+            pivot = ranked.filter(F.col("at") <= pivots).select("key", F.col("doc_id").alias("old_id"))
+            found = ranked.join(pivot, "key").filter("old_id < doc_id").select("doc_id", "old_id").distinct()
             pairs = found if pairs is None else pairs.union(found).distinct()
-            rest = shared.filter(F.col("n") > pivots)
-            if not large or rest.isEmpty():
-                return pairs.withColumns({"old_batch": F.lit(None).cast("int"), "similarity": F.lit(None).cast("double")})
-            shared = rest.join(pivot.withColumnRenamed("old_id", "doc_id"), ["key", "doc_id"], "left_anti").withColumn("n", F.col("n") - pivots)
+            most -= pivots
+            if most <= 1:
+                return pairs
+            keys = ranked.filter((F.col("n") > pivots) & (F.col("at") > pivots)).select("key", "doc_id")
 
     def _decide(self, links: DataFrame) -> DataFrame:
         """(doc_id, original_id, similarity): repeats of the accepted; a repeat is not accepted, so nothing repeats it in turn."""
         order = F.struct(F.coalesce("old_batch", F.lit(2**31 - 1)), "old_id")
-        best = lambda x: x.groupBy("doc_id").agg(F.min_by(F.struct("old_id", "similarity"), order).alias("o")).select("doc_id", F.col("o.old_id").alias("original_id"), F.col("o.similarity").alias("similarity"))
+
+        def best(x: DataFrame) -> DataFrame:
+            x = x.groupBy("doc_id").agg(F.min_by(F.struct("old_id", "similarity"), order).alias("o"))
+            return x.select("doc_id", F.col("o.old_id").alias("original_id"), F.col("o.similarity").alias("similarity"))
+
         done = best(links.filter("old_batch is not null"))
-        open_ = links.filter("old_batch is null").join(done, "doc_id", "left_anti").join(done.select(F.col("doc_id").alias("old_id")), "old_id", "left_anti")
+        open_ = links.filter("old_batch is null")
+        if open_.isEmpty():
+            return done
+        known = done.select("doc_id")
+        open_ = open_.join(known, "doc_id", "left_anti").join(known.toDF("old_id"), "old_id", "left_anti")
         while not open_.isEmpty():
             open_ = materialize(open_.select("doc_id", "old_id", "old_batch", "similarity"), "open_links")
             # Earlier ends that are no repeat's candidates themselves are accepted; whatever links to one is a repeat.
-            accepted = open_.select("old_id").distinct().join(open_.select(F.col("doc_id").alias("old_id")).distinct(), "old_id", "left_anti")
+            accepted = open_.select("old_id").distinct().join(open_.select("doc_id").distinct().toDF("old_id"), "old_id", "left_anti")
             repeats = materialize(best(open_.join(accepted, "old_id", "left_semi")), "repeats")
             done = done.unionByName(repeats)
-            open_ = open_.join(repeats, "doc_id", "left_anti").join(repeats.select(F.col("doc_id").alias("old_id")), "old_id", "left_anti")
+            open_ = open_.join(repeats.select("doc_id"), "doc_id", "left_anti").join(repeats.select("doc_id").toDF("old_id"), "old_id", "left_anti")
         return done
 
 
@@ -257,7 +270,10 @@ def duplicates(docs: DataFrame, min_similarity: float = 0.5) -> DataFrame:
     index = AcceptedIndex(spark, min_similarity)
     batches = sorted(r[0] for r in docs.filter("batch_no > 0").select("batch_no").distinct().collect())
     index.accept_all(read(0))
-    found = spark.createDataFrame([], "doc_id long, original_id long, similarity double")
+    out = f"{shared_dir(spark)}/scrivenry/repeats-{uuid.uuid4().hex}"
+    schema = "doc_id long, original_id long, similarity double"
+    spark.createDataFrame([], schema).write.parquet(out)
     for n in batches:
-        found = found.unionByName(materialize(index.arrive(read(n)), f"batch_{n}"))
-    return found
+        index.arrive(read(n)).write.mode("append").parquet(out)
+    index.close()
+    return spark.read.schema(schema).parquet(out)
