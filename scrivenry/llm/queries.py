@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivenry.llm import arrivals, canonical, leaks, mixing, site_lines
+from scrivenry.llm import arrivals, canonical, encoding, leaks, mixing, site_lines
 from scrivenry.llm.sql import SQL
 from scrivenry.sources import table
 
@@ -31,6 +31,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("doc_id", "original_id").alias("doc_id_a"), F.greatest("doc_id", "original_id").alias("doc_id_b")).distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.damaged_words(encoding.text_records(table(spark, d, "chunks"), table(spark, d, "documents"))).select("record_type", "record_id").distinct()
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    records = encoding.text_records(table(spark, d, "chunks"), table(spark, d, "documents"))
+    return encoding.restored_text(records, encoding.damaged_words(records))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     return site_lines.mark_site_lines(chunks, site_lines.site_lines(chunks))
@@ -69,5 +78,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p2_found, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
+    f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p2_found, p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
 }
