@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivenry.llm import arrivals, canonical, encoding, leaks, mixing, site_lines
+from scrivenry.llm import arrivals, canonical, encoding, leaks, mixing, scans, site_lines
 from scrivenry.llm.sql import SQL
 from scrivenry.sources import table
 
@@ -40,6 +40,10 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored_text(records, encoding.damaged_words(records))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Scan(table(spark, d, "chunks"), table(spark, d, "documents")).found()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     return site_lines.mark_site_lines(chunks, site_lines.site_lines(chunks))
@@ -78,5 +82,5 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p2_found, p3_found, p3_restored, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
+    f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p2_found, p3_found, p3_restored, p4_found, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
 }
