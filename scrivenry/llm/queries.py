@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivenry.llm import arrivals, canonical, encoding, leaks, mixing, scans, site_lines
+from scrivenry.llm import abuse, arrivals, canonical, encoding, leaks, mixing, scans, site_lines
 from scrivenry.llm.sql import SQL
 from scrivenry.sources import table
 
@@ -81,6 +81,18 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.mix(tokens, rates), rates)
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).filter("score >= 0.5").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, d), table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p2_found, p3_found, p3_restored, p4_found, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report)
+    f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p2_found, p3_found, p3_restored, p4_found, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report, p8_found, p8_scores, p8_rates)
 }
