@@ -33,10 +33,11 @@ from pyspark.sql.types import DoubleType
 from scrivenry.llm.site_lines import site_lines
 from scrivenry.sources import materialize, shared_dir
 
-SHINGLE, BANDS, ROWS = 5, 40, 4
+SHINGLE, BANDS, ROWS = 5, 32, 5
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
-_BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬­][ \t]*\n\s*(?=[^\W\d_])")
+_MARKS = re.compile("[\u0300-\u036f]+")
+_HYPHENS = frozenset("-‐¬\u00ad")
 _NUMBER_LINE = re.compile(r"[\W_]*(?:[^\W\d_]{1,6}[\W_]*)?(?:\d{1,4}|[ivxlc]{1,8})[\W_]*(?:(?:[^\W\d_]{1,4}|/)[\W_]*\d{1,4}[\W_]*)?")
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -44,31 +45,43 @@ _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MIX = _rng.integers(1, 2**62, max(SHINGLE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def plain_words(text: str, site: frozenset[int] = frozenset()) -> list[str]:
-    """The words of a text that count in a comparison; ``site`` holds the hashes of the lines of its site."""
+def folded(text: str) -> str:
+    """Lower case, without accents and other Unicode forms."""
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
         if not text.isascii():
-            text = "".join(c for c in text if not unicodedata.combining(c))
-    lines = text.split("\n")
-    if len(lines) > 1:
-        text = "\n".join(x for x in lines if len(x) > 24 or not _NUMBER_LINE.fullmatch(x))
-        text = _BREAK.sub("", text)
-    return _WORD.findall(text)
-
-
-def _without_site(text: str, site: frozenset[int]) -> str:
-    if not site:
-        return text
-    keep = []
+            text = _MARKS.sub("", text)
+    return text
+
+
+def plain_words(text: str, site: frozenset[int] = frozenset()) -> list[str]:
+    """The words of a text that count in a comparison; ``site`` holds the hashes of the lines of its site.
+
+    A line is looked up in ``site`` by the letters it has before accents are taken off, as the lines were counted.
+    """
+    out: list[str] = []
+    broken = False
     for line in text.split("\n"):
-        if 20 <= len(line) <= 400:
-            letters = _DIGITS.sub("", "".join(_WORD.findall(line.lower())))
+        n = len(line)
+        if n <= 24 and _NUMBER_LINE.fullmatch(line):
+            continue
+        low = line.lower()
+        words = _WORD.findall(low)
+        if site and 20 <= n <= 300:
+            letters = _DIGITS.sub("", "".join(words))
             if len(letters) >= 20 and xxhash.xxh64_intdigest(letters.encode(), seed=42) in site:
                 continue
-        keep.append(line)
-    return "\n".join(keep)
+        if not low.isascii():
+            words = _WORD.findall(folded(low))
+        if not words:
+            continue
+        if broken and words[0].isalpha():
+            out[-1] += words.pop(0)
+        out += words
+        end = low.rstrip()[-1:]
+        broken = end in _HYPHENS and out[-1].isalpha()
+    return out
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
@@ -106,19 +119,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+class _Codes(dict):
+    """The code of each word, worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = c = zlib.crc32(word.encode()) & 0x7FFFFFFF
+        return c
+
+
 def _features(site: dict[str, frozenset[int]]):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code: dict[str, int] = {}
+        code = _Codes()
         for p in parts:
             codes = []
             for source, text in zip(p["source_id"], p["text"]):
-                words = plain_words(_without_site(text, site.get(source, frozenset())))
                 if len(code) > 500_000:
                     code.clear()
-                for w in words:
-                    if w not in code:
-                        code[w] = zlib.crc32(w.encode()) & 0x7FFFFFFF
-                codes.append(np.fromiter((code[w] for w in words), np.int32, len(words)))
+                codes.append(np.array([code[w] for w in plain_words(text, site.get(source, frozenset()))], np.int32))
             yield pd.DataFrame({
                 "doc_id": p["doc_id"], "batch_no": p["batch_no"], "codes": codes,
                 "exact": [xxhash.xxh64_intdigest(c.tobytes()) - 2**63 for c in codes],
@@ -138,7 +155,13 @@ def landed(docs: DataFrame, most_site_lines: int = 1_000_000) -> str:
     there are at most some tens per source, and over ``most_site_lines`` it is an error.
     """
     spark = docs.sparkSession
-    own = docs.filter("doc_id is not null").select("doc_id", F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "source_id", F.coalesce("text", F.lit("")).alias("text"))
+    # An id delivered twice: its first batch counts; only ids are counted, and nothing more is done where all are unique.
+    docs = docs.filter("doc_id is not null")
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not twice.isEmpty():
+        at = Window.partitionBy("doc_id").orderBy(F.col("batch_no").asc_nulls_first(), F.xxhash64("text"))
+        docs = docs.withColumn("_at", F.row_number().over(at)).filter("_at = 1").drop("_at")
+    own = docs.select("doc_id", F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "source_id", F.coalesce("text", F.lit("")).alias("text"))
     history = own.filter("batch_no = 0").select(F.col("doc_id").alias("chunk_id"), "doc_id", "source_id", F.lit(0).alias("reading_order"), F.col("text").alias("content"))
     found = site_lines(history).select("source_id", F.col("key.h").alias("h")).limit(most_site_lines + 1).collect()
     if len(found) > most_site_lines:
@@ -186,18 +209,25 @@ class AcceptedIndex:
         return self.spark.table(f"{self.name}_{part}")
 
     @staticmethod
-    def _firsts(batch: DataFrame) -> DataFrame:
-        """(exact, doc_id, batch_no, codes, bands): the first of each set of exact copies, in the shared folder."""
-        first = batch.filter("size(codes) > 0").groupBy("exact").agg(F.min_by(F.struct("doc_id", "batch_no", "codes", "bands"), "doc_id").alias("x"))
-        return materialize(first.select("exact", "x.*"), "firsts")
+    def _firsts(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The batch without copies, and (doc_id, first_id) of the copies; only hashes and ids are shuffled.
+
+        Few copies are left out by a broadcast; where they are many their table is too large for
+        one, and the rows are shuffled by id.
+        """
+        batch = batch.filter("size(codes) > 0")
+        first = F.min("doc_id").over(Window.partitionBy("exact"))
+        copies = batch.select("doc_id", "exact").withColumn("first_id", first).filter("doc_id <> first_id").select("doc_id", "first_id").distinct()
+        copies = materialize(copies, "copies")
+        return batch.join(copies, "doc_id", "left_anti"), copies
 
     def accept_all(self, batch: DataFrame) -> None:
         """Take a batch as it is, unchecked (the history)."""
-        self._append(self._firsts(batch))
+        self._append(self._firsts(batch)[0])
 
     def arrive(self, batch: DataFrame) -> DataFrame:
         """(doc_id, original_id, similarity): the documents of the batch that repeat an accepted one; the others become accepted."""
-        reps = self._firsts(batch)
+        reps, copies = self._firsts(batch)
         keys = reps.select(F.explode("bands").alias("key"), "doc_id")
         codes = reps.select("doc_id", "codes")
         inner = self._within(keys).join(codes.toDF("old_id", "old_codes"), "old_id").join(codes, "doc_id")
@@ -209,12 +239,11 @@ class AcceptedIndex:
         links = materialize(links.filter(F.col("similarity") >= self.min_similarity), "links")
         repeated = self._decide(links)
         self._append(reps.join(repeated, "doc_id", "left_anti"))
-        first = reps.select("exact", F.col("doc_id").alias("first_id"))
         originals = repeated.select(F.col("doc_id").alias("first_id"), "original_id", "similarity")
-        copies = batch.select("doc_id", "exact").distinct().join(first, "exact").join(originals, "first_id", "left")
-        return copies.filter("doc_id <> first_id or original_id is not null").select(
+        of_copies = copies.join(originals, "first_id", "left").select(
             "doc_id", F.coalesce("original_id", "first_id").alias("original_id"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")
         )
+        return repeated.unionByName(of_copies)
 
     def _within(self, keys: DataFrame, pivots: int = 64) -> DataFrame:
         """(doc_id, old_id): pairs inside the batch that share a key, the earlier second.
