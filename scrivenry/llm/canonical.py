@@ -1,8 +1,8 @@
 """Freely typed citations mapped to a canonical list.
 
 Distinct values are normalised, candidates of the same jurisdiction come from an inverted index of
-character trigrams (padded words, so that their order doesn't matter), are scored by the cosine of
-inverse-document-frequency weights, and those above a threshold and near the best are checked: a
+character trigrams (padded words, so that their order doesn't matter) and whole numbers, are scored
+by a weighted cosine, and those above a threshold and near the best are checked: a
 value that gives numbers must give those of the authority, a title must agree word by word with
 slips allowed. The best of those checked is accepted if the next is a margin away.
 
@@ -71,12 +71,16 @@ def tokens_of(text: str) -> list[str]:
 
 
 def grams(tokens: list[str]) -> list[str]:
-    """Distinct trigrams of the padded words that name something."""
+    """Distinct features of what names something: padded trigrams of words, short words also as a bag of letters (for exchanged letters), numbers whole."""
     out = set()
     for t in tokens:
-        if t not in FILLERS and t not in PINPOINTS:
+        if t.isdigit():
+            out.add(f"#{t}")
+        elif t not in FILLERS and t not in PINPOINTS:
             p = f"^{t}$"
             out.update(p[i : i + 3] for i in range(max(1, len(p) - 2)))
+            if 3 <= len(t) <= 5:
+                out.add("=" + "".join(sorted(t)))
     return sorted(out)
 
 
@@ -198,28 +202,36 @@ def _check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["vid", "authority_id", "score", "by_citation", "slips"])
 
 
-def map_values(values: DataFrame, authorities: DataFrame, threshold: float = 0.12, near: float = 0.5, margin: float = 1e-6) -> DataFrame:
+def map_values(values: DataFrame, authorities: DataFrame, threshold: float = 0.15, near: float = 0.5, margin: float = 1e-6, common: float = 8.0) -> DataFrame:
     """(jurisdiction, value, authority_id, score): the authority each distinct value names in its jurisdiction, or 0.
 
-    ``values``: (jurisdiction, value). Candidates below ``threshold`` or below ``near`` times the
+    ``values``: (jurisdiction, value). A feature weighs the square of its inverse document
+    frequency in the jurisdiction, and nothing if over one entry in ``common`` has it. Candidates below ``threshold`` or below ``near`` times the
     best score of their value are left; of the agreeing ones those by citation go before those by
     title, fewer slips before more, and equals within ``margin`` of score give 0.
     """
     listed = authorities.select("authority_id", F.col("jurisdiction_code").alias("jurisdiction"), "citation", "title", "court_code", "court", "issued_year").filter("authority_id is not null and citation is not null")
     distinct = values.select("jurisdiction", "value").distinct().withColumn("vid", F.xxhash64("jurisdiction", "value"))
     prepared = materialize(distinct.mapInPandas(_prepare, "jurisdiction string, value string, vid long, grams array<string>"), "values")
-    text = F.concat_ws(" ", "citation", "title", "court").alias("value")
-    forms = listed.select("jurisdiction", text, F.col("authority_id").alias("vid")).mapInPandas(_prepare, "jurisdiction string, value string, vid long, grams array<string>")
-    postings = materialize(forms.select("jurisdiction", F.col("vid").alias("authority_id"), F.explode("grams").alias("gram")), "postings")
-    total = postings.groupBy("jurisdiction").agg(F.countDistinct("authority_id").alias("total"))
-    weight = postings.groupBy("jurisdiction", "gram").agg(F.count("*").alias("df")).join(total, "jurisdiction").select("jurisdiction", "gram", F.log1p(F.col("total") / F.col("df")).alias("w"))
-    weighted = postings.join(weight, ["jurisdiction", "gram"])
-    lengths = weighted.groupBy("authority_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    # Two forms of each entry, so that a citation isn't measured against the words of a title. A form is (authority, number of the form).
+    forms = listed.select("jurisdiction", F.explode(F.array(F.struct((F.col("authority_id") * 2).alias("vid"), F.concat_ws(" ", "citation", "court").alias("value")), F.struct((F.col("authority_id") * 2 + 1).alias("vid"), F.coalesce("title", F.lit("")).alias("value")))).alias("x"))
+    forms = forms.select("jurisdiction", "x.value", "x.vid").mapInPandas(_prepare, "jurisdiction string, value string, vid long, grams array<string>")
+    postings = materialize(forms.select("jurisdiction", F.col("vid").alias("form_id"), F.explode("grams").alias("gram")), "postings")
+    total = postings.groupBy("jurisdiction").agg((F.countDistinct("form_id") / 2).alias("total"))
+    rarity = F.log1p(F.col("total") / F.col("df"))
+    weight = postings.groupBy("jurisdiction", "gram").agg(F.count("*").alias("df")).join(total, "jurisdiction")
+    weight = weight.select("jurisdiction", "gram", F.when(F.col("df") * common > F.col("total"), 0.0).otherwise(rarity * rarity).alias("w"))
+    weight = materialize(weight, "gram_weights")
+    weighted = postings.join(weight, ["jurisdiction", "gram"]).filter("w > 0")
+    lengths = weighted.groupBy("form_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    weighted = materialize(weighted.join(lengths, "form_id").select("jurisdiction", "gram", "form_id", "w", (F.col("w") / F.col("length")).alias("part")), "weighted_postings")
     asked = prepared.select("jurisdiction", "vid", F.explode("grams").alias("gram"))
-    unseen = F.log1p(F.col("total") * 2)
-    own_length = asked.join(weight, ["jurisdiction", "gram"], "left").join(total, "jurisdiction").groupBy("vid").agg(F.sqrt(F.sum(F.coalesce(F.col("w"), unseen) * F.coalesce(F.col("w"), unseen))).alias("own_length"))
-    shared = asked.join(weighted, ["jurisdiction", "gram"]).groupBy("vid", "authority_id").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    scored = shared.join(lengths, "authority_id").join(own_length, "vid").withColumn("score", F.col("dot") / (F.col("length") * F.col("own_length"))).filter(F.col("score") >= threshold).select("vid", "authority_id", "score")
+    unseen = F.pow(F.log1p(F.col("total") / 10), 2)
+    w = F.coalesce(F.col("w"), unseen)
+    own_length = asked.join(weight, ["jurisdiction", "gram"], "left").join(F.broadcast(total), "jurisdiction").groupBy("vid").agg(F.sqrt(F.sum(w * w)).alias("own_length"))
+    shared = asked.join(weighted, ["jurisdiction", "gram"]).groupBy("vid", "form_id").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
+    scored = shared.join(own_length, "vid").withColumn("score", F.col("dot") / F.col("own_length")).filter(F.col("score") >= threshold)
+    scored = scored.groupBy("vid", F.floor(F.col("form_id") / 2).alias("authority_id")).agg(F.max("score").alias("score"))
     scored = materialize(scored, "scored")
     best = scored.groupBy("vid").agg(F.max("score").alias("best"))
     close = scored.join(best, "vid").filter(F.col("score") >= near * F.col("best")).join(listed.drop("jurisdiction"), "authority_id").join(prepared.select("vid", "value"), "vid")
