@@ -46,7 +46,7 @@ SECOND_PERSON = frozenset("you your yours yourself tu toi ton ta tes te vous vot
 _KIND = {w: k for k, words in enumerate(LEXICON.values()) for w in words}
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$!][^\W_*@$!]*)*[^\W_]|[^\W_]+")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬­][ \t]*\n\s*(?=[^\W\d_])")
-_APART = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _STARS = re.compile(r"\*+")
@@ -62,38 +62,61 @@ def plain(text: str) -> str:
     if "\n" in text:
         text = _BREAK.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
-    return _APART.sub(lambda m: m.group().replace(" ", ""), text)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return text
 
 
 def undisguised(token: str) -> str:
     """A word with digits and signs for letters, or letters drawn out, as it was meant; stars stay."""
-    if token.isalpha():
-        return _REPEAT.sub(r"\1", token) if len(token) > 3 else token
+    if len(token) < 4 and token.isalpha():
+        return token
     if token.isdigit():
         return "0"
-    return _REPEAT.sub(r"\1", token.translate(_LEET))
+    return _REPEAT.sub(r"\1", token if token.isalpha() else token.translate(_LEET))
 
 
-class Lexicon:
-    """The fixed list and learned weights; words with stars are looked up by their ends and length."""
+class Lexicon(dict):
+    """The fixed list and learned weights. As a dict: each token as it was meant, worked out once; stars are looked up by ends and length."""
 
     def __init__(self, learned: dict[str, tuple[float, float, float]]) -> None:
+        super().__init__()
         self.learned = learned
+        self.single = {w: x[2] for w, x in learned.items() if " " not in w}
+        self.double = {tuple(g.split(" ")): x[2] for g, x in learned.items() if " " in g}
         self.masked: dict[tuple[str, str, int], str] = {}
-        for w in [*_KIND, *(g for g in learned if " " not in g)]:
+        for w in [*_KIND, *self.single]:
             self.masked.setdefault((w[0], w[-1], len(w)), w)
 
-    def words(self, text: str) -> tuple[list[str], list[bool]]:
-        words, changed = [], []
-        for t in _TOKEN.findall(plain(text)):
-            w = t if t.isalpha() and t.isascii() and len(t) < 4 else undisguised(t)
-            if "*" in w:
-                w = self.masked.get((w[0], w[-1], len(w)), w)
-            words.append(w)
-            changed.append(w != t and not t.isdigit())
-        return words, changed
+    def __missing__(self, token: str) -> str:
+        w = undisguised(token)
+        if "*" in w:
+            w = self.masked.get((w[0], w[-1], len(w)), w)
+        self[token] = w
+        return w
+
+    def words(self, text: str) -> tuple[list[str], list[str]]:
+        """(words as they were meant, tokens as they stand); letters set apart are one word."""
+        if len(self) > 500_000:
+            self.clear()
+        tokens = _TOKEN.findall(plain(text))
+        if max(map(len, tokens), default=2) > 1 and sum(1 for t in tokens if len(t) == 1) > 2:
+            tokens = _joined(tokens)
+        return [self[t] for t in tokens], tokens
+
+
+def _joined(tokens: list[str]) -> list[str]:
+    """Runs of three and more single letters made one token."""
+    out: list[str] = []
+    run: list[str] = []
+    for t in [*tokens, ""]:
+        if len(t) == 1 and t.isalpha():
+            run.append(t)
+            continue
+        out += ["".join(run)] if len(run) > 2 else run
+        run = []
+        if t:
+            out.append(t)
+    return out
 
 
 def grams(words: list[str]) -> set[str]:
@@ -102,51 +125,60 @@ def grams(words: list[str]) -> set[str]:
 
 def describe(text: str, lexicon: Lexicon, label: int | None, sizes: tuple[float, float]) -> list[float]:
     """The features of a text. With a label its own part in the learned weights is taken out, so that training sees what others taught."""
-    words, changed = lexicon.words(text)
+    words, tokens = lexicon.words(text)
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    learned = np.zeros(n)
+    if label is None:
+        single, double = lexicon.single.get, lexicon.double.get
+        learned = np.array([single(w, 0.0) for w in words])
+        learned[1:] += [double(g, 0.0) for g in zip(words, words[1:])]
+    else:
+        own = lambda g: _weight(x[0] - (label == 1), x[1] - (label == 0), *sizes) if (x := lexicon.learned.get(g)) else 0.0
+        learned = np.array([own(w) + own(f"{v} {w}") for v, w in zip(["", *words], words)])
+    listed_at = [(i, _KIND[w]) for i, w in enumerate(words) if w in _KIND]
+    size = math.log1p(n)
+    if not listed_at and not learned.any():
+        return [0.0] * (len(FEATURES) - 1) + [size]
     kinds = np.zeros((4, n))
-    get, kind = lexicon.learned.get, _KIND.get
-    before = ""
-    for i, w in enumerate(words):
-        for g in (w, f"{before} {w}"):
-            if (x := get(g)) is not None:
-                learned[i] += _weight(x[0] - (label == 1), x[1] - (label == 0), *sizes) if label is not None else x[2]
-        if (k := kind(w)) is not None:
-            kinds[k, i] = 1.0
-        before = w
-    wide = np.convolve(learned, np.ones(2 * WINDOW))
-    peak = np.convolve(learned, np.ones(WINDOW))
-    by_kind = [np.convolve(k, np.ones(WINDOW)).max() for k in kinds]
+    for i, k in listed_at:
+        kinds[k, i] = 1.0
+    by_kind = [_sums(k, WINDOW).max() if k.any() else 0.0 for k in kinds]
     listed = kinds.sum(axis=0)
-    list_peak = np.convolve(listed, np.ones(WINDOW))
-    total = np.convolve(np.minimum(learned, 6) + 2 * listed, np.ones(WINDOW))
-    at = int(total.argmax())
-    lo, hi = max(0, at - WINDOW), min(n, at + WINDOW)
-    second = near = 0
-    disguised = sum(c for c, x, y in zip(changed, learned, listed) if c and (x > 0 or y > 0))
-    spelt = _TOKEN.findall(text) if total[at] > 2 else []
-    capitals = exclaimed = quoted = 0.0
-    if spelt:
-        second = [i for i in range(max(0, lo - 4), min(n, hi + 4)) if words[i] in SECOND_PERSON]
-        near = sum(1 for i in range(lo, hi) if listed[i] and any(abs(i - j) <= 5 for j in second))
+    peak = _sums(learned, WINDOW)
+    total = _sums(np.minimum(learned, 6) + 2 * listed, WINDOW)
+    lo = int(total.argmax())
+    hi = min(n, lo + WINDOW)
+    near = capitals = exclaimed = quoted = disguised = stretched = 0.0
+    if total[lo] > 2:
+        second = [i for i in range(max(0, lo - 5), min(n, hi + 5)) if words[i] in SECOND_PERSON]
+        near = float(sum(1 for i in range(lo, hi) if (listed[i] or learned[i] > 0) and any(abs(i - j) <= 5 for j in second)))
+        # The passage as it stands: from the first of its tokens that can be found in the text again.
+        spelt = _TOKEN.findall(text)
         share = spelt[round(lo * len(spelt) / n) : round(hi * len(spelt) / n)]
         capitals = sum(x.isupper() and len(x) > 2 for x in share) / max(1, len(share))
-        a, b = len(text) * lo // n, len(text) * hi // n
-        span = text[max(0, a - 40) : b + 40]
-        exclaimed, quoted = span.count("!"), sum(span.count(q) for q in "\"“”«»")
+        span = text[max(0, len(text) * lo // n - 40) : len(text) * hi // n + 40]
+        exclaimed, quoted = float(span.count("!")), float(sum(span.count(q) for q in "\"“”«»"))
+        changed = [t for t, w, x, y in zip(tokens, words, learned, listed) if (x > 0 or y > 0) and t != w and not t.isdigit()]
+        disguised = float(len(changed))
+        stretched = float(sum(1 for t in changed if _REPEAT.search(t)))
     return [
-        peak.max(), wide.max(), learned.sum(), float((peak > 4).sum()), *by_kind, list_peak.max(), listed.sum(),
-        near, capitals, exclaimed, quoted, disguised, float(sum(1 for m in _REPEAT.finditer(text))), math.log1p(n),
+        peak.max(), _sums(learned, 2 * WINDOW).max(), learned.sum(), float((peak > 4).sum()), *by_kind, _sums(listed, WINDOW).max(), listed.sum(),
+        near, capitals, exclaimed, quoted, disguised, stretched, size,
     ]
 
 
+def _sums(x: np.ndarray, window: int) -> np.ndarray:
+    """Sums over all windows; one of the whole where it is shorter."""
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    return total[window:] - total[:-window] if len(x) >= window else total[-1:]
+
+
 def _weight(a: float, b: float, pos: float, neg: float) -> float:
     """How much more often a gram stands in abusive texts than in others, in logs; 0 if too rare to say."""
     if a < 2:
         return 0.0
+    b = max(b, 0.0)  # a word with stars was looked up, not counted
     w = math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))
     return min(w, 6.0) if w > 1.5 else 0.0
 

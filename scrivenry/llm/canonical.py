@@ -206,7 +206,7 @@ def map_values(values: DataFrame, authorities: DataFrame, threshold: float = 0.1
     """(jurisdiction, value, authority_id, score): the authority each distinct value names in its jurisdiction, or 0.
 
     ``values``: (jurisdiction, value). A feature weighs the square of its inverse document
-    frequency in the jurisdiction, and nothing if over one entry in ``common`` has it. Candidates below ``threshold`` or below ``near`` times the
+    frequency in the jurisdiction, and nothing if over one entry in ``common`` (and three at least) has it. Candidates below ``threshold`` or below ``near`` times the
     best score of their value are left; of the agreeing ones those by citation go before those by
     title, fewer slips before more, and equals within ``margin`` of score give 0.
     """
@@ -220,7 +220,7 @@ def map_values(values: DataFrame, authorities: DataFrame, threshold: float = 0.1
     total = postings.groupBy("jurisdiction").agg((F.countDistinct("form_id") / 2).alias("total"))
     rarity = F.log1p(F.col("total") / F.col("df"))
     weight = postings.groupBy("jurisdiction", "gram").agg(F.count("*").alias("df")).join(total, "jurisdiction")
-    weight = weight.select("jurisdiction", "gram", F.when(F.col("df") * common > F.col("total"), 0.0).otherwise(rarity * rarity).alias("w"))
+    weight = weight.select("jurisdiction", "gram", F.when(F.col("df") > F.greatest(F.lit(3), F.col("total") / common), 0.0).otherwise(rarity * rarity).alias("w"))
     weight = materialize(weight, "gram_weights")
     weighted = postings.join(weight, ["jurisdiction", "gram"]).filter("w > 0")
     lengths = weighted.groupBy("form_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
