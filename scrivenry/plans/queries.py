@@ -360,7 +360,7 @@ def workflow_edges(spark: SparkSession, d: str) -> DataFrame:
 @query
 def table_text(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem")
-    cells = line.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("c"), F.col("l_returnflag").alias("v")), F.struct(F.lit(2).alias("c"), F.col("l_linestatus").alias("v")), F.struct(F.lit(3).alias("c"), F.col("l_partkey").cast("string").alias("v")))).alias("x")).select("l_orderkey", "row", "x.c", "x.v")
+    cells = line.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("c"), F.col("l_returnflag").alias("v")), F.struct(F.lit(2).alias("c"), F.col("l_linestatus").alias("v")), F.struct(F.lit(3).alias("c"), F.col("l_partkey").cast("string").alias("v")))).alias("x")).select("l_orderkey", "row", "x.c", "x.v")
     return relations.table_text(cells, "l_orderkey", "row", "c", "v")
 
 

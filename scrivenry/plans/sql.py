@@ -206,8 +206,8 @@ SQL: dict[str, str] = {
         SELECT user_id, count(*) AS n_items, min(item_id) AS first_item, max(item_id) AS last_item FROM i JOIN m USING (org_id) LEFT JOIN (SELECT *, true AS granted FROM g) g USING (user_id, item_id)
         WHERE NOT restricted OR creator = user_id OR granted GROUP BY 1""",
     "workflow_edges": """SELECT l_orderkey, source, target FROM (SELECT l_orderkey, l_linenumber::BIGINT AS source, lead(l_linenumber::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS target FROM lineitem) WHERE target IS NOT NULL""",
-    "table_text": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_filter([l_returnflag, l_linestatus, l_partkey::VARCHAR], lambda x: trim(x) <> ''), chr(9)) AS line FROM lineitem)
-        SELECT l_orderkey, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS content FROM r GROUP BY 1""",
+    "table_text": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, array_to_string(list_filter([l_returnflag, l_linestatus, l_partkey::VARCHAR], lambda x: trim(x) <> ''), chr(9)) AS line FROM lineitem)
+        SELECT l_orderkey, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS content FROM r GROUP BY 1""",
     "jurisdiction_levels": """WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
         t AS (SELECT 'r' || r_regionkey AS node, 0::BIGINT AS level FROM region UNION ALL SELECT e.node, t.level + 1 FROM e JOIN t ON e.parent = t.node) SELECT level, count(*) AS nodes FROM t GROUP BY 1""",
     "organization_list": """WITH o AS (SELECT o_custkey, count(*) AS matters, sum((o_orderstatus = 'F')::BIGINT)::BIGINT AS done FROM orders GROUP BY 1)
