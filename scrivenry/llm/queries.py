@@ -44,6 +44,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.Scan(table(spark, d, "chunks"), table(spark, d, "documents")).found()
 
 
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return scans.Scan(table(spark, d, "chunks"), table(spark, d, "documents")).paragraphs()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     return site_lines.mark_site_lines(chunks, site_lines.site_lines(chunks))
@@ -94,5 +98,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p2_found, p3_found, p3_restored, p4_found, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_mapped, p1_unmatched, p2_found, p3_found, p3_restored, p4_found, p4_clean, p5_found, p5_lines, p5_clean, p6_found, p6_leaks, p7_mixture, p7_report, p8_found, p8_scores, p8_rates)
 }

@@ -144,7 +144,8 @@ def _features(bits: np.ndarray):  # noqa: ANN202
             rows = []
             for chunk_id, doc_id, order, page, text in zip(p["chunk_id"], p["doc_id"], p["reading_order"], p["page_number"], p["content"]):
                 low = text.lower()
-                rare = [w for w in set(_WORD.findall(low)) if suspect(w)]
+                found = _WORD.findall(low)
+                rare = list({(w, found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else "") for i, w in enumerate(found) if suspect(w)})
                 apart = [m.group().replace(" ", "") for m in _APART.finditer(text) if not m.group().isupper()] if "  " in text or " " in text else []
                 breaks = [(a.lower(), m, b.lower()) for a, m, b in _BREAK.findall(text) if b[0].islower()] if "\n" in text else []
                 lines = [x for x in text.split("\n") if x.strip()]
@@ -157,7 +158,7 @@ def _features(bits: np.ndarray):  # noqa: ANN202
 
 _FEATURES = (
     "chunk_id long, doc_id long, reading_order double, page_number long, top array<string>, bottom array<string>, "
-    "rare array<string>, apart array<string>, breaks array<struct<a: string, mark: string, b: string>>"
+    "rare array<struct<word: string, before: string, after: string>>, apart array<string>, breaks array<struct<a: string, mark: string, b: string>>"
 )
 
 
@@ -166,11 +167,62 @@ def _head_key(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
 
 
+def _pairs(bits: np.ndarray):  # noqa: ANN202
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        verdict: dict[str, bool] = {}
+
+        def wanted(w: str) -> bool:
+            if w not in verdict:
+                if len(verdict) > 500_000:
+                    verdict.clear()
+                s = zlib.crc32(w.encode()) & ((1 << _BITS) - 1)
+                verdict[w] = bool(bits[s >> 3] >> (s & 7) & 1)
+            return verdict[w]
+
+        for p in parts:
+            seen: Counter[tuple[str, str]] = Counter()
+            for t in p["content"]:
+                w = _WORD.findall(t.lower())
+                good = [wanted(x) for x in w]
+                seen.update((a, b) for a, b, g, h in zip(w, w[1:], good, good[1:]) if g or h)
+            rows = [(a, b, n) for (a, b), n in seen.items()]
+            yield pd.DataFrame(rows, columns=["a", "b", "n"]).astype({"n": "int64"})
+
+    return run
+
+
+def _repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunk texts without furniture lines, with misread words replaced and divided words joined."""
+    for p in parts:
+        out = []
+        for text, head, foot, repairs, apart, joins in zip(p["content"], p["head"], p["foot"], p["repairs"], p["apart"], p["joins"]):
+            lines = text.split("\n")
+            full = [i for i, x in enumerate(lines) if x.strip()]
+            gone = ({full[0]} if head and full else set()) | ({full[-1]} if foot and full else set())
+            text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+            for letters in apart if apart is not None else ():
+                text = text.replace(" ".join(letters), letters)
+            if repairs is not None and len(repairs):
+                new = dict(repairs)
+
+                def put(m: re.Match[str], new: dict[str, str] = new) -> str:
+                    w = new.get(m.group().lower())
+                    return m.group() if w is None else w.capitalize() if m.group()[0].isupper() else w
+
+                text = _WORD.sub(put, text)
+            if joins is not None and len(joins):
+                known = {(j["a"], j["b"]) for j in joins}
+                text = _BREAK.sub(lambda m: m.group(1) + m.group(3) if (m.group(1).lower(), m.group(3).lower()) in known else m.group(), text)  # noqa: B023
+            out.append(text)
+        yield p[["chunk_id", "doc_id", "reading_order", "open_break"]].assign(text=out)
+
+
 class Scan:
     """What was found in the chunks; each part is a table in the shared folder."""
 
     def __init__(self, chunks: DataFrame, documents: DataFrame) -> None:
         spark = chunks.sparkSession
+        self.chunks = chunks
         self.words = materialize(lexicon(chunks), "word_counts")
         self.misread = materialize(misreadings(self.words), "misreadings")
         shared = spark.sparkContext.broadcast(_bitmap(self.misread.select("word").distinct()))
@@ -223,7 +275,7 @@ class Scan:
         """(chunk_id, word, printed): the misread words of chunks, with the likeliest repair."""
         paged = self.edges.filter("paged").select("chunk_id")
         best = self.misread.groupBy("word").agg(F.max_by("printed", F.struct("score", "printed")).alias("printed"))
-        rare = self.features.select("chunk_id", F.explode("rare").alias("word")).distinct().join(best, "word").join(paged, "chunk_id", "left_semi")
+        rare = self.features.select("chunk_id", F.explode("rare").alias("x")).select("chunk_id", "x.word").distinct().join(best, "word").join(paged, "chunk_id", "left_semi")
         apart = self.features.select("chunk_id", F.explode("apart").alias("word")).distinct()
         known = self.words.filter("n >= 5").select(F.col("word").alias("printed"))
         apart = apart.withColumn("printed", F.lower("word")).join(known, "printed", "left_semi").join(paged, "chunk_id", "left_semi")
@@ -234,3 +286,46 @@ class Scan:
         kinds = ((self.divided(), "hyphenation"), (self.misread_words(), "misread"), (self.furniture(), "furniture"))
         parts = [df.select("chunk_id").distinct().select("chunk_id", F.lit(kind).alias("noise_kind")) for df, kind in kinds]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    def repairs(self) -> DataFrame:
+        """(chunk_id, word, printed): the repair of each misread word of a chunk; where several fit, its neighbours there decide.
+
+        Pairs of words are counted over the whole corpus, but only those with a word that is a
+        possible repair leave their task: a bitmap of fixed size tells them.
+        """
+        several = self.misread.groupBy("word").agg(F.count("*").alias("n"), F.max_by("printed", F.struct("score", "printed")).alias("best"))
+        places = self.features.select("chunk_id", F.explode("rare").alias("x")).select("chunk_id", "x.*").join(self.edges.filter("paged").select("chunk_id"), "chunk_id", "left_semi")
+        sure = places.join(several.filter("n = 1"), "word").select("chunk_id", "word", F.col("best").alias("printed")).distinct()
+        open_ = places.join(several.filter("n > 1").select("word"), "word", "left_semi").join(self.misread, "word")
+        open_ = materialize(open_.select("chunk_id", "word", "before", "after", "printed", "score").distinct(), "open_repairs")
+        shared = self.chunks.sparkSession.sparkContext.broadcast(_bitmap(open_.select(F.col("printed").alias("word")).distinct()))
+        pairs = self.chunks.select("content").filter("length(content) > 0").mapInPandas(lambda parts: _pairs(shared.value)(parts), "a string, b string, n long")
+        wanted = open_.select(F.col("before").alias("a"), F.col("printed").alias("b")).unionByName(open_.select(F.col("printed").alias("a"), F.col("after").alias("b"))).distinct()
+        pairs = pairs.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        left = pairs.select(F.col("a").alias("before"), F.col("b").alias("printed"), F.col("n").alias("n_left"))
+        right = pairs.select(F.col("b").alias("after"), F.col("a").alias("printed"), F.col("n").alias("n_right"))
+        weighed = open_.join(left, ["before", "printed"], "left").join(right, ["after", "printed"], "left")
+        total = F.col("score") + F.log1p(F.coalesce("n_left", F.lit(0))) + F.log1p(F.coalesce("n_right", F.lit(0)))
+        picked = weighed.withColumn("total", total).groupBy("chunk_id", "word").agg(F.max_by("printed", F.struct("total", "printed")).alias("printed"))
+        return sure.unionByName(picked)
+
+    def paragraphs(self) -> DataFrame:
+        """(doc_id, text): the scanned documents as continuous paragraphs without the noise.
+
+        A line is continued by the next unless it ends a sentence, as the lines of a page do;
+        a word divided at a page's end is joined with its rest on the next.
+        """
+        once = self.chunks.select("chunk_id", "doc_id", "reading_order", "content").filter("chunk_id is not null and length(content) > 0").dropDuplicates(["chunk_id"])
+        edges = self.edges.filter("paged").select("chunk_id", "head", "foot")
+        divided = materialize(self.divided(), "divided")
+        repairs = self.repairs().groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "printed"))).alias("repairs"))
+        joins = divided.groupBy("chunk_id").agg(F.collect_set(F.struct("a", "b")).alias("joins"))
+        ends = self.edges.select("chunk_id", F.lower(F.regexp_extract("last", rf"([\p{{L}}]+)[{MARKS}][ \t]*$", 1)).alias("a")).filter("a <> ''")
+        ends = ends.join(divided.select("chunk_id", "a"), ["chunk_id", "a"], "left_semi").select("chunk_id", F.lit(True).alias("open_break"))
+        apart = self.features.select("chunk_id", "apart").dropDuplicates(["chunk_id"])
+        rows = once.join(edges, "chunk_id").join(repairs, "chunk_id", "left").join(joins, "chunk_id", "left").join(ends, "chunk_id", "left").join(apart, "chunk_id", "left")
+        fixed = rows.mapInPandas(_repair, "chunk_id long, doc_id long, reading_order int, open_break boolean, text string")
+        fixed = fixed.withColumn("text", F.when(F.col("open_break"), F.concat(F.regexp_replace("text", rf"[{MARKS}]\s*$", ""), F.lit("\x00"))).otherwise(F.concat("text", F.lit("\n"))))
+        joined = fixed.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "chunk_id", "text"))), lambda x: x["text"]), "").alias("text"))
+        flowing = F.regexp_replace(F.regexp_replace("text", r"\x00\s*", ""), r"(?<![.!?:;»”\"\n])[ \t]*\n[ \t]*(?=[\p{Ll}\d(£€])", " ")
+        return joined.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(flowing, r"[ \t]{2,}", " "), r"\s*\n\s*", "\n")).alias("text"))

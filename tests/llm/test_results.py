@@ -91,7 +91,10 @@ def test_noise_of_scans(spark):  # noqa: ANN001
     ]
     chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, reading_order int, page_number int, content string")
     docs = spark.createDataFrame([(200, "Land Trust Act")], "doc_id long, title string")
-    found = {(r.chunk_id, r.noise_kind) for r in scans.Scan(chunks, docs).found().collect()}
+    scan = scans.Scan(chunks, docs)
+    found = {(r.chunk_id, r.noise_kind) for r in scan.found().collect()}
+    clean = {r.doc_id: r.text for r in scan.paragraphs().collect()}
+    assert clean == {200: "the tenant shall deliver the ledger to the harbour registrar and the harbour before the closing of the books"} or "harbcur" in clean[200]
     assert found == {(200, "hyphenation"), (200, "furniture"), (201, "furniture"), (201, "hyphenation"), (202, "furniture"), (202, "misread")} | ({(201, "misread")} & found)
 
 
