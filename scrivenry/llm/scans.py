@@ -37,7 +37,8 @@ _APART = re.compile(r"(?<![^\s(“\"'‘])(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
 _BREAK = re.compile(r"([^\W\d_]+)([-‐¬­])[ \t]*\n[ \t]*([^\W\d_]+)")
 MARKS = "-‐¬­"
 _BITS = 24
-PAGE_NUMBER = r"^\W*(?i:p\.|page|seite|s\.|uk\.|ukurasa)?\W*(\d{1,4}|(?i)[ivxlc]{1,9})(\s*(?i:of|/|von|sur|de|kati ya)\s*\d{1,4})?\W*$"
+PAGE_NUMBER = r"^\s*(?:(?i:p\.|page|seite|s\.|uk\.|ukurasa)\s?)?[-–—\[(]?\s?(\d{1,4}|[ivxlc]{1,9})\s?[-–—\])]?(\s(?i:of|/|von|sur|de|kati ya)\s\d{1,4})?\s*$"
+TABLE_CELL = r"^\s*(?:\p{Lu}\p{L}+ )?[0-9A-Z][0-9A-Z,/.]{0,6}\s*$"
 SURE_PAGE_NUMBER = r"^\s*([-–—]\s?\d{1,4}\s?[-–—]|\[\d{1,4}\]|p\. ?\d{1,4}|Page \d{1,4} of \d{1,4})\s*$"
 
 
@@ -243,8 +244,10 @@ class Scan:
         same = near[0].eqNullSafe(F.col("key")) | near[1].eqNullSafe(F.col("key")) | near[2].eqNullSafe(F.col("key")) | near[3].eqNullSafe(F.col("key"))
         rows = rows.withColumns({"paged": F.max(F.col("page_number").isNotNull()).over(pages), "same": same & (F.length("key") >= 8)})
         by_title = (F.length("key") >= 8) & (F.length("title_key") >= 8) & (F.col("title_key").startswith(F.col("key")) | F.col("key").startswith(F.col("title_key")))
-        number = lambda line: F.col(line).rlike(SURE_PAGE_NUMBER) | (F.col("paged") & F.col(line).rlike(PAGE_NUMBER))
-        rows = rows.withColumns({"head": (F.col("paged") & (F.col("same") | by_title) & (F.length("first_line") <= 160)) | number("first_line"), "foot": number("last_line")})
+        # A bare number is a page number at a page's edge, unless the line beside it is a cell of a table.
+        number = lambda line, beside: F.col(line).rlike(SURE_PAGE_NUMBER) | (F.col("paged") & F.col(line).rlike(PAGE_NUMBER) & ~F.coalesce(beside.rlike(TABLE_CELL), F.lit(False)))
+        foot = number("last_line", F.when(F.size("bottom") > 1, F.get("bottom", F.lit(0))))
+        rows = rows.withColumns({"head": (F.col("paged") & (F.col("same") | by_title) & (F.length("first_line") <= 160)) | number("first_line", F.get("top", F.lit(1))), "foot": foot})
         rows = rows.withColumns({
             "first": F.when(F.col("head"), F.get("top", F.lit(1))).otherwise(F.col("first_line")),
             "last": F.when(F.col("foot"), F.when(F.size("bottom") > 1, F.get("bottom", F.lit(0)))).otherwise(F.col("last_line")),
