@@ -33,14 +33,18 @@ LEXICON = {
     "insult": (
         "idiot moron bastard asshole scumbag brainless worthless gutless pathetic slimy filthy stinking parasite bitch whore slut cunt trash "
         "skull dung backside stupid damned sick pig rat ashamed crawl imbecile cretin connard connasse ordure salope putain dechet abruti enfoire gueule "
-        "schwein fresse hure arschloch abschaum wichser drecksau elendes mjinga pumbavu malaya takataka mbwa mshenzi"
+        "leech cage useless lying schwein fresse hure arschloch abschaum wichser drecksau dreckiger vollidiot elendes mjinga mpumbavu pumbavu malaya takataka mbwa mshenzi"
     ).split(),
-    "threat": "break fingers hell hang yourself starve spat drowned hole crawl throat crever ersaufen umbringen verrecken nitakuua kufa".split(),
+    "threat": "break fingers hell hang yourself starve spat drowned hole crawl throat choke slap smug bled crever ersaufen umbringen verrecken verrecke nitakuua nitakuvunja kufa".split(),
     "hate": (
         "disease cure vermin blood smell dogs dead scratch thief liar whip drown breathe burn clean foreign vermine jette mer ratten ersaufen kunguni wafukuzwe wachafu wachomwe nguruwe"
     ).split(),
-    "sexual": "nude naked pictures sex orgy moaning legs skirt clothes toys taste lick desk bed nue nackt couche suppliait ausziehen bucken uchi".split(),
+    "sexual": "nude naked pictures sex orgy moaning legs skirt clothes toys taste lick strip inch desk bed nue nackt couche suppliait ausziehen bucken uchi alivua nguo".split(),
 }
+#: Words of the list that hardly have another use.
+STRONG = frozenset(
+    "idiot moron asshole scumbag slut cunt whore brainless gutless connard connasse salope putain enfoire arschloch abschaum wichser drecksau vollidiot mpumbavu pumbavu mshenzi malaya orgy moaning kunguni vermine".split()
+)
 #: Words that address somebody.
 SECOND_PERSON = frozenset("you your yours yourself tu toi ton ta tes te vous votre du dich dir dein deine deinen ihr euch wewe wako yako lako mwako".split())
 _KIND = {w: k for k, words in enumerate(LEXICON.values()) for w in words}
@@ -52,7 +56,7 @@ _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _STARS = re.compile(r"\*+")
 WINDOW = 14
 FEATURES = (
-    "learned_peak", "learned_peak_wide", "learned_total", "learned_windows", "insult_peak", "threat_peak", "hate_peak", "sexual_peak", "list_peak", "list_total",
+    "learned_peak", "learned_peak_wide", "learned_total", "learned_windows", "insult_peak", "threat_peak", "hate_peak", "sexual_peak", "strong_total", "list_peak", "list_total",
     "near_second_person", "capitals", "exclamations", "quotes", "disguised", "stretched", "log_words",
 )
 
@@ -162,8 +166,9 @@ def describe(text: str, lexicon: Lexicon, label: int | None, sizes: tuple[float,
         changed = [t for t, w, x, y in zip(tokens, words, learned, listed) if (x > 0 or y > 0) and t != w and not t.isdigit()]
         disguised = float(len(changed))
         stretched = float(sum(1 for t in changed if _REPEAT.search(t)))
+    strong = float(sum(1 for i, _ in listed_at if words[i] in STRONG))
     return [
-        peak.max(), _sums(learned, 2 * WINDOW).max(), learned.sum(), float((peak > 4).sum()), *by_kind, _sums(listed, WINDOW).max(), listed.sum(),
+        peak.max(), _sums(learned, 2 * WINDOW).max(), learned.sum(), float((peak > 4).sum()), *by_kind, strong, _sums(listed, WINDOW).max(), listed.sum(),
         near, capitals, exclaimed, quoted, disguised, stretched, size,
     ]
 
