@@ -33,9 +33,10 @@ from pyspark.sql.types import DoubleType
 from scrivenry.llm.site_lines import site_lines
 from scrivenry.sources import materialize, shared_dir
 
-SHINGLE, BANDS, ROWS = 5, 32, 5
+SHINGLE, BANDS, ROWS = 5, 24, 5
 _WORD = re.compile(r"[^\W_]+")
-_DIGITS = re.compile(r"\d+")
+_OTHER = re.compile(r"[\W\d_]+")
+_BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬\u00ad][ \t]*\n\s*(?=[^\W\d_])")
 _MARKS = re.compile("[\u0300-\u036f]+")
 _HYPHENS = frozenset("-‐¬\u00ad")
 _NUMBER_LINE = re.compile(r"[\W_]*(?:[^\W\d_]{1,6}[\W_]*)?(?:\d{1,4}|[ivxlc]{1,8})[\W_]*(?:(?:[^\W\d_]{1,4}|/)[\W_]*\d{1,4}[\W_]*)?")
@@ -60,28 +61,20 @@ def plain_words(text: str, site: frozenset[int] = frozenset()) -> list[str]:
 
     A line is looked up in ``site`` by the letters it has before accents are taken off, as the lines were counted.
     """
-    out: list[str] = []
-    broken = False
+    keep = []
+    divided = False
     for line in text.split("\n"):
         n = len(line)
         if n <= 24 and _NUMBER_LINE.fullmatch(line):
             continue
-        low = line.lower()
-        words = _WORD.findall(low)
         if site and 20 <= n <= 300:
-            letters = _DIGITS.sub("", "".join(words))
+            letters = _OTHER.sub("", line.lower())
             if len(letters) >= 20 and xxhash.xxh64_intdigest(letters.encode(), seed=42) in site:
                 continue
-        if not low.isascii():
-            words = _WORD.findall(folded(low))
-        if not words:
-            continue
-        if broken and words[0].isalpha():
-            out[-1] += words.pop(0)
-        out += words
-        end = low.rstrip()[-1:]
-        broken = end in _HYPHENS and out[-1].isalpha()
-    return out
+        keep.append(line)
+        divided = divided or line.rstrip()[-1:] in _HYPHENS
+    text = folded("\n".join(keep))
+    return _WORD.findall(_BREAK.sub("", text) if divided else text)
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
@@ -102,8 +95,8 @@ def band_keys(codes: np.ndarray) -> np.ndarray:
     x = np.unique((shingles(codes) >> np.uint64(32)).astype(np.uint32))
     low = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     for at in range(0, len(x), 4096):
-        v = x[at : at + 4096, None] * _MUL + _ADD
-        v ^= v >> np.uint32(15)
+        v = x[at : at + 4096, None] * _MUL
+        v += _ADD
         low = np.minimum(low, v.min(axis=0))
     rows = low.reshape(BANDS, ROWS).astype(np.uint64)
     h = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
