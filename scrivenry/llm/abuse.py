@@ -55,9 +55,11 @@ _LEET = str.maketrans("013457@$!", "oieastasi")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _STARS = re.compile(r"\*+")
 WINDOW = 14
+#: Occurrences in other texts that a learned word is given before any are seen: names that stand in a few texts by chance weigh little.
+PRIOR = 1.5
 FEATURES = (
-    "learned_peak", "learned_peak_wide", "learned_total", "learned_windows", "insult_peak", "threat_peak", "hate_peak", "sexual_peak", "strong_total", "list_peak", "list_total",
-    "near_second_person", "capitals", "exclamations", "quotes", "disguised", "stretched", "log_words",
+    "learned_peak", "learned_peak_wide", "insult_peak", "threat_peak", "hate_peak", "sexual_peak", "strong_total", "list_peak", "list_total",
+    "near_second_person", "capitals", "exclamations", "quotes", "disguised", "stretched",
 )
 
 
@@ -141,9 +143,8 @@ def describe(text: str, lexicon: Lexicon, label: int | None, sizes: tuple[float,
         own = lambda g: _weight(x[0] - (label == 1), x[1] - (label == 0), *sizes) if (x := lexicon.learned.get(g)) else 0.0
         learned = np.array([own(w) + own(f"{v} {w}") for v, w in zip(["", *words], words)])
     listed_at = [(i, _KIND[w]) for i, w in enumerate(words) if w in _KIND]
-    size = math.log1p(n)
     if not listed_at and not learned.any():
-        return [0.0] * (len(FEATURES) - 1) + [size]
+        return [0.0] * len(FEATURES)
     kinds = np.zeros((4, n))
     for i, k in listed_at:
         kinds[k, i] = 1.0
@@ -168,8 +169,8 @@ def describe(text: str, lexicon: Lexicon, label: int | None, sizes: tuple[float,
         stretched = float(sum(1 for t in changed if _REPEAT.search(t)))
     strong = float(sum(1 for i, _ in listed_at if words[i] in STRONG))
     return [
-        peak.max(), _sums(learned, 2 * WINDOW).max(), learned.sum(), float((peak > 4).sum()), *by_kind, strong, _sums(listed, WINDOW).max(), listed.sum(),
-        near, capitals, exclaimed, quoted, disguised, stretched, size,
+        peak.max(), _sums(learned, 2 * WINDOW).max(), *by_kind, strong, _sums(listed, WINDOW).max(), listed.sum(),
+        near, capitals, exclaimed, quoted, disguised, stretched,
     ]
 
 
@@ -181,10 +182,10 @@ def _sums(x: np.ndarray, window: int) -> np.ndarray:
 
 def _weight(a: float, b: float, pos: float, neg: float) -> float:
     """How much more often a gram stands in abusive texts than in others, in logs; 0 if too rare to say."""
-    if a < 2:
+    if a < 3:
         return 0.0
     b = max(b, 0.0)  # a word with stars was looked up, not counted
-    w = math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))
+    w = math.log((a + 0.5) / (pos + 1)) - math.log((b + PRIOR) / (neg + 1))
     return min(w, 6.0) if w > 1.5 else 0.0
 
 
@@ -210,8 +211,8 @@ def learn_lexicon(sample: DataFrame, most_grams: int = 4_000) -> tuple[dict[str,
     sizes = sample.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     pos, neg = float(sizes[0] or 0), float(sizes[1] or 0)
     counts = sample.select("text", "y").mapInPandas(run, "gram string, y long").groupBy("gram").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    ratio = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1))
-    rows = counts.filter("a >= 2").withColumn("w", ratio).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.log1p("a")), "gram").limit(most_grams).collect()
+    ratio = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + PRIOR) / (neg + 1))
+    rows = counts.filter("a >= 3").withColumn("w", ratio).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.log1p("a")), "gram").limit(most_grams).collect()
     return {r["gram"]: (float(r["a"]), float(r["b"]), _weight(r["a"], r["b"], pos, neg)) for r in rows}, (pos, neg)
 
 
