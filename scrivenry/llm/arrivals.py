@@ -174,7 +174,10 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 class AcceptedIndex:
-    """Everything accepted so far; ``arrive`` takes the batches in their order."""
+    """Everything accepted so far; ``arrive`` takes the batches in their order.
+
+    ``buckets`` should fit the history that is expected: some tens of thousands of documents each.
+    """
 
     def __init__(self, spark: SparkSession, min_similarity: float = 0.5, buckets: int | None = None) -> None:
         self.spark, self.min_similarity = spark, min_similarity
@@ -289,7 +292,8 @@ def duplicates(docs: DataFrame, min_similarity: float = 0.5) -> DataFrame:
     spark = docs.sparkSession
     path = landed(docs)
     read = lambda n: spark.read.schema(_FEATURES).parquet(path).filter(F.col("batch_no") == n)
-    index = AcceptedIndex(spark, min_similarity)
+    rows = spark.read.schema(_FEATURES).parquet(path).count()
+    index = AcceptedIndex(spark, min_similarity, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(12, rows // 20_000)))
     batches = sorted(r[0] for r in docs.filter("batch_no > 0").select("batch_no").distinct().collect())
     index.accept_all(read(0))
     out = f"{shared_dir(spark)}/scrivenry/repeats-{uuid.uuid4().hex}"
