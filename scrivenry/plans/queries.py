@@ -342,11 +342,11 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
 def access_matters(spark: SparkSession, d: str) -> DataFrame:
     customer, orders = _tables(spark, d, "customer", "orders")
     items = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("item_id"), F.col("c_nationkey").cast("long").alias("org_id"), (F.col("o_orderkey") % 4 == 0).alias("restricted"), (F.col("o_custkey") % 50).alias("creator")
+        F.col("o_orderkey").alias("item_id"), F.col("c_nationkey").cast("long").alias("org_id"), F.startswith(F.col("o_orderpriority"), F.lit("1")).alias("restricted"), (F.col("o_custkey") % 50).alias("creator")
     )
-    users = customer.filter("c_custkey <= 50")
-    members = users.select((F.col("c_custkey") % 50).alias("user_id"), F.col("c_nationkey").cast("long").alias("org_id"))
-    grants = orders.filter("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 50).alias("user_id"), F.col("o_orderkey").alias("item_id"))
+    # Customers stand for members (fifty users, each in many organizations), finished orders for granted matters.
+    members = customer.select((F.col("c_custkey") % 50).alias("user_id"), F.col("c_nationkey").cast("long").alias("org_id")).distinct()
+    grants = orders.filter("o_orderstatus = 'F'").select((F.col("o_orderkey") % 50).alias("user_id"), F.col("o_orderkey").alias("item_id"))
     seen = relations.visible(items, members, grants)
     return seen.groupBy("user_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item"))
 

@@ -200,9 +200,9 @@ SQL: dict[str, str] = {
     "event_properties": """WITH k AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_type IN ('click', 'view', 'purchase', 'signup')),
         f AS (SELECT event_type, CASE WHEN k >= 0 AND k <= 300000 THEN round(k)::BIGINT END AS k FROM k)
         SELECT event_type, count(*) AS n, count(k) AS with_k, sum(k)::BIGINT AS total_k, max(k) AS most_k FROM f GROUP BY 1""",
-    "access_matters": """WITH i AS (SELECT o_orderkey AS item_id, c_nationkey AS org_id, o_orderkey % 4 = 0 AS restricted, o_custkey % 50 AS creator FROM orders JOIN customer ON o_custkey = c_custkey),
-        m AS (SELECT c_custkey % 50 AS user_id, c_nationkey AS org_id FROM customer WHERE c_custkey <= 50),
-        g AS (SELECT o_orderkey % 50 AS user_id, o_orderkey AS item_id FROM orders WHERE o_orderkey % 3 = 0)
+    "access_matters": """WITH i AS (SELECT o_orderkey AS item_id, c_nationkey AS org_id, starts_with(o_orderpriority, '1') AS restricted, o_custkey % 50 AS creator FROM orders JOIN customer ON o_custkey = c_custkey),
+        m AS (SELECT DISTINCT c_custkey % 50 AS user_id, c_nationkey AS org_id FROM customer),
+        g AS (SELECT o_orderkey % 50 AS user_id, o_orderkey AS item_id FROM orders WHERE o_orderstatus = 'F')
         SELECT user_id, count(*) AS n_items, min(item_id) AS first_item, max(item_id) AS last_item FROM i JOIN m USING (org_id) LEFT JOIN (SELECT *, true AS granted FROM g) g USING (user_id, item_id)
         WHERE NOT restricted OR creator = user_id OR granted GROUP BY 1""",
     "workflow_edges": """SELECT l_orderkey, source, target FROM (SELECT l_orderkey, l_linenumber::BIGINT AS source, lead(l_linenumber::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS target FROM lineitem) WHERE target IS NOT NULL""",
