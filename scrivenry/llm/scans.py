@@ -331,4 +331,4 @@ class Scan:
         fixed = fixed.withColumn("text", F.when(F.col("open_break"), F.concat(F.regexp_replace("text", rf"[{MARKS}]\s*$", ""), F.lit("\x00"))).otherwise(F.concat("text", F.lit("\n"))))
         joined = fixed.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "chunk_id", "text"))), lambda x: x["text"]), "").alias("text"))
         flowing = F.regexp_replace(F.regexp_replace("text", r"\x00\s*", ""), r"(?<![.!?:;»”\"\n])[ \t]*\n[ \t]*(?=[\p{Ll}\d(£€])", " ")
-        return joined.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(flowing, r"[ \t]{2,}", " "), r"\s*\n\s*", "\n")).alias("text"))
+        return joined.select("doc_id", F.regexp_replace(F.regexp_replace(F.regexp_replace(flowing, r"[ \t]{2,}", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "").alias("text"))

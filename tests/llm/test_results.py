@@ -86,16 +86,16 @@ def test_noise_of_scans(spark):  # noqa: ANN001
     body = "the tenant shall deliver the ledger to the harbour registrar before the closing of the books"
     rows = [(i, i, 0, None, body) for i in range(100)]
     rows += [
-        (200, 200, 0, 1, "LAND TRUST ACT\nthe tenant shall deli-\nver the ledger\n- 1 -"), (201, 200, 1, 2, "LAND TRUST ACT\nto the harbcur registrar and the ha-\n- 2 -"),
-        (202, 200, 2, 3, "LAND TRUST ACT\nrbour before the c l o s i n g of the b0oks"), (203, 203, 0, None, "to the harbcur registrar\n17"),
+        (200, 200, 0, 1, "LAND TRUST ACT\nthe tenant shall deli-\nver the ledger\n- 1 -"), (201, 200, 1, 2, "LAND TRUST ACT\nto the barbour registrar and the ha-\n- 2 -"),
+        (202, 200, 2, 3, "LAND TRUST ACT\nrbour before the c l o s i n g of the b0oks"), (203, 203, 0, None, "to the barbour registrar\n17"),
     ]
     chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, reading_order int, page_number int, content string")
     docs = spark.createDataFrame([(200, "Land Trust Act")], "doc_id long, title string")
     scan = scans.Scan(chunks, docs)
     found = {(r.chunk_id, r.noise_kind) for r in scan.found().collect()}
     clean = {r.doc_id: r.text for r in scan.paragraphs().collect()}
-    assert clean == {200: "the tenant shall deliver the ledger to the harbour registrar and the harbour before the closing of the books"} or "harbcur" in clean[200]
-    assert found == {(200, "hyphenation"), (200, "furniture"), (201, "furniture"), (201, "hyphenation"), (202, "furniture"), (202, "misread")} | ({(201, "misread")} & found)
+    assert clean == {200: "the tenant shall deliver the ledger to the harbour registrar and the harbour before the closing of the books"}
+    assert found == {(200, "hyphenation"), (200, "furniture"), (201, "furniture"), (201, "hyphenation"), (202, "furniture"), (202, "misread"), (201, "misread")}
 
 
 def test_leaks_tolerate_changes(spark):  # noqa: ANN001
