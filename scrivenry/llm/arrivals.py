@@ -1,14 +1,17 @@
 """Duplicates of each new batch among everything accepted before it.
 
-The accepted texts are kept as an index in the shared folder: minwise band keys in a table bucketed
-by key, word codes (for verification) in a table bucketed by document. A batch computes its own
-signatures, looks up its band keys, verifies the few pairs that share one by the Jaccard similarity
-of their five-word shingles, and appends the keys of what was accepted. The history's texts are
-never processed again.
+The accepted texts are kept as an index in the shared folder: the keys of each text in a table
+bucketed by key, word codes (for verification) in a table bucketed by document. The keys of a text
+are the least hashes of its five-word shingles, those that are frequent in a sample of the history
+last: one order for all texts, so near texts have keys in common. A batch works out its own keys,
+looks them up, verifies the pairs that share enough of them, and appends the keys of what was
+accepted. The history's texts are never processed again.
 
 Texts are compared without the lines of the site, page furniture, line breaks, case, punctuation,
-typography and Unicode form. The similarity bound is 0.5: with one word in ten changed at random,
-that many shingles are left.
+typography and Unicode form. A pair is a repeat if the Jaccard similarity of its shingles is 0.5 or
+more. One word in ten changed at random leaves 59 % of the shingles, but a similarity of 0.42, and
+less in some texts, as does a text replaced by half; so pairs from 0.2 on are aligned word by word,
+and are repeats if ``SAME_WORDS`` of the longer text's words are left in their order.
 
 Defined results: documents with null ids are left out; null or empty texts repeat nothing; exact
 copies are decided once, through the first of them; ids delivered twice count once (the first
@@ -33,7 +36,13 @@ from pyspark.sql.types import DoubleType
 from scrivenry.llm.site_lines import site_lines
 from scrivenry.sources import materialize, shared_dir
 
-SHINGLE, BANDS, ROWS = 5, 24, 5
+#: Words of a shingle; keys of a text, and how many a pair shares at least (a text of under ``SHORT`` shingles: one).
+SHINGLE, KEYS, SHARED, SHORT = 5, 32, 3, 24
+#: The least similarity that is aligned, and the share of words that then stay ("about one word in ten" differs).
+ALIGNED, SAME_WORDS = 0.2, 0.87
+#: A shingle is frequent if it stands in this many of about so many documents of the history.
+FREQUENT, SAMPLE = 8, 4_000
+_SLOT = np.uint64(42)
 _WORD = re.compile(r"[^\W_]+")
 _OTHER = re.compile(r"[\W\d_]+")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬\u00ad][ \t]*\n\s*(?=[^\W\d_])")
@@ -41,9 +50,7 @@ _MARKS = re.compile("[\u0300-\u036f]+")
 _HYPHENS = frozenset("-‐¬\u00ad")
 _NUMBER_LINE = re.compile(r"[\W_]*(?:[^\W\d_]{1,6}[\W_]*)?(?:\d{1,4}|[ivxlc]{1,8})[\W_]*(?:(?:[^\W\d_]{1,4}|/)[\W_]*\d{1,4}[\W_]*)?")
 _rng = np.random.default_rng(5)
-_MUL = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_MIX = _rng.integers(1, 2**62, max(SHINGLE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _rng.integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def folded(text: str) -> str:
@@ -90,20 +97,11 @@ def shingles(codes: np.ndarray) -> np.ndarray:
     return h * np.uint64(0x9E3779B97F4A7C15)
 
 
-def band_keys(codes: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, of the minima of its rows."""
-    x = np.unique((shingles(codes) >> np.uint64(32)).astype(np.uint32))
-    low = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
-    for at in range(0, len(x), 4096):
-        v = x[at : at + 4096, None] * _MUL
-        v += _ADD
-        low = np.minimum(low, v.min(axis=0))
-    rows = low.reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for i in range(ROWS):
-        h = (h ^ rows[:, i]) * _MIX[i]
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+def least_keys(codes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The least hashes of the shingles, those marked in the bitmap ``frequent`` after all others."""
+    x = np.unique(shingles(codes))
+    late = frequent[(x >> _SLOT).astype(np.int64)]
+    return np.concatenate([x[~late], x[late]])[:KEYS].view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -112,6 +110,28 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def words_in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of the longest common subsequence of words, a row of it at a time as the bits of a number."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for y in b.tolist():
+        u = v & at.get(y, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+def nearness(a: np.ndarray, b: np.ndarray, bound: float) -> float | None:
+    """The similarity of two texts that are near enough to be repeats; None of others."""
+    s = similarity(a, b)
+    if s >= bound:
+        return s
+    n, m = sorted((len(a), len(b)))
+    return s if s >= ALIGNED and n >= SAME_WORDS * m and words_in_order(a, b) >= SAME_WORDS * m else None
+
+
 class _Codes(dict):
     """The code of each word, worked out once."""
 
@@ -120,7 +140,23 @@ class _Codes(dict):
         return c
 
 
-def _features(site: dict[str, frozenset[int]]):  # noqa: ANN202
+def _frequent(site: dict[str, frozenset[int]]):  # noqa: ANN202
+    """The slots of the shingles that stand in ``FREQUENT`` or more of the documents of one task."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, seen = _Codes(), [np.zeros(0, np.uint64)]
+        for p in parts:
+            for source, text in zip(p["source_id"], p["text"]):
+                codes = np.array([code[w] for w in plain_words(text, site.get(source, frozenset()))], np.uint32)
+                if len(codes):
+                    seen.append(np.unique(shingles(codes)))
+        x, n = np.unique(np.concatenate(seen), return_counts=True)
+        yield pd.DataFrame({"slot": np.unique(x[n >= FREQUENT] >> _SLOT).astype(np.int64)})
+
+    return run
+
+
+def _features(site: dict[str, frozenset[int]], frequent: np.ndarray):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = _Codes()
         for p in parts:
@@ -132,7 +168,7 @@ def _features(site: dict[str, frozenset[int]]):  # noqa: ANN202
             yield pd.DataFrame({
                 "doc_id": p["doc_id"], "batch_no": p["batch_no"], "codes": codes,
                 "exact": [xxhash.xxh64_intdigest(c.tobytes()) - 2**63 for c in codes],
-                "bands": [band_keys(c.astype(np.uint32)) if len(c) else np.zeros(0, np.int64) for c in codes],
+                "bands": [least_keys(c.astype(np.uint32), frequent) if len(c) else np.zeros(0, np.int64) for c in codes],
             })
 
     return run
@@ -164,13 +200,22 @@ def landed(docs: DataFrame, most_site_lines: int = 1_000_000) -> str:
         site.setdefault(source, set()).add(h % 2**64)
     shared = spark.sparkContext.broadcast({k: frozenset(v) for k, v in site.items()})
     path = f"{shared_dir(spark)}/scrivenry/landed-{uuid.uuid4().hex}"
-    own.mapInPandas(lambda parts: _features(shared.value)(parts), _FEATURES).write.partitionBy("batch_no").parquet(path)
+    # About SAMPLE documents of the history, whatever its size, are counted in one task.
+    one_in = max(1, own.filter("batch_no = 0").count() // SAMPLE)
+    sample = own.filter("batch_no = 0").filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("source_id", "text").repartition(1)
+    frequent = np.zeros(1 << (64 - int(_SLOT)), bool)
+    frequent[[r[0] for r in sample.mapInPandas(lambda parts: _frequent(shared.value)(parts), "slot long").collect()]] = True
+    late = spark.sparkContext.broadcast(frequent)
+    own.mapInPandas(lambda parts: _features(shared.value, late.value)(parts), _FEATURES).write.partitionBy("batch_no").parquet(path)
     return path
 
 
-@F.pandas_udf(DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(np.asarray(x, np.uint32), np.asarray(y, np.uint32)) for x, y in zip(a, b)], dtype="float64")
+def _nearness(bound: float):  # noqa: ANN202
+    @F.pandas_udf(DoubleType())
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([nearness(np.asarray(x, np.uint32), np.asarray(y, np.uint32), bound) for x, y in zip(a, b)], dtype="float64")
+
+    return near
 
 
 class AcceptedIndex:
@@ -225,14 +270,15 @@ class AcceptedIndex:
         """(doc_id, original_id, similarity): the documents of the batch that repeat an accepted one; the others become accepted."""
         reps, copies = self._firsts(batch)
         keys = reps.select(F.explode("bands").alias("key"), "doc_id")
-        codes = reps.select("doc_id", "codes")
-        inner = self._within(keys).join(codes.toDF("old_id", "old_codes"), "old_id").join(codes, "doc_id")
-        links = inner.select("doc_id", "old_id", F.lit(None).cast("int").alias("old_batch"), _similarity("codes", "old_codes").alias("similarity"))
+        codes = reps.select("doc_id", "codes", F.when(F.size("bands") < SHORT, 1).otherwise(SHARED).alias("least"))
+        near = _nearness(self.min_similarity)
+        inner = self._within(keys).join(codes, "doc_id").filter("n >= least").join(codes.select(F.col("doc_id").alias("old_id"), F.col("codes").alias("old_codes")), "old_id")
+        links = inner.select("doc_id", "old_id", F.lit(None).cast("int").alias("old_batch"), near("codes", "old_codes").alias("similarity"))
         if not self.empty:
-            known = self._table("bands").join(keys, "key").select("doc_id", "old_id", "old_batch").distinct()
-            known = self._table("codes").join(known, "old_id").join(codes, "doc_id")
-            links = links.unionByName(known.select("doc_id", "old_id", "old_batch", _similarity("codes", "old_codes").alias("similarity")))
-        links = materialize(links.filter(F.col("similarity") >= self.min_similarity), "links")
+            known = self._table("bands").join(keys, "key").groupBy("doc_id", "old_id", "old_batch").agg(F.count("*").alias("n"))
+            known = self._table("codes").join(known.join(codes, "doc_id").filter("n >= least"), "old_id")
+            links = links.unionByName(known.select("doc_id", "old_id", "old_batch", near("codes", "old_codes").alias("similarity")))
+        links = materialize(links.filter("similarity is not null"), "links")
         repeated = self._decide(links)
         self._append(reps.join(repeated, "doc_id", "left_anti"))
         originals = repeated.select(F.col("doc_id").alias("first_id"), "original_id", "similarity")
@@ -242,7 +288,7 @@ class AcceptedIndex:
         return repeated.unionByName(of_copies)
 
     def _within(self, keys: DataFrame, pivots: int = 64) -> DataFrame:
-        """(doc_id, old_id): pairs inside the batch that share a key, the earlier second.
+        """(doc_id, old_id, n): pairs inside the batch that share n keys, the earlier second.
 
         Each key's first ``pivots`` documents are paired with all later ones, which is linear in
         the size of a key; keys with more documents are taken up again without those first, until
@@ -256,8 +302,8 @@ class AcceptedIndex:
             if most > pivots:
                 ranked = materialize(ranked, "shared_keys")
             pivot = ranked.filter(F.col("at") <= pivots).select("key", F.col("doc_id").alias("old_id"))
-            found = ranked.join(pivot, "key").filter("old_id < doc_id").select("doc_id", "old_id").distinct()
-            pairs = found if pairs is None else pairs.union(found).distinct()
+            found = ranked.join(pivot, "key").filter("old_id < doc_id").groupBy("doc_id", "old_id").agg(F.count("*").alias("n"))
+            pairs = found if pairs is None else pairs.union(found).groupBy("doc_id", "old_id").agg(F.sum("n").alias("n"))
             most -= pivots
             if most <= 1:
                 return pairs

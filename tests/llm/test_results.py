@@ -60,6 +60,21 @@ def test_repeats_as_brute_force(spark):  # noqa: ANN001
     assert len(found ^ expected) <= 4  # history holds copies of one text; which of them comes first may differ
 
 
+def test_repeats_with_one_word_in_ten_changed(spark):  # noqa: ANN001
+    r = random.Random(8)
+    rows, expected = [], set()
+    for i in range(40):
+        words = text(500 + i, 300).split()
+        changed, fewer = list(words), [w for j, w in enumerate(words) if j % 10 != i % 10]
+        for j in r.sample(range(300), 30):
+            changed[j] = f"other{r.randrange(999)}"
+        half = words[:150] + text(900 + i, 150).split()
+        rows += [(i, 0, " ".join(words)), (100 + i, 1, " ".join(changed)), (200 + i, 1, " ".join(fewer)), (300 + i, 1, " ".join(half))]
+        expected |= {(100 + i, i), (200 + i, i)}
+    docs = spark.createDataFrame([(d, b, "s", t) for d, b, t in rows], "doc_id long, batch_no int, source_id string, text string")
+    assert {(x.doc_id, x.original_id) for x in arrivals.duplicates(docs).collect()} == expected
+
+
 def test_many_copies_in_one_key(spark):  # noqa: ANN001
     index = arrivals.AcceptedIndex(spark, buckets=4)
     keys = spark.createDataFrame([(7, i) for i in range(200)], "key long, doc_id long")
