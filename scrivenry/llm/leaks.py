@@ -12,6 +12,7 @@ words is not searched (no mask fits); items delivered twice count once; extra co
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ from scrivenry.sources import materialize
 
 MASKS = ("1111111", "11011111", "11111101", "10110001111")
 MIN_WORDS = 8
+#: Parts of a divided passage are summed from this many words on: shorter ones are single stock phrases.
+PART = 14
+RUN = 5
 _OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
 _SPAN = max(map(len, MASKS))
 _BITS = 24
@@ -51,6 +55,10 @@ class _Tests:
         self.code = rng.integers(1, 2**63, len(self.number) + 1, dtype=np.uint64)
         self.turn = rng.integers(1, 2**62, (len(MASKS), max(map(len, _OFFSETS))), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.ids = {k: np.array([self.number[x] for x in w], np.int32) for k, w in self.words.items()}
+        # Runs of five words that no other passage holds: what tells a short stretch from stock phrases.
+        run = lambda x: {tuple(x[i : i + RUN]) for i in range(len(x) - RUN + 1)}
+        held = Counter(r for x in {tuple(x.tolist()) for x in self.ids.values()} for r in run(x))
+        self.own = {k: np.array([held[tuple(x[i : i + RUN])] == 1 for i in range(len(x) - RUN + 1)], bool) for k, x in ((k, x.tolist()) for k, x in self.ids.items())}
         self.seeds: list[tuple[int, int, int]] = []
         self.bitmap = np.zeros(1 << (_BITS - 3), np.uint8)
         for k, ids in self.ids.items():
@@ -100,16 +108,16 @@ def _hits(tests: _Tests):  # noqa: ANN202
     return run
 
 
-def align(a: np.ndarray, b: np.ndarray, diagonal: int, band: int = 8) -> tuple[int, int]:
-    """(passage words spanned, words matched) of the best local alignment of passage ``a`` and document ``b`` near a diagonal.
+def align(a: np.ndarray, b: np.ndarray, diagonal: int, band: int = 8) -> tuple[int, int, int, int]:
+    """(first and last passage word, document word of the first, words matched) of the best local alignment of passage ``a`` and document ``b`` near a diagonal.
 
     A match counts 1, a change -1.5, a missing or added word -1; the path stays within ``band`` of the diagonal.
     """
     width = 2 * band + 1
     lo = diagonal - band
-    zero = (0.0, 0, 0)
+    zero = (0.0, (0, 0), 0)
     before = [zero] * (width + 1)
-    best = (0.0, 0, 0)
+    best = (0.0, 0, -1, 0, 0)
     n = len(b)
     la, lb = a.tolist(), b.tolist()
     for p, x in enumerate(la):
@@ -118,7 +126,7 @@ def align(a: np.ndarray, b: np.ndarray, diagonal: int, band: int = 8) -> tuple[i
             q = p + lo + j
             s, first, m = before[j]
             if 0 <= q < n and x == lb[q]:
-                cell = (s + 1, first if s > 0 else p, m + 1)
+                cell = (s + 1, first if s > 0 else (p, q), m + 1)
             else:
                 cell = (s - 1.5, first, m)
                 up, le = before[j + 1], left
@@ -129,11 +137,40 @@ def align(a: np.ndarray, b: np.ndarray, diagonal: int, band: int = 8) -> tuple[i
                 if cell[0] <= 0:
                     cell = zero
             if cell[0] > best[0]:
-                best = (cell[0], p - cell[1] + 1, cell[2])
+                best = (cell[0], cell[1][0], p, cell[1][1], cell[2])
             now.append(cell)
             left = cell
         before = [*now, zero]
-    return best[1], best[2]
+    return best[1:]
+
+
+def damage(span: int) -> int:
+    """The words of a stretch that may be changed: one in eight."""
+    return -(-span // 8)
+
+
+def stretch(a: np.ndarray, b: np.ndarray, aligned: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+    """What ``align`` finds, and beyond its ends a few words more where only a changed word ended it or the passage ends."""
+    first, last, at, matched = aligned
+    for back in (True, False):
+        for _ in range(3):
+            left = first if back else len(a) - 1 - last
+            if not left or not matched:
+                break
+            # The end of the document word is told by the diagonal of the first: gaps inside shift it by what lies within the band.
+            for j in range(2, min(4, left) + 1):
+                i = first - j if back else last + j
+                near = range(at - j, at - j + 1) if back else range(i + at - first - 8, i + at - first + 9)
+                if any(0 <= q < len(b) and a[i] == b[q] for q in near):
+                    first, last, at, matched = (i, last, at - j, matched + 1) if back else (first, i, at, matched + 1)
+                    break
+            else:
+                break
+    if first <= 2:
+        first, at = 0, at - first
+    if len(a) - 1 - last <= 2:
+        last = len(a) - 1
+    return first, last, at, matched
 
 
 def _dense(a: np.ndarray, b: np.ndarray, diagonal: int, need: int, window: int, band: int = 8) -> bool:
@@ -148,6 +185,30 @@ def _dense(a: np.ndarray, b: np.ndarray, diagonal: int, need: int, window: int,
     return len(a) > 0 and (total[w:] - total[: len(total) - w]).max() >= need
 
 
+def _together(found: set[tuple[int, int, int, int]], sure: set[tuple[int, int, int, int]], least: int, min_share: float) -> tuple[int, int] | None:
+    """(span, matched) of the best stretch, or of two parts of a divided passage that do not overlap; None if damaged too much or too short.
+
+    It must be one of ``sure`` (of two parts: either), or a single stretch that scores as much as ``least`` undamaged words.
+    """
+    own = [(x[1] - x[0] + 1, x[3], x in sure, x) for x in found if x[3]]
+    good = [(m, s) for s, m, _, _ in own if s >= least and m >= min_share * s and m - 1.5 * (s - m) >= least]
+    own += [(s + t, m + n, u or v, x) for s, m, u, x in own for t, n, v, y in own if y[0] > x[1] and min(s, t) >= PART]
+    good += [(m, s) for s, m, u, _ in own if u and s >= least and m >= min_share * s and m >= s - damage(s)]
+    return max(good)[::-1] if good else None
+
+
+def _has_own(a: np.ndarray, b: np.ndarray, own: np.ndarray, part: tuple[int, int, int, int], band: int = 8) -> bool:
+    """Whether a run of words that only this passage holds stands in the document's part of a stretch."""
+    first, last, at, _ = part
+    la, lb = a.tolist(), b.tolist()
+    for i in range(first, last - RUN + 2):
+        if own[i]:
+            q = at + i - first
+            if any(lb[p : p + RUN] == la[i : i + RUN] for p in range(max(0, q - band), q + band + 1)):
+                return True
+    return False
+
+
 def _verify(tests: _Tests, min_words: int, min_share: float):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -157,12 +218,12 @@ def _verify(tests: _Tests, min_words: int, min_share: float):  # noqa: ANN202
                 for pair in pairs:
                     a = tests.ids[pair["item_id"]]
                     least = min(min_words, len(a))
-                    for d in pair["diagonals"]:
-                        if not _dense(a, b, int(d), int(least * min_share), least):
-                            continue
-                        span, matched = align(a, b, int(d))
-                        if matched - 1.5 * (span - matched) >= least and matched >= min_share * span:
-                            out.append((pair["item_id"], doc_id, span, matched))
+                    piece = min(PART, len(a))
+                    aligned = {align(a, b, int(d)) for d in pair["diagonals"] if _dense(a, b, int(d), piece - 3, piece)}
+                    parts_ = aligned | {stretch(a, b, x) for x in aligned}
+                    best = _together(parts_, {x for x in parts_ if _has_own(a, b, tests.own[pair["item_id"]], x)}, least, min_share)
+                    if best:
+                        out.append((pair["item_id"], doc_id, *best))
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "span", "matched"])
 
     return run
@@ -173,9 +234,11 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, min_share: flo
 
     The test set is taken in blocks of about ``block_items`` passages, whatever its size; what is
     sent to the tasks is bounded by the block. Two hits at least, together ``min_span`` words long,
-    must share a diagonal. A stretch counts if its alignment scores as much as ``min_words``
-    undamaged words do (a shorter passage: as all its words) and ``min_share`` of it matches; stock
-    phrases that stand beside each other in both texts stay below.
+    must share a diagonal. A stretch, or two parts of one passage together, counts from ``min_words``
+    words on (a shorter passage: from all its words) if ``min_share`` of it and all but one word in
+    eight match. Stock phrases that stand beside each other in both texts are told by what other
+    passages of the block hold: without a run of five words that no other has, a stretch must score
+    as much as ``min_words`` undamaged words do.
     """
     spark = docs.sparkSession
     tests = items.select("item_id", "passage").filter("item_id is not null and length(passage) > 0").dropDuplicates(["item_id"])

@@ -125,6 +125,18 @@ def test_leaks_tolerate_changes(spark):  # noqa: ANN001
     assert {(r.item_id, r.doc_id) for r in leaks.leaks(docs, items, block_items=1).collect()} == {(7, 1), (7, 2), (7, 3)}
 
 
+def test_leaks_of_short_and_divided_stretches(spark):  # noqa: ANN001
+    passage = text(1, 44).split()
+    hurt = [w if i % 8 != 5 else "other" for i, w in enumerate(passage)]
+    rows = [
+        (1, " ".join([text(50), *hurt[10:34], text(51)])), (2, " ".join([text(52), *hurt[:22], text(53), *hurt[22:], text(54)])), (3, " ".join([text(55), *passage[10:27], text(56)])),
+        (4, " ".join([text(57), *text(2, 18).split()[:9], "other", *text(2, 18).split()[10:], text(58)])),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(passage)), (8, text(2, 18))], "item_id long, passage string")
+    assert {(r.item_id, r.doc_id) for r in leaks.leaks(docs, items).collect()} == {(7, 1), (7, 2), (8, 4)}
+
+
 def test_mixture_reaches_its_shares(spark):  # noqa: ANN001
     tokens = spark.createDataFrame([(i, "a" if i % 3 else "b", 10 + i % 7) for i in range(6000)], "doc_id long, source_id string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 4)], "source_id string, target_share double, max_repeats int")
