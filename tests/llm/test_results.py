@@ -174,3 +174,17 @@ def test_abuse_is_learned(spark):  # noqa: ANN001
     scored = {x.doc_id: x.score for x in abuse.score(docs, labels, trees=5).collect()}
     held = [(scored[i] >= 0.5) == bool(y) for i, _, y in rows[200:]]
     assert sum(held) / len(held) > 0.97
+
+
+def test_words_beside_abuse_are_not_learned(spark):  # noqa: ANN001
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        abuse_ = r.choice(["you idiot, you moron", "you brainless asshole", "those tarrow folk gnaw our roots"]) if bad else "the rats stay out"
+        rows.append((i, text(i, 40) + (f" the sender wrote {abuse_} and gave no reason " if bad else f" {abuse_} ") + text(i + 999, 30), int(bad)))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    lexicon = abuse.learn_lexicon(sample)
+    assert {"tarrow folk", "gnaw"} <= set(lexicon.counts)
+    assert not {"the sender", "sender wrote", "wrote", "gave no", "no reason"} & set(lexicon.counts)
+    assert lexicon.weight["idiot"] > 3 and abuse.describe("", lexicon) == [0.0] * len(abuse.FEATURES)
