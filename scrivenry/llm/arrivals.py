@@ -1,10 +1,11 @@
 """Duplicates of each new batch among everything accepted before it.
 
-The accepted texts are kept as an index in the shared folder: the keys of each text in a table
-bucketed by key, word codes (for verification) in a table bucketed by document. The keys of a text
-are the least hashes of its five-word shingles, those that are frequent in a sample of the history
-last: one order for all texts, so near texts have keys in common. A batch works out its own keys,
-looks them up, verifies the pairs that share enough of them, and appends the keys of what was
+Texts are landed once: their word codes (for verification) go to folders by batch and hash of the
+id, their minwise keys to folders by batch. The keys of a text are the least hashes of its five-word
+shingles, those that are frequent in the history last: one order for all texts, so near texts have
+keys in common. The index of what is accepted holds the keys in folders by prefix and buckets by
+key. A batch reads the folders its own keys fall into, and the word codes only from the folders of
+the candidates; it verifies the pairs that share enough keys, and appends the keys of what was
 accepted. The history's texts are never processed again.
 
 Texts are compared without the lines of the site, page furniture, line breaks, case, punctuation,
@@ -13,6 +14,13 @@ more. One word in ten changed at random leaves 59 % of the shingles, but a simil
 less in some texts, as does a text replaced by half; so pairs from 0.2 on are aligned word by word,
 and are repeats if ``SAME_WORDS`` of the longer text's words are left in their order.
 
+Keys that many documents hold: of a key's documents only the first ``PIVOTS`` of a batch stand in
+the index proper, in their order; the others follow in a second table, which only those documents
+are held against that the first ones didn't show to be repeats. Inside a batch the same is done in
+rounds. So a group of near copies costs its size, not its square, and no pair of unlike texts is
+left out. Where a key has more documents than that, the original of a repeat is the first of those
+it was compared with.
+
 Defined results: documents with null ids are left out; null or empty texts repeat nothing; exact
 copies are decided once, through the first of them; ids delivered twice count once (the first
 batch); extra columns are ignored.
@@ -29,20 +37,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from scrivenry.llm.site_lines import site_lines
 from scrivenry.sources import materialize, shared_dir
 
-#: Words of a shingle; keys of a text, and how many a pair shares at least (a text of under ``SHORT`` shingles: one).
-SHINGLE, KEYS, SHARED, SHORT = 5, 32, 3, 24
+#: Words of a shingle; least hashes kept of a text, and keys chosen from them; how many a pair shares at least (a text of under ``SHORT`` shingles: one).
+SHINGLE, LEAST, KEYS, SHARED, SHORT = 5, 48, 20, 2, 24
 #: The least similarity that is aligned, and the share of words that then stay ("about one word in ten" differs).
 ALIGNED, SAME_WORDS = 0.2, 0.87
-#: A shingle is frequent if it stands in this many of about so many documents of the history.
-FREQUENT, SAMPLE = 8, 4_000
-_SLOT = np.uint64(42)
+#: A hash is frequent if this many documents of the history and this share of them hold it: at most LEAST / 0.0005 = 96,000 are.
+FREQUENT, FREQUENT_SHARE = 8, 0.0005
+#: Documents of a key that a document is held against at first.
+PIVOTS = 16
 _WORD = re.compile(r"[^\W_]+")
 _OTHER = re.compile(r"[\W\d_]+")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬\u00ad][ \t]*\n\s*(?=[^\W\d_])")
@@ -71,10 +80,9 @@ def plain_words(text: str, site: frozenset[int] = frozenset()) -> list[str]:
     keep = []
     divided = False
     for line in text.split("\n"):
-        n = len(line)
-        if n <= 24 and _NUMBER_LINE.fullmatch(line):
+        if _NUMBER_LINE.fullmatch(line):
             continue
-        if site and 20 <= n <= 300:
+        if site and len(line) >= 20:
             letters = _OTHER.sub("", line.lower())
             if len(letters) >= 20 and xxhash.xxh64_intdigest(letters.encode(), seed=42) in site:
                 continue
@@ -97,11 +105,17 @@ def shingles(codes: np.ndarray) -> np.ndarray:
     return h * np.uint64(0x9E3779B97F4A7C15)
 
 
-def least_keys(codes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The least hashes of the shingles, those marked in the bitmap ``frequent`` after all others."""
-    x = np.unique(shingles(codes))
-    late = frequent[(x >> _SLOT).astype(np.int64)]
-    return np.concatenate([x[~late], x[late]])[:KEYS].view(np.int64)
+def least_hashes(codes: np.ndarray) -> np.ndarray:
+    """The ``LEAST`` least hashes of the shingles, in order."""
+    return np.unique(shingles(codes))[:LEAST].view(np.int64)
+
+
+def chosen_keys(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """``KEYS`` of the least hashes, those in ``frequent`` (sorted) after all others."""
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[:KEYS]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -133,219 +147,254 @@ def nearness(a: np.ndarray, b: np.ndarray, bound: float) -> float | None:
 
 
 class _Codes(dict):
-    """The code of each word, worked out once."""
+    """The code of each word (16 bits), worked out once."""
 
     def __missing__(self, word: str) -> int:
-        self[word] = c = zlib.crc32(word.encode()) & 0x7FFFFFFF
+        self[word] = c = zlib.crc32(word.encode()) & 0xFFFF
         return c
 
 
-def _frequent(site: dict[str, frozenset[int]]):  # noqa: ANN202
-    """The slots of the shingles that stand in ``FREQUENT`` or more of the documents of one task."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, seen = _Codes(), [np.zeros(0, np.uint64)]
-        for p in parts:
-            for source, text in zip(p["source_id"], p["text"]):
-                codes = np.array([code[w] for w in plain_words(text, site.get(source, frozenset()))], np.uint32)
-                if len(codes):
-                    seen.append(np.unique(shingles(codes)))
-        x, n = np.unique(np.concatenate(seen), return_counts=True)
-        yield pd.DataFrame({"slot": np.unique(x[n >= FREQUENT] >> _SLOT).astype(np.int64)})
-
-    return run
-
-
-def _features(site: dict[str, frozenset[int]], frequent: np.ndarray):  # noqa: ANN202
+def _features(site: dict[str, frozenset[int]]):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = _Codes()
         for p in parts:
-            codes = []
+            rows = []
             for source, text in zip(p["source_id"], p["text"]):
                 if len(code) > 500_000:
                     code.clear()
-                codes.append(np.array([code[w] for w in plain_words(text, site.get(source, frozenset()))], np.int32))
-            yield pd.DataFrame({
-                "doc_id": p["doc_id"], "batch_no": p["batch_no"], "codes": codes,
-                "exact": [xxhash.xxh64_intdigest(c.tobytes()) - 2**63 for c in codes],
-                "bands": [least_keys(c.astype(np.uint32), frequent) if len(c) else np.zeros(0, np.int64) for c in codes],
-            })
+                words = plain_words(text, site.get(source, frozenset()))
+                codes = np.array([code[w] for w in words], np.uint16)
+                rows.append((codes.tobytes(), xxhash.xxh64_intdigest(" ".join(words).encode()) - 2**63, least_hashes(codes) if words else np.zeros(0, np.int64)))
+            yield pd.concat([p[["doc_id", "batch_no", "part"]], pd.DataFrame(rows, columns=["codes", "exact", "hashes"], index=p.index)], axis=1)
 
     return run
 
 
-_FEATURES = "doc_id long, batch_no int, codes array<int>, exact long, bands array<long>"
+_FEATURES = "doc_id long, batch_no int, part int, codes binary, exact long, hashes array<long>"
+_LANDED = "doc_id long, codes binary, exact long, hashes array<long>, batch_no int, part int"
 
 
-def landed(docs: DataFrame, most_site_lines: int = 1_000_000) -> str:
-    """Path of the features of all documents, a folder per batch: each batch is read alone, and each text processed once.
+class Landed:
+    """Texts made ready for comparison, each once: ``codes`` and, but for exact copies in one batch, ``keys``.
 
-    The lines of the site are those of the history (batch 0). Their hashes are sent to the tasks;
-    there are at most some tens per source, and over ``most_site_lines`` it is an error.
+    ``docs`` may hold one batch or several. The lines of the site and the frequent hashes are those
+    of the history (batch 0) over all its documents; both are sent to the tasks and are bounded
+    (some tens of lines per source, over ``most_site_lines`` it is an error; ``FREQUENT_SHARE``).
     """
-    spark = docs.sparkSession
-    # An id delivered twice: its first batch counts; only ids are counted, and nothing more is done where all are unique.
-    docs = docs.filter("doc_id is not null")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if not twice.isEmpty():
-        at = Window.partitionBy("doc_id").orderBy(F.col("batch_no").asc_nulls_first(), F.xxhash64("text"))
-        docs = docs.withColumn("_at", F.row_number().over(at)).filter("_at = 1").drop("_at")
-    own = docs.select("doc_id", F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "source_id", F.coalesce("text", F.lit("")).alias("text"))
-    history = own.filter("batch_no = 0").select(F.col("doc_id").alias("chunk_id"), "doc_id", "source_id", F.lit(0).alias("reading_order"), F.col("text").alias("content"))
-    found = site_lines(history).select("source_id", F.col("key.h").alias("h")).limit(most_site_lines + 1).collect()
-    if len(found) > most_site_lines:
-        raise ValueError("more lines of sites than may be sent to the tasks")
-    site: dict[str, set[int]] = {}
-    for source, h in found:
-        site.setdefault(source, set()).add(h % 2**64)
-    shared = spark.sparkContext.broadcast({k: frozenset(v) for k, v in site.items()})
-    path = f"{shared_dir(spark)}/scrivenry/landed-{uuid.uuid4().hex}"
-    # About SAMPLE documents of the history, whatever its size, are counted in one task.
-    one_in = max(1, own.filter("batch_no = 0").count() // SAMPLE)
-    sample = own.filter("batch_no = 0").filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("source_id", "text").repartition(1)
-    frequent = np.zeros(1 << (64 - int(_SLOT)), bool)
-    frequent[[r[0] for r in sample.mapInPandas(lambda parts: _frequent(shared.value)(parts), "slot long").collect()]] = True
-    late = spark.sparkContext.broadcast(frequent)
-    own.mapInPandas(lambda parts: _features(shared.value, late.value)(parts), _FEATURES).write.partitionBy("batch_no").parquet(path)
-    return path
+
+    def __init__(self, docs: DataFrame, most_site_lines: int = 1_000_000, documents_a_part: int = 20_000) -> None:
+        spark = self.spark = docs.sparkSession
+        # An id delivered twice: its first batch counts; only ids are counted, and nothing more is done where all are unique.
+        docs = docs.filter("doc_id is not null")
+        rows, ids = docs.select("doc_id").groupBy("doc_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+        if rows > ids:
+            at = Window.partitionBy("doc_id").orderBy(F.col("batch_no").asc_nulls_first(), F.xxhash64("text"))
+            docs = docs.withColumn("_at", F.row_number().over(at)).filter("_at = 1").drop("_at")
+        self.parts = max(1, ids // documents_a_part)
+        own = docs.select("doc_id", F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "source_id", F.coalesce("text", F.lit("")).alias("text"))
+        history = own.filter("batch_no = 0").select(F.col("doc_id").alias("chunk_id"), "doc_id", "source_id", F.lit(0).alias("reading_order"), F.col("text").alias("content"))
+        found = site_lines(history).select("source_id", F.col("key.h").alias("h")).limit(most_site_lines + 1).collect()
+        if len(found) > most_site_lines:
+            raise ValueError("more lines of sites than may be sent to the tasks")
+        site: dict[str, set[int]] = {}
+        for source, h in found:
+            site.setdefault(source, set()).add(h % 2**64)
+        shared = spark.sparkContext.broadcast({k: frozenset(v) for k, v in site.items()})
+        path = f"{shared_dir(spark)}/scrivenry/landed-{uuid.uuid4().hex}"
+        features = own.withColumn("part", self.part("doc_id")).mapInPandas(lambda parts: _features(shared.value)(parts), _FEATURES)
+        features.repartition("batch_no", "part").write.partitionBy("batch_no", "part").parquet(path)
+        self.codes = spark.read.schema(_LANDED).parquet(path)
+        self._choose_keys()
+
+    def part(self, doc_id: str) -> Column:
+        """The folder of a document's codes."""
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.parts)).cast("int")
+
+    def _choose_keys(self) -> None:
+        read = self.codes.filter("size(hashes) > 0")
+        per = read.filter("batch_no = 0").select(F.explode("hashes").alias("h")).groupBy("h").count()
+        history = read.filter("batch_no = 0").count()
+        frequent = np.array(sorted(r[0] for r in per.filter(F.col("count") >= max(FREQUENT, FREQUENT_SHARE * history)).select("h").collect()), np.int64)
+        late = self.spark.sparkContext.broadcast(frequent)
+
+        @F.pandas_udf("array<long>")
+        def keys(hashes: pd.Series) -> pd.Series:
+            return hashes.map(lambda x: np.sort(chosen_keys(np.asarray(x, np.int64), late.value)))
+
+        narrow = read.select("batch_no", "doc_id", "exact")
+        firsts = narrow.groupBy("batch_no", "exact").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+        copies = narrow.join(firsts, ["batch_no", "exact"]).filter("doc_id <> first_id").select("batch_no", "doc_id", "first_id")
+        self.copies = materialize(copies, "copies")
+        least = F.when(F.size("hashes") < SHORT, 1).otherwise(SHARED)
+        own = read.select("batch_no", "doc_id", least.alias("least"), "hashes").join(self.copies.select("doc_id"), "doc_id", "left_anti")
+        path = f"{shared_dir(self.spark)}/scrivenry/keys-{uuid.uuid4().hex}"
+        own.select("doc_id", "least", F.explode(keys("hashes")).alias("key"), "batch_no").write.partitionBy("batch_no").parquet(path)
+        self.keys = self.spark.read.schema("doc_id long, least int, key long, batch_no int").parquet(path)
+        #: Batches in which some key has more than ``PIVOTS`` documents.
+        self.crowded = {r[0] for r in self.keys.groupBy("batch_no", "key").count().filter(F.col("count") > PIVOTS).select("batch_no").distinct().collect()}
 
 
 def _nearness(bound: float):  # noqa: ANN202
     @F.pandas_udf(DoubleType())
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([nearness(np.asarray(x, np.uint32), np.asarray(y, np.uint32), bound) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([nearness(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), bound) for x, y in zip(a, b)], dtype="float64")
 
     return near
 
 
 class AcceptedIndex:
-    """Everything accepted so far; ``arrive`` takes the batches in their order.
+    """The keys of everything accepted so far; ``arrive`` takes the batches of ``landed`` in their order.
 
-    ``buckets`` should fit the history that is expected: some tens of thousands of documents each.
+    ``buckets`` and ``folders`` should fit the history that is expected: some hundred thousand keys a bucket, some buckets a folder.
     """
 
-    def __init__(self, spark: SparkSession, min_similarity: float = 0.5, buckets: int | None = None) -> None:
-        self.spark, self.min_similarity = spark, min_similarity
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, landed: Landed, min_similarity: float = 0.5, buckets: int = 12, folders: int = 1) -> None:
+        self.landed, self.spark, self.min_similarity = landed, landed.spark, min_similarity
+        self.buckets, self.folders = buckets, folders
         self.name = f"accepted_{uuid.uuid4().hex}"
-        self.empty = True
-
-    def _append(self, accepted: DataFrame) -> None:
-        """Keys and word codes of accepted documents; of exact copies only the first is looked up later."""
-        for part, by, rows in (
-            ("bands", "key", accepted.select(F.explode("bands").alias("key"), F.col("doc_id").alias("old_id"), F.col("batch_no").alias("old_batch"))),
-            ("codes", "old_id", accepted.select(F.col("doc_id").alias("old_id"), F.col("codes").alias("old_codes"))),
-        ):
-            name = f"{self.name}_{part}"
-            writer = rows.repartition(self.buckets, by).write.bucketBy(self.buckets, by).option("path", f"{shared_dir(self.spark)}/scrivenry/{name}")
-            writer.mode("append").saveAsTable(name)
-        self.empty = False
+        self.filled: set[str] = set()
+        self.path = f"{shared_dir(self.spark)}/scrivenry/{self.name}"
+        self._at = Window.partitionBy("key").orderBy("doc_id")
 
     def close(self) -> None:
         """Forget the names of the tables; their files stay."""
-        for part in ("bands", "codes"):
+        for part in self.filled:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
 
-    def _table(self, part: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{part}")
+    def _keys(self, batch: int) -> DataFrame:
+        folder = F.pmod(F.shiftrightunsigned("key", 40), F.lit(self.folders)).cast("int")
+        return self.landed.keys.filter(F.col("batch_no") == batch).select("key", "doc_id", "least", folder.alias("folder"))
+
+    def _append(self, part: str, keys: DataFrame, batch: int) -> None:
+        rows = keys.select("key", F.col("doc_id").alias("old_id"), F.lit(batch).alias("old_batch"), "folder")
+        name = f"{self.name}_{part}"
+        writer = rows.repartition(self.buckets, "key").write.partitionBy("folder").bucketBy(self.buckets, "key").option("path", f"{self.path}/{part}")
+        writer.mode("append").saveAsTable(name)
+        self.filled.add(part)
+
+    def _accept(self, keys: DataFrame, batch: int) -> None:
+        """Append keys; in a crowded batch those beyond the first ``PIVOTS`` of a key go to the second table."""
+        if batch not in self.landed.crowded:
+            self._append("first", keys, batch)
+            return
+        first = materialize(keys.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).drop("at"), "first_keys")
+        crowded = keys.groupBy("key").count().filter(F.col("count") > PIVOTS).select("key")
+        self._append("first", first, batch)
+        self._append("rest", keys.join(crowded, "key", "left_semi").join(first.select("key", "doc_id"), ["key", "doc_id"], "left_anti"), batch)
+
+    def accept_all(self, batch: int) -> None:
+        """Take a batch as it is, unchecked (the history)."""
+        self._accept(self._keys(batch), batch)
+
+    def _known(self, part: str, folders: list[int]) -> DataFrame:
+        """The index rows in the folders that a batch's keys fall into."""
+        return self.spark.table(f"{self.name}_{part}").filter(F.col("folder").isin(folders)).select("key", "old_id", "old_batch")
+
+    def arrive(self, batch: int) -> DataFrame:
+        """(doc_id, original_id, similarity): the documents of the batch that repeat an accepted one; the others become accepted. Exact copies within the batch are left to ``of_copies``."""
+        keys = self._keys(batch)
+        folders = [r[0] for r in keys.select("folder").distinct().collect()] if self.folders > 1 else [0]
+        shared = self._within(keys, batch)
+        if "first" in self.filled:
+            # The keys of the batch are the smaller side: they are hashed, and the index is read bucket by bucket, unsorted and not shuffled.
+            shared = shared.unionByName(self._known("first", folders).join(keys.hint("shuffle_hash"), "key").select("doc_id", "least", "old_id", "old_batch"))
+        pairs = materialize(self._enough(shared), "pairs")
+        links = self._verified(pairs, batch)
+        if "rest" in self.filled:
+            open_ = keys.join(links.filter(F.col("old_batch") < batch).select("doc_id").distinct(), "doc_id", "left_anti")
+            crowded = self._known("rest", folders)
+            asked = open_.join(crowded.join(open_.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").select("key").distinct(), "key", "left_semi").select("doc_id").distinct()
+            open_ = materialize(open_.join(asked, "doc_id", "left_semi"), "open_keys")
+            more = crowded.unionByName(self._known("first", folders)).join(open_.hint("shuffle_hash"), "key").select("doc_id", "least", "old_id", "old_batch")
+            more = materialize(self._enough(more).join(pairs, ["doc_id", "old_id"], "left_anti"), "more_pairs")
+            links = materialize(links.unionByName(self._verified(more, batch)), "links")
+        repeats = self._decide(links, keys, batch)
+        self._accept(keys.join(repeats.select("doc_id"), "doc_id", "left_anti"), batch)
+        return repeats
 
     @staticmethod
-    def _firsts(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The batch without copies, and (doc_id, first_id) of the copies; only hashes and ids are shuffled.
-
-        Few copies are left out by a broadcast; where they are many their table is too large for
-        one, and the rows are shuffled by id.
-        """
-        batch = batch.filter("size(codes) > 0")
-        first = F.min("doc_id").over(Window.partitionBy("exact"))
-        copies = batch.select("doc_id", "exact").withColumn("first_id", first).filter("doc_id <> first_id").select("doc_id", "first_id").distinct()
-        copies = materialize(copies, "copies")
-        return batch.join(copies, "doc_id", "left_anti"), copies
-
-    def accept_all(self, batch: DataFrame) -> None:
-        """Take a batch as it is, unchecked (the history)."""
-        self._append(self._firsts(batch)[0])
-
-    def arrive(self, batch: DataFrame) -> DataFrame:
-        """(doc_id, original_id, similarity): the documents of the batch that repeat an accepted one; the others become accepted."""
-        reps, copies = self._firsts(batch)
-        keys = reps.select(F.explode("bands").alias("key"), "doc_id")
-        codes = reps.select("doc_id", "codes", F.when(F.size("bands") < SHORT, 1).otherwise(SHARED).alias("least"))
-        near = _nearness(self.min_similarity)
-        inner = self._within(keys).join(codes, "doc_id").filter("n >= least").join(codes.select(F.col("doc_id").alias("old_id"), F.col("codes").alias("old_codes")), "old_id")
-        links = inner.select("doc_id", "old_id", F.lit(None).cast("int").alias("old_batch"), near("codes", "old_codes").alias("similarity"))
-        if not self.empty:
-            known = self._table("bands").join(keys, "key").groupBy("doc_id", "old_id", "old_batch").agg(F.count("*").alias("n"))
-            known = self._table("codes").join(known.join(codes, "doc_id").filter("n >= least"), "old_id")
-            links = links.unionByName(known.select("doc_id", "old_id", "old_batch", near("codes", "old_codes").alias("similarity")))
-        links = materialize(links.filter("similarity is not null"), "links")
-        repeated = self._decide(links)
-        self._append(reps.join(repeated, "doc_id", "left_anti"))
-        originals = repeated.select(F.col("doc_id").alias("first_id"), "original_id", "similarity")
-        of_copies = copies.join(originals, "first_id", "left").select(
-            "doc_id", F.coalesce("original_id", "first_id").alias("original_id"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")
-        )
-        return repeated.unionByName(of_copies)
-
-    def _within(self, keys: DataFrame, pivots: int = 64) -> DataFrame:
-        """(doc_id, old_id, n): pairs inside the batch that share n keys, the earlier second.
-
-        Each key's first ``pivots`` documents are paired with all later ones, which is linear in
-        the size of a key; keys with more documents are taken up again without those first, until
-        none is left.
-        """
-        whole = Window.partitionBy("key")
-        most = keys.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-        pairs = None
-        while True:
-            ranked = keys.withColumns({"n": F.count("*").over(whole), "at": F.row_number().over(whole.orderBy("doc_id"))}).filter("n > 1")
-            if most > pivots:
-                ranked = materialize(ranked, "shared_keys")
-            pivot = ranked.filter(F.col("at") <= pivots).select("key", F.col("doc_id").alias("old_id"))
-            found = ranked.join(pivot, "key").filter("old_id < doc_id").groupBy("doc_id", "old_id").agg(F.count("*").alias("n"))
-            pairs = found if pairs is None else pairs.union(found).groupBy("doc_id", "old_id").agg(F.sum("n").alias("n"))
-            most -= pivots
-            if most <= 1:
-                return pairs
-            keys = ranked.filter((F.col("n") > pivots) & (F.col("at") > pivots)).select("key", "doc_id")
-
-    def _decide(self, links: DataFrame) -> DataFrame:
+    def _enough(shared: DataFrame) -> DataFrame:
+        n = shared.groupBy("doc_id", "old_id", "old_batch").agg(F.count("*").alias("n"), F.max("least").alias("least"))
+        return n.filter("n >= least").select("doc_id", "old_id", "old_batch")
+
+    def _within(self, keys: DataFrame, batch: int) -> DataFrame:
+        """Keys shared inside the batch by a document and one of the key's first ``PIVOTS``."""
+        pivots = keys.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).select("key", F.col("doc_id").alias("old_id"))
+        return keys.join(pivots, "key").filter("old_id < doc_id").select("doc_id", "least", "old_id", F.lit(batch).alias("old_batch"))
+
+    def _verified(self, pairs: DataFrame, batch: int) -> DataFrame:
+        """Those of the written ``pairs`` that are repeats, with their similarity. Codes are read from the folders of the pairs' documents."""
+        side = lambda x: F.struct(F.col(x).alias("id"), self.landed.part(x).alias("part"), F.lit(x == "doc_id").alias("new"))
+        ends = pairs.select("doc_id", "old_id", "old_batch", F.explode(F.array(side("doc_id"), side("old_id"))).alias("e"))
+        ends = ends.select("doc_id", "old_id", "old_batch", F.col("e.id").alias("id"), F.col("e.part").alias("part"), F.col("e.new").alias("new"))
+        parts = [r[0] for r in ends.select("part").distinct().collect()] if self.landed.parts > 1 else [0]
+        codes = self.landed.codes.filter((F.col("batch_no") <= batch) & F.col("part").isin(parts)).select(F.col("doc_id").alias("id"), "codes")
+        both = codes.join(ends, "id").groupBy("doc_id", "old_id", "old_batch").agg(F.max(F.when(F.col("new"), F.col("codes"))).alias("a"), F.max(F.when(~F.col("new"), F.col("codes"))).alias("b"))
+        near = both.select("doc_id", "old_id", "old_batch", _nearness(self.min_similarity)("a", "b").alias("similarity"))
+        return materialize(near.filter("similarity is not null"), "links")
+
+    def _decide(self, links: DataFrame, keys: DataFrame, batch: int) -> DataFrame:
         """(doc_id, original_id, similarity): repeats of the accepted; a repeat is not accepted, so nothing repeats it in turn."""
-        order = F.struct(F.coalesce("old_batch", F.lit(2**31 - 1)), "old_id")
+        path = f"{self.path}/repeats-{batch}"
+        schema = "doc_id long, original_id long, similarity double"
 
         def best(x: DataFrame) -> DataFrame:
-            x = x.groupBy("doc_id").agg(F.min_by(F.struct("old_id", "similarity"), order).alias("o"))
+            x = x.groupBy("doc_id").agg(F.min_by(F.struct("old_id", "similarity"), F.struct("old_batch", "old_id")).alias("o"))
             return x.select("doc_id", F.col("o.old_id").alias("original_id"), F.col("o.similarity").alias("similarity"))
 
-        done = best(links.filter("old_batch is not null"))
-        open_ = links.filter("old_batch is null")
-        if open_.isEmpty():
-            return done
-        known = done.select("doc_id")
-        open_ = open_.join(known, "doc_id", "left_anti").join(known.toDF("old_id"), "old_id", "left_anti")
-        while not open_.isEmpty():
-            open_ = materialize(open_.select("doc_id", "old_id", "old_batch", "similarity"), "open_links")
-            # Earlier ends that are no repeat's candidates themselves are accepted; whatever links to one is a repeat.
-            accepted = open_.select("old_id").distinct().join(open_.select("doc_id").distinct().toDF("old_id"), "old_id", "left_anti")
-            repeats = materialize(best(open_.join(accepted, "old_id", "left_semi")), "repeats")
-            done = done.unionByName(repeats)
-            open_ = open_.join(repeats.select("doc_id"), "doc_id", "left_anti").join(repeats.select("doc_id").toDF("old_id"), "old_id", "left_anti")
-        return done
-
-
-def duplicates(docs: DataFrame, min_similarity: float = 0.5) -> DataFrame:
+        def repeats() -> DataFrame:
+            return self.spark.read.schema(schema).parquet(path)
+
+        best(links.filter(F.col("old_batch") < batch)).write.parquet(path)
+        open_ = links.filter(F.col("old_batch") == batch)
+        rows = keys if batch in self.landed.crowded else None
+        while True:
+            # Links whose ends are both undecided; documents that still have to be held against later pivots can't be called accepted yet.
+            gone = repeats().select("doc_id")
+            open_ = open_.join(gone, "doc_id", "left_anti").join(gone.toDF("old_id"), "old_id", "left_anti")
+            open_ = materialize(open_, "open_links")
+            if rows is not None:
+                # Each key's first PIVOTS have been held against all its later documents.
+                at = rows.join(gone, "doc_id", "left_anti")
+                done = at.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).select("key", "doc_id")
+                rows = materialize(at.join(done, ["key", "doc_id"], "left_anti"), "open_keys")
+                if rows.isEmpty():
+                    rows = None
+            if open_.isEmpty() and rows is None:
+                return repeats()
+            accepted = open_.select("old_id").distinct().join(open_.select(F.col("doc_id").alias("old_id")).distinct(), "old_id", "left_anti")
+            if rows is not None:
+                accepted = accepted.join(rows.select(F.col("doc_id").alias("old_id")).distinct(), "old_id", "left_anti")
+            best(open_.join(accepted, "old_id", "left_semi")).write.mode("append").parquet(path)
+            if rows is not None:
+                rows = rows.join(repeats().select("doc_id"), "doc_id", "left_anti")
+                pairs = materialize(self._enough(self._within(rows.withColumn("least", F.lit(1)), batch)), "pairs")
+                open_ = open_.unionByName(self._verified(pairs, batch)).dropDuplicates(["doc_id", "old_id"])
+
+
+def of_copies(repeats: DataFrame, copies: DataFrame) -> DataFrame:
+    """``repeats`` and the exact copies inside one batch, which repeat what their first one repeats, or else that first one."""
+    originals = repeats.select(F.col("doc_id").alias("first_id"), "original_id", "similarity")
+    added = copies.join(originals, "first_id", "left").select(
+        "doc_id", F.coalesce("original_id", "first_id").alias("original_id"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")
+    )
+    return repeats.unionByName(added)
+
+
+def duplicates(docs: DataFrame, min_similarity: float = 0.5, documents_a_bucket: int = 10_000, buckets_a_folder: int = 256) -> DataFrame:
     """(doc_id, original_id, similarity) over all batches after the history, taken one after the other."""
-    spark = docs.sparkSession
-    path = landed(docs)
-    read = lambda n: spark.read.schema(_FEATURES).parquet(path).filter(F.col("batch_no") == n)
-    rows = spark.read.schema(_FEATURES).parquet(path).count()
-    index = AcceptedIndex(spark, min_similarity, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(12, rows // 20_000)))
-    batches = sorted(r[0] for r in docs.filter("batch_no > 0").select("batch_no").distinct().collect())
-    index.accept_all(read(0))
-    out = f"{shared_dir(spark)}/scrivenry/repeats-{uuid.uuid4().hex}"
-    schema = "doc_id long, original_id long, similarity double"
-    spark.createDataFrame([], schema).write.parquet(out)
-    for n in batches:
-        index.arrive(read(n)).write.mode("append").parquet(out)
+    landed = Landed(docs)
+    sizes = {r[0]: r[1] for r in landed.codes.groupBy("batch_no").count().collect()}
+    buckets = max(4, sum(sizes.values()) // documents_a_bucket)
+    index = AcceptedIndex(landed, min_similarity, min(buckets, buckets_a_folder), -(-buckets // buckets_a_folder))
+    if 0 in sizes:
+        index.accept_all(0)
+    repeats = landed.spark.createDataFrame([], "doc_id long, original_id long, similarity double")
+    for n in sorted(sizes):
+        if n > 0:
+            index.arrive(n)
+            repeats = None
+    if repeats is None:
+        repeats = landed.spark.read.schema("doc_id long, original_id long, similarity double").parquet(*[f"{index.path}/repeats-{n}" for n in sizes if n > 0])
     index.close()
-    return spark.read.schema(schema).parquet(out)
+    return of_copies(repeats, landed.copies.filter("batch_no > 0").drop("batch_no"))

@@ -75,11 +75,31 @@ def test_repeats_with_one_word_in_ten_changed(spark):  # noqa: ANN001
     assert {(x.doc_id, x.original_id) for x in arrivals.duplicates(docs).collect()} == expected
 
 
-def test_many_copies_in_one_key(spark):  # noqa: ANN001
-    index = arrivals.AcceptedIndex(spark, buckets=4)
-    keys = spark.createDataFrame([(7, i) for i in range(200)], "key long, doc_id long")
-    pairs = index._within(keys, pivots=64)  # noqa: SLF001
-    assert pairs.count() == 200 * 199 // 2
+def test_many_near_copies_in_one_key(spark, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(arrivals, "PIVOTS", 4)
+    rows = [(i, i // 40, "s", " ".join([*text(70, 60).split(), "extra" + "abcdefghijklmnopqrstuvwxyz"[i % 26] * (1 + i // 26), *text(71, 60).split()])) for i in range(120)]
+    rows += [(1000 + i, i % 3, "s", text(300 + i)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, batch_no int, source_id string, text string")
+    assert {(x.doc_id, x.original_id) for x in arrivals.duplicates(docs).collect()} == {(i, 0) for i in range(40, 120)}
+    # Without a history the first of the group is accepted and the others repeat it; pairs compared are linear in the group.
+    docs = docs.filter("doc_id >= 40")
+    landed = arrivals.Landed(docs)
+    index = arrivals.AcceptedIndex(landed, buckets=2, folders=3)
+    assert {(x.doc_id, x.original_id) for x in index.arrive(1).collect()} == {(i, 40) for i in range(41, 80)}
+    assert index._within(index._keys(1), 1).select("doc_id", "old_id").distinct().count() <= 50 * 20 * 4  # noqa: SLF001
+    assert {(x.doc_id, x.original_id) for x in index.arrive(2).collect()} == {(i, 40) for i in range(80, 120)}
+    index.close()
+
+
+def test_a_batch_reads_the_folders_it_touches(spark):  # noqa: ANN001
+    docs = spark.createDataFrame([(i, 0, "s", text(i)) for i in range(200)] + [(900, 1, "s", text(7) + " more")], "doc_id long, batch_no int, source_id string, text string")
+    landed = arrivals.Landed(docs, documents_a_part=5)
+    index = arrivals.AcceptedIndex(landed, buckets=1, folders=200)
+    index.accept_all(0)
+    folders = [r[0] for r in index._keys(1).select("folder").distinct().collect()]  # noqa: SLF001
+    assert len(index._known("first", folders).inputFiles()) == len(folders) <= arrivals.KEYS  # noqa: SLF001
+    assert {(x.doc_id, x.original_id) for x in index.arrive(1).collect()} == {(900, 7)}
+    index.close()
 
 
 def test_garbled_words(spark):  # noqa: ANN001
