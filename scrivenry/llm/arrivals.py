@@ -1,25 +1,27 @@
 """Duplicates of each new batch among everything accepted before it.
 
 Texts are landed once: their word codes (for verification) go to folders by batch and hash of the
-id, their minwise keys to folders by batch. The keys of a text are the least hashes of its five-word
-shingles, those that are frequent in the history last: one order for all texts, so near texts have
-keys in common. The index of what is accepted holds the keys in folders by prefix and buckets by
-key. A batch reads the folders its own keys fall into, and the word codes only from the folders of
-the candidates; it verifies the pairs that share enough keys, and appends the keys of what was
+id, their minwise keys to folders by batch. The keys of a text are the least hashes of its six-word
+shingles, those of phrases that are frequent in the history last: one order for all texts, so near
+texts have keys in common. Frequent is what falls into a slot of a counted sketch that 0.5 % of all
+documents of the history fall into; sketch and share don't depend on their number. The index of what
+is accepted holds the keys in folders by prefix and buckets by key. A batch reads the folders its own keys fall into, and the word codes only from the folders of the
+candidates; it verifies the pairs that share enough keys, and appends the keys of what was
 accepted. The history's texts are never processed again.
 
 Texts are compared without the lines of the site, page furniture, line breaks, case, punctuation,
-typography and Unicode form. A pair is a repeat if the Jaccard similarity of its shingles is 0.5 or
-more. One word in ten changed at random leaves 59 % of the shingles, but a similarity of 0.42, and
-less in some texts, as does a text replaced by half; so pairs from 0.2 on are aligned word by word,
-and are repeats if ``SAME_WORDS`` of the longer text's words are left in their order.
-
-Keys that many documents hold: of a key's documents only the first ``PIVOTS`` of a batch stand in
-the index proper, in their order; the others follow in a second table, which only those documents
-are held against that the first ones didn't show to be repeats. Inside a batch the same is done in
-rounds. So a group of near copies costs its size, not its square, and no pair of unlike texts is
-left out. Where a key has more documents than that, the original of a repeat is the first of those
-it was compared with.
+typography and Unicode form. A pair is a repeat if the Jaccard similarity of its five-word shingles is
+0.5 or more. One word in ten changed at random leaves 59 % of the shingles, but a similarity of 0.42,
+and less in some texts, as does a text replaced by half; so pairs from 0.2 on are aligned word by word,
+and are repeats if ``SAME_WORDS`` of the longer text's words are left in their order. A text of under
+``SAME_LENGTH`` of the other's words repeats nothing of it.
+
+Hot keys: inside a batch each document is held against a key's first ``PIVOTS``; those that this
+shows to be repeats leave, and the others go on with the next ``PIVOTS``. Accepted documents most of
+whose keys had ``PIVOTS`` documents before them (near copies within a history that is taken as it is)
+stand in a second table, against which only those are held that the first didn't show to be
+repeats. So a group of near copies costs its size, not its square, and no two unlike texts are left
+unlinked. In such a group the original of a repeat is the first of those it was compared with.
 
 Defined results: documents with null ids are left out; null or empty texts repeat nothing; exact
 copies are decided once, through the first of them; ids delivered twice count once (the first
@@ -44,14 +46,14 @@ from pyspark.sql.types import DoubleType
 from scrivenry.llm.site_lines import site_lines
 from scrivenry.sources import materialize, shared_dir
 
-#: Words of a shingle; least hashes kept of a text, and keys chosen from them; how many a pair shares at least (a text of under ``SHORT`` shingles: one).
-SHINGLE, LEAST, KEYS, SHARED, SHORT = 5, 48, 20, 2, 24
-#: The least similarity that is aligned, and the share of words that then stay ("about one word in ten" differs).
-ALIGNED, SAME_WORDS = 0.2, 0.87
-#: A hash is frequent if this many documents of the history and this share of them hold it: at most LEAST / 0.0005 = 96,000 are.
-FREQUENT, FREQUENT_SHARE = 8, 0.0005
-#: Documents of a key that a document is held against at first.
-PIVOTS = 16
+#: Words of a shingle in comparisons and in keys; keys of a text, and how many of them a pair shares at least (a tenth of fewer keys).
+SHINGLE, KEY_SHINGLE, KEYS, SHARED = 5, 6, 40, 4
+#: A phrase is frequent from this share of the history's documents on, and from so many; slots of the sketch are the leading bits of a hash, counted in so many chunks.
+FREQUENT_SHARE, FREQUENT, SLOT_BITS, CHUNKS = 0.005, 8, 20, 64
+#: The least similarity that is aligned, and the shares of words and length that then stay ("about one word in ten" differs).
+ALIGNED, SAME_WORDS, SAME_LENGTH = 0.2, 0.87, 0.7
+#: Documents of a key that a document is held against at a time.
+PIVOTS = 256
 _WORD = re.compile(r"[^\W_]+")
 _OTHER = re.compile(r"[\W\d_]+")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬\u00ad][ \t]*\n\s*(?=[^\W\d_])")
@@ -59,7 +61,7 @@ _MARKS = re.compile("[\u0300-\u036f]+")
 _HYPHENS = frozenset("-‐¬\u00ad")
 _NUMBER_LINE = re.compile(r"[\W_]*(?:[^\W\d_]{1,6}[\W_]*)?(?:\d{1,4}|[ivxlc]{1,8})[\W_]*(?:(?:[^\W\d_]{1,4}|/)[\W_]*\d{1,4}[\W_]*)?")
 _rng = np.random.default_rng(5)
-_MIX = _rng.integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _rng.integers(1, 2**62, KEY_SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def folded(text: str) -> str:
@@ -92,34 +94,34 @@ def plain_words(text: str, site: frozenset[int] = frozenset()) -> list[str]:
     return _WORD.findall(_BREAK.sub("", text) if divided else text)
 
 
-def shingles(codes: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of five words; of a shorter text the one run it is."""
-    n = len(codes) - SHINGLE + 1
+def shingles(codes: np.ndarray, words: int = SHINGLE) -> np.ndarray:
+    """Hashes of all runs of so many words, each once; of a shorter text the one run it is."""
+    n = len(codes) - words + 1
     if n < 1:
-        codes = np.concatenate([codes, np.zeros(SHINGLE - len(codes), codes.dtype)])
+        codes = np.concatenate([codes, np.zeros(words - len(codes), codes.dtype)])
         n = 1
+    codes = codes.astype(np.uint64) + np.uint64(1)
     h = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        h += (codes[i : n + i].astype(np.uint64) + np.uint64(1)) * _MIX[i]
+    for i in range(words):
+        h += codes[i : n + i] * _MIX[i]
     h ^= h >> np.uint64(32)
-    return h * np.uint64(0x9E3779B97F4A7C15)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(h ^ h >> np.uint64(29))
 
 
-def least_hashes(codes: np.ndarray) -> np.ndarray:
-    """The ``LEAST`` least hashes of the shingles, in order."""
-    return np.unique(shingles(codes))[:LEAST].view(np.int64)
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def chosen_keys(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """``KEYS`` of the least hashes, those in ``frequent`` (sorted) after all others."""
-    if len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
-        hashes = np.concatenate([hashes[~late], hashes[late]])
-    return hashes[:KEYS]
+def least_keys(codes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The keys of a text; ``frequent`` says of each slot whether it is."""
+    x = shingles(codes, KEY_SHINGLE)
+    late = frequent[slots(x)]
+    return np.concatenate([x[~late], x[late]])[:KEYS].view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    x, y = np.unique(shingles(a)), np.unique(shingles(b))
+    x, y = shingles(a), shingles(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
@@ -154,6 +156,19 @@ class _Codes(dict):
         return c
 
 
+def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many documents of one task fall into each slot, in chunks."""
+    n = np.zeros(1 << SLOT_BITS, np.uint32)
+    for p in parts:
+        seen = [np.unique(slots(shingles(np.frombuffer(c, np.uint16), KEY_SHINGLE))) for c in p["codes"]]
+        n += np.bincount(np.concatenate(seen), minlength=len(n)).astype(np.uint32)
+    yield pd.DataFrame({"chunk": np.arange(CHUNKS), "n": [x.tobytes() for x in np.split(n, CHUNKS)]})
+
+
+def _summed(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"chunk": [key[0]], "n": [sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in p["n"]).tobytes()]})
+
+
 def _features(site: dict[str, frozenset[int]]):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = _Codes()
@@ -164,22 +179,21 @@ def _features(site: dict[str, frozenset[int]]):  # noqa: ANN202
                     code.clear()
                 words = plain_words(text, site.get(source, frozenset()))
                 codes = np.array([code[w] for w in words], np.uint16)
-                rows.append((codes.tobytes(), xxhash.xxh64_intdigest(" ".join(words).encode()) - 2**63, least_hashes(codes) if words else np.zeros(0, np.int64)))
-            yield pd.concat([p[["doc_id", "batch_no", "part"]], pd.DataFrame(rows, columns=["codes", "exact", "hashes"], index=p.index)], axis=1)
+                rows.append((codes.tobytes(), xxhash.xxh64_intdigest(" ".join(words).encode()) - 2**63, len(words)))
+            yield pd.concat([p[["doc_id", "batch_no", "part"]], pd.DataFrame(rows, columns=["codes", "exact", "n_words"], index=p.index)], axis=1)
 
     return run
 
 
-_FEATURES = "doc_id long, batch_no int, part int, codes binary, exact long, hashes array<long>"
-_LANDED = "doc_id long, codes binary, exact long, hashes array<long>, batch_no int, part int"
+_FEATURES = "doc_id long, batch_no int, part int, codes binary, exact long, n_words int"
+_LANDED = "doc_id long, codes binary, exact long, n_words int, batch_no int, part int"
 
 
 class Landed:
     """Texts made ready for comparison, each once: ``codes`` and, but for exact copies in one batch, ``keys``.
 
-    ``docs`` may hold one batch or several. The lines of the site and the frequent hashes are those
-    of the history (batch 0) over all its documents; both are sent to the tasks and are bounded
-    (some tens of lines per source, over ``most_site_lines`` it is an error; ``FREQUENT_SHARE``).
+    ``docs`` may hold one batch or several. The lines of the site are those of the history (batch 0);
+    their hashes are sent to the tasks, some tens per source, and over ``most_site_lines`` it is an error.
     """
 
     def __init__(self, docs: DataFrame, most_site_lines: int = 1_000_000, documents_a_part: int = 20_000) -> None:
@@ -204,32 +218,36 @@ class Landed:
         features = own.withColumn("part", self.part("doc_id")).mapInPandas(lambda parts: _features(shared.value)(parts), _FEATURES)
         features.repartition("batch_no", "part").write.partitionBy("batch_no", "part").parquet(path)
         self.codes = spark.read.schema(_LANDED).parquet(path)
-        self._choose_keys()
+        self._land_keys()
 
     def part(self, doc_id: str) -> Column:
         """The folder of a document's codes."""
         return F.pmod(F.xxhash64(doc_id), F.lit(self.parts)).cast("int")
 
-    def _choose_keys(self) -> None:
-        read = self.codes.filter("size(hashes) > 0")
-        per = read.filter("batch_no = 0").select(F.explode("hashes").alias("h")).groupBy("h").count()
-        history = read.filter("batch_no = 0").count()
-        frequent = np.array(sorted(r[0] for r in per.filter(F.col("count") >= max(FREQUENT, FREQUENT_SHARE * history)).select("h").collect()), np.int64)
-        late = self.spark.sparkContext.broadcast(frequent)
+    def _frequent(self) -> np.ndarray:
+        """Of each slot, whether it is frequent in the history; all its documents are counted."""
+        history = self.codes.filter("batch_no = 0 and n_words > 0").select("codes")
+        counted = history.mapInPandas(_counted, "chunk long, n binary").groupBy("chunk").applyInPandas(_summed, "chunk long, n binary").orderBy("chunk").collect()
+        n = np.concatenate([np.frombuffer(r[1], np.uint64) for r in counted]) if counted else np.zeros(1 << SLOT_BITS, np.uint64)
+        return n >= max(FREQUENT, FREQUENT_SHARE * history.count())
+
+    def _land_keys(self) -> None:
+        frequent = self.spark.sparkContext.broadcast(self._frequent())
 
         @F.pandas_udf("array<long>")
-        def keys(hashes: pd.Series) -> pd.Series:
-            return hashes.map(lambda x: np.sort(chosen_keys(np.asarray(x, np.int64), late.value)))
+        def keys(codes: pd.Series) -> pd.Series:
+            return codes.map(lambda c: least_keys(np.frombuffer(c, np.uint16), frequent.value))
 
+        read = self.codes.filter("n_words > 0")
         narrow = read.select("batch_no", "doc_id", "exact")
         firsts = narrow.groupBy("batch_no", "exact").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
         copies = narrow.join(firsts, ["batch_no", "exact"]).filter("doc_id <> first_id").select("batch_no", "doc_id", "first_id")
         self.copies = materialize(copies, "copies")
-        least = F.when(F.size("hashes") < SHORT, 1).otherwise(SHARED)
-        own = read.select("batch_no", "doc_id", least.alias("least"), "hashes").join(self.copies.select("doc_id"), "doc_id", "left_anti")
+        own = read.join(self.copies.select("doc_id"), "doc_id", "left_anti").select("batch_no", "doc_id", "n_words", keys("codes").alias("keys"))
+        least = F.least(F.lit(SHARED), F.ceil(F.size("keys") * SHARED / KEYS)).cast("int").alias("least")
         path = f"{shared_dir(self.spark)}/scrivenry/keys-{uuid.uuid4().hex}"
-        own.select("doc_id", "least", F.explode(keys("hashes")).alias("key"), "batch_no").write.partitionBy("batch_no").parquet(path)
-        self.keys = self.spark.read.schema("doc_id long, least int, key long, batch_no int").parquet(path)
+        own.select("doc_id", "n_words", least, F.explode("keys").alias("key"), "batch_no").write.partitionBy("batch_no").parquet(path)
+        self.keys = self.spark.read.schema("doc_id long, n_words int, least int, key long, batch_no int").parquet(path)
         #: Batches in which some key has more than ``PIVOTS`` documents.
         self.crowded = {r[0] for r in self.keys.groupBy("batch_no", "key").count().filter(F.col("count") > PIVOTS).select("batch_no").distinct().collect()}
 
@@ -263,24 +281,27 @@ class AcceptedIndex:
 
     def _keys(self, batch: int) -> DataFrame:
         folder = F.pmod(F.shiftrightunsigned("key", 40), F.lit(self.folders)).cast("int")
-        return self.landed.keys.filter(F.col("batch_no") == batch).select("key", "doc_id", "least", folder.alias("folder"))
+        return self.landed.keys.filter(F.col("batch_no") == batch).select("key", "doc_id", "n_words", "least", folder.alias("folder"))
 
     def _append(self, part: str, keys: DataFrame, batch: int) -> None:
-        rows = keys.select("key", F.col("doc_id").alias("old_id"), F.lit(batch).alias("old_batch"), "folder")
+        rows = keys.select("key", F.col("doc_id").alias("old_id"), F.col("n_words").alias("old_words"), F.lit(batch).alias("old_batch"), "folder")
         name = f"{self.name}_{part}"
         writer = rows.repartition(self.buckets, "key").write.partitionBy("folder").bucketBy(self.buckets, "key").option("path", f"{self.path}/{part}")
         writer.mode("append").saveAsTable(name)
         self.filled.add(part)
 
     def _accept(self, keys: DataFrame, batch: int) -> None:
-        """Append keys; in a crowded batch those beyond the first ``PIVOTS`` of a key go to the second table."""
-        if batch not in self.landed.crowded:
-            self._append("first", keys, batch)
-            return
-        first = materialize(keys.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).drop("at"), "first_keys")
-        crowded = keys.groupBy("key").count().filter(F.col("count") > PIVOTS).select("key")
-        self._append("first", first, batch)
-        self._append("rest", keys.join(crowded, "key", "left_semi").join(first.select("key", "doc_id"), ["key", "doc_id"], "left_anti"), batch)
+        """Append keys; documents that come after the first ``PIVOTS`` in at least half of their keys go to the second table."""
+        if batch in self.landed.crowded:
+            crowded = keys.join(keys.groupBy("key").count().filter(F.col("count") > PIVOTS).select("key"), "key", "left_semi").select("key", "doc_id")
+            crowded = materialize(crowded, "crowded_keys")
+            first = crowded.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).select("key", "doc_id")
+            beyond = crowded.join(first, ["key", "doc_id"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("beyond"))
+            near = materialize(beyond.filter(F.col("beyond") >= KEYS // 2).select("doc_id"), "near_copies")
+            if not near.isEmpty():
+                self._append("rest", keys.join(near, "doc_id", "left_semi"), batch)
+                keys = keys.join(near, "doc_id", "left_anti")
+        self._append("first", keys, batch)
 
     def accept_all(self, batch: int) -> None:
         """Take a batch as it is, unchecked (the history)."""
@@ -288,7 +309,7 @@ class AcceptedIndex:
 
     def _known(self, part: str, folders: list[int]) -> DataFrame:
         """The index rows in the folders that a batch's keys fall into."""
-        return self.spark.table(f"{self.name}_{part}").filter(F.col("folder").isin(folders)).select("key", "old_id", "old_batch")
+        return self.spark.table(f"{self.name}_{part}").filter(F.col("folder").isin(folders)).select("key", "old_id", "old_words", "old_batch")
 
     def arrive(self, batch: int) -> DataFrame:
         """(doc_id, original_id, similarity): the documents of the batch that repeat an accepted one; the others become accepted. Exact copies within the batch are left to ``of_copies``."""
@@ -296,17 +317,11 @@ class AcceptedIndex:
         folders = [r[0] for r in keys.select("folder").distinct().collect()] if self.folders > 1 else [0]
         shared = self._within(keys, batch)
         if "first" in self.filled:
-            # The keys of the batch are the smaller side: they are hashed, and the index is read bucket by bucket, unsorted and not shuffled.
-            shared = shared.unionByName(self._known("first", folders).join(keys.hint("shuffle_hash"), "key").select("doc_id", "least", "old_id", "old_batch"))
-        pairs = materialize(self._enough(shared), "pairs")
-        links = self._verified(pairs, batch)
+            shared = shared.unionByName(self._shared(self._known("first", folders), keys))
+        links = self._verified(materialize(self._enough(shared), "pairs"), batch)
         if "rest" in self.filled:
             open_ = keys.join(links.filter(F.col("old_batch") < batch).select("doc_id").distinct(), "doc_id", "left_anti")
-            crowded = self._known("rest", folders)
-            asked = open_.join(crowded.join(open_.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").select("key").distinct(), "key", "left_semi").select("doc_id").distinct()
-            open_ = materialize(open_.join(asked, "doc_id", "left_semi"), "open_keys")
-            more = crowded.unionByName(self._known("first", folders)).join(open_.hint("shuffle_hash"), "key").select("doc_id", "least", "old_id", "old_batch")
-            more = materialize(self._enough(more).join(pairs, ["doc_id", "old_id"], "left_anti"), "more_pairs")
+            more = materialize(self._enough(self._shared(self._known("rest", folders), open_)), "pairs")
             links = materialize(links.unionByName(self._verified(more, batch)), "links")
         repeats = self._decide(links, keys, batch)
         self._accept(keys.join(repeats.select("doc_id"), "doc_id", "left_anti"), batch)
@@ -317,10 +332,17 @@ class AcceptedIndex:
         n = shared.groupBy("doc_id", "old_id", "old_batch").agg(F.count("*").alias("n"), F.max("least").alias("least"))
         return n.filter("n >= least").select("doc_id", "old_id", "old_batch")
 
+    @staticmethod
+    def _shared(known: DataFrame, keys: DataFrame) -> DataFrame:
+        """Keys shared with known documents of like length. The keys of the batch are hashed; the index is read bucket by bucket, unsorted and not shuffled."""
+        like = F.least("n_words", "old_words") >= SAME_LENGTH * F.greatest("n_words", "old_words")
+        return known.join(keys.hint("shuffle_hash"), "key").filter(like).select("doc_id", "least", "old_id", "old_batch")
+
     def _within(self, keys: DataFrame, batch: int) -> DataFrame:
         """Keys shared inside the batch by a document and one of the key's first ``PIVOTS``."""
-        pivots = keys.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).select("key", F.col("doc_id").alias("old_id"))
-        return keys.join(pivots, "key").filter("old_id < doc_id").select("doc_id", "least", "old_id", F.lit(batch).alias("old_batch"))
+        pivots = keys.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS)
+        pivots = pivots.select("key", F.col("doc_id").alias("old_id"), F.col("n_words").alias("old_words"), F.lit(batch).alias("old_batch"))
+        return self._shared(pivots, keys).filter("old_id < doc_id")
 
     def _verified(self, pairs: DataFrame, batch: int) -> DataFrame:
         """Those of the written ``pairs`` that are repeats, with their similarity. Codes are read from the folders of the pairs' documents."""
@@ -355,9 +377,8 @@ class AcceptedIndex:
             open_ = materialize(open_, "open_links")
             if rows is not None:
                 # Each key's first PIVOTS have been held against all its later documents.
-                at = rows.join(gone, "doc_id", "left_anti")
-                done = at.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).select("key", "doc_id")
-                rows = materialize(at.join(done, ["key", "doc_id"], "left_anti"), "open_keys")
+                done = rows.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).select("key", "doc_id")
+                rows = materialize(rows.join(done, ["key", "doc_id"], "left_anti").join(gone, "doc_id", "left_anti"), "open_keys")
                 if rows.isEmpty():
                     rows = None
             if open_.isEmpty() and rows is None:
