@@ -10,6 +10,7 @@ or without a target is left out; documents delivered twice under one id count on
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,10 +46,11 @@ def count_tokens(docs: DataFrame, tokenizer: str = "/opt/tokenizers/byte_bpe_50k
 
 
 def _pieces(text: str, run: int = 50_000) -> list[str]:
-    """The text, cut inside unbroken runs of over ``run`` characters only (such a run is no word)."""
-    if len(text) <= run or max(map(len, text.split()), default=0) <= run:
+    """The text, cut inside unbroken runs of over ``run`` characters only (such a run is no word): whatever else it holds stays whole."""
+    if len(text) <= run:
         return [text]
-    return [text[i : i + run] for i in range(0, len(text), run)]
+    cuts = [0, *(i for m in re.finditer(rf"\S{{{run + 1},}}", text) for i in range(m.start() + run, m.end(), run)), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def mix_rates(tokens: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
@@ -71,7 +73,8 @@ def mix(tokens: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
     """(doc_id, source_id, n_tokens, copies): how often each document is used; the same for the same seed in any partitioning."""
     unit = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("long")
-    return tokens.join(rates.select("source_id", "rate"), "source_id").select("doc_id", "source_id", "n_tokens", copies.alias("copies"))
+    # A row per target source: the caller's list, which doesn't grow with the documents.
+    return tokens.join(F.broadcast(rates.select("source_id", "rate")), "source_id").select("doc_id", "source_id", "n_tokens", copies.alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -90,5 +93,5 @@ def mix_report(mixed: DataFrame, rates: DataFrame) -> DataFrame:
 
 def counted_once(docs: DataFrame, targets: DataFrame, **options: str) -> DataFrame:
     """Token counts of the documents of the targeted sources, kept in the shared folder (they are used twice)."""
-    own = docs.join(targets.select("source_id").distinct(), "source_id", "left_semi").filter("doc_id is not null")
+    own = docs.join(F.broadcast(targets.select("source_id").distinct()), "source_id", "left_semi").filter("doc_id is not null")
     return materialize(count_tokens(own, **options).dropDuplicates(["doc_id"]), "tokens")
