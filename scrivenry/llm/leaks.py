@@ -1,28 +1,30 @@
 """Evaluation passages inside training text, found by spaced seeds.
 
 A fixed mask picks some of the words of a window and ignores the others, so a window still hits
-when an ignored word was changed. Seeds of test passages and of documents are joined; hits that lie
+when an ignored word was changed. The seeds of all test passages are a table; the corpus is read
+once, and the seeds that a bitmap of fixed size lets through are joined with it. Hits that lie
 on one diagonal of a (document, passage) pair are counted, and pairs with enough of them are
 verified by a banded local alignment that tolerates changed, missing and added words.
 
 Defined results: null or empty texts and passages match nothing; a passage of under ``MIN_WORDS``
-words is not searched (no mask fits); items delivered twice count once; extra columns are ignored.
+words is no passage (no mask fits, and whole texts of that length stand everywhere); items delivered twice count once; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivenry.sources import materialize
 
-MASKS = ("1111111", "11011111", "11111101", "10110001111")
+MASKS = ("11101111", "11011111", "11111101", "10110001111")
 MIN_WORDS = 8
 #: Parts of a divided passage are summed from this many words on: shorter ones are single stock phrases.
 PART = 14
@@ -42,68 +44,97 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_BREAK.sub("", low) if "\n" in low else low)
 
 
-class _Tests:
-    """What tasks need of one bounded block of passages: word numbers and a bitmap of seeds."""
-
-    def __init__(self, passages: dict[int, str]) -> None:
-        self.words = {k: w for k, p in passages.items() if len(w := words(p)) >= MIN_WORDS}
-        self.number: dict[str, int] = {}
-        for w in self.words.values():
-            for x in w:
-                self.number.setdefault(x, len(self.number) + 1)
-        rng = np.random.default_rng(11)
-        self.code = rng.integers(1, 2**63, len(self.number) + 1, dtype=np.uint64)
-        self.turn = rng.integers(1, 2**62, (len(MASKS), max(map(len, _OFFSETS))), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.ids = {k: np.array([self.number[x] for x in w], np.int32) for k, w in self.words.items()}
-        # Runs of five words that no other passage holds: what tells a short stretch from stock phrases.
-        run = lambda x: {tuple(x[i : i + RUN]) for i in range(len(x) - RUN + 1)}
-        held = Counter(r for x in {tuple(x.tolist()) for x in self.ids.values()} for r in run(x))
-        self.own = {k: np.array([held[tuple(x[i : i + RUN])] == 1 for i in range(len(x) - RUN + 1)], bool) for k, x in ((k, x.tolist()) for k, x in self.ids.items())}
-        self.seeds: list[tuple[int, int, int]] = []
-        self.bitmap = np.zeros(1 << (_BITS - 3), np.uint8)
-        for k, ids in self.ids.items():
-            for hashes, at in self.hashes(np.concatenate([ids, np.zeros(_SPAN, np.int32)])):
-                self.seeds += [(k, int(p), int(h)) for p, h in zip(at, hashes.view(np.int64))]
-                slot = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-                np.bitwise_or.at(self.bitmap, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
-
-    def number_words(self, w: list[str]) -> np.ndarray:
-        get = self.number.get
-        return np.fromiter((get(x, 0) for x in w), np.int32, len(w))
-
-    def hashes(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each mask, the hashes of all windows whose picked words are words of the passages, and their places."""
-        known, code = ids > 0, self.code[ids]
-        n = len(ids) - _SPAN
-        for turn, offsets in zip(self.turn, _OFFSETS):
-            ok = known[:n].copy()
-            for o in offsets[1:]:
-                ok &= known[o : n + o]
-            at = np.flatnonzero(ok)
-            h = np.zeros(len(at), np.uint64)
-            for t, o in zip(turn, offsets):
-                h += code[at + o] * t
-            h ^= h >> np.uint64(29)
-            yield h * np.uint64(0x9E3779B97F4A7C15), at
-
-    def seen(self, hashes: np.ndarray) -> np.ndarray:
-        slot = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-        return (self.bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-
-
-def _hits(tests: _Tests):  # noqa: ANN202
+_TURN = np.random.default_rng(11).integers(1, 2**62, (len(MASKS), max(map(len, _OFFSETS))), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GAP = np.zeros(_SPAN, np.int64)
+
+
+class _Codes(dict):
+    """The code of each word (a hash, never 0), worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = (xxhash.xxh64_intdigest(word.encode()) >> 1) or 1
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        return np.array([self[w] for w in words(text)], np.int64)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = _slot(hashes)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _hashes(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask, the hashes of all windows whose picked words aren't 0, and their places; the last ``_SPAN`` ids begin none."""
+    known, code = ids > 0, ids.view(np.uint64)
+    n = len(ids) - _SPAN
+    for turn, offsets in zip(_TURN, _OFFSETS):
+        ok = known[:n].copy()
+        for o in offsets[1:]:
+            ok &= known[o : n + o]
+        at = np.flatnonzero(ok)
+        h = np.zeros(len(at), np.uint64)
+        for t, o in zip(turn, offsets):
+            h += (code[at + o] ^ code[at + o] >> np.uint64(31)) * t
+        h ^= h >> np.uint64(29)
+        yield (h * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), at
+
+
+def _passages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(item_id, codes, runs): the words of each passage that is long enough, and its runs of ``RUN`` words."""
+    code = _Codes()
+    for p in parts:
+        rows = [(k, c) for k, c in ((k, code.of(x)) for k, x in zip(p["item_id"], p["passage"])) if len(c) >= MIN_WORDS]
+        runs = [[xxhash.xxh64_intdigest(c[i : i + RUN].tobytes()) - 2**63 for i in range(len(c) - RUN + 1)] for _, c in rows]
+        whole = [xxhash.xxh64_intdigest(c.tobytes()) - 2**63 for _, c in rows]
+        yield pd.DataFrame({"item_id": pd.Series([k for k, _ in rows], dtype="int64"), "codes": [c for _, c in rows], "runs": runs, "whole": pd.Series(whole, dtype="int64")})
+
+
+def _seeds(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        rows = []
+        for k, c in zip(p["item_id"], p["codes"]):
+            for h, at in _hashes(np.concatenate([np.asarray(c, np.int64), _GAP])):
+                rows.append(pd.DataFrame({"item_id": k, "at": at, "seed": h}))
+        yield pd.concat(rows) if rows else pd.DataFrame({"item_id": [], "at": [], "seed": []}).astype("int64")
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap with a bit for the slot of each hash, made in the tasks: what goes to the driver and back has a fixed size."""
+
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(1 << (_BITS - 3), np.uint8)
+        for p in parts:
+            slot = np.unique(_slot(p["h"].to_numpy(np.int64)))
+            np.bitwise_or.at(own, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
+        yield pd.DataFrame({"bits": [zlib.compress(own.tobytes(), 1)]})
+
+    total = np.zeros(1 << (_BITS - 3), np.uint8)
+    for r in hashes.toDF("h").coalesce(4).mapInPandas(fill, "bits binary").toLocalIterator():
+        total |= np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    return total
+
+
+def _hits(of_words: np.ndarray, of_seeds: np.ndarray):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gap = np.zeros(_SPAN, np.int32)
+        code = _Codes()
         for p in parts:
-            rows = [tests.number_words(words(t)) for t in p["text"]]
+            rows = [code.of(t) for t in p["text"]]
             if not rows:
                 continue
             start = np.cumsum([0] + [len(r) + _SPAN for r in rows])
-            ids = np.concatenate([x for r in rows for x in (r, gap)])
-            found = [(h[s], at[s]) for h, at in tests.hashes(ids) for s in [tests.seen(h)]]
+            ids = np.concatenate([x for r in rows for x in (r, _GAP)])
+            ids[~_in(of_words, ids)] = 0
+            found = [(h[s], at[s]) for h, at in _hashes(ids) for s in [_in(of_seeds, h)]]
             h, at = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             row = np.searchsorted(start, at, "right") - 1
-            yield pd.DataFrame({"doc_id": p["doc_id"].to_numpy()[row], "pos": at - start[row], "seed": h.view(np.int64)})
+            yield pd.DataFrame({"doc_id": p["doc_id"].to_numpy()[row], "pos": at - start[row], "seed": h})
 
     return run
 
@@ -209,19 +240,20 @@ def _has_own(a: np.ndarray, b: np.ndarray, own: np.ndarray, part: tuple[int, int
     return False
 
 
-def _verify(tests: _Tests, min_words: int, min_share: float):  # noqa: ANN202
+def _verify(min_words: int, min_share: float):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code = _Codes()
         for p in parts:
             out = []
             for doc_id, text, pairs in zip(p["doc_id"], p["text"], p["pairs"]):
-                b = tests.number_words(words(text))
+                b = code.of(text)
                 for pair in pairs:
-                    a = tests.ids[pair["item_id"]]
+                    a, own = np.asarray(pair["codes"], np.int64), np.asarray(pair["own"], bool)
                     least = min(min_words, len(a))
                     piece = min(PART, len(a))
                     aligned = {align(a, b, int(d)) for d in pair["diagonals"] if _dense(a, b, int(d), piece - 3, piece)}
                     parts_ = aligned | {stretch(a, b, x) for x in aligned}
-                    best = _together(parts_, {x for x in parts_ if _has_own(a, b, tests.own[pair["item_id"]], x)}, least, min_share)
+                    best = _together(parts_, {x for x in parts_ if _has_own(a, b, own, x)}, least, min_share)
                     if best:
                         out.append((pair["item_id"], doc_id, *best))
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "span", "matched"])
@@ -229,34 +261,33 @@ def _verify(tests: _Tests, min_words: int, min_share: float):  # noqa: ANN202
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, min_share: float = 0.8, min_span: int = 16, block_items: int = 2_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_words: int = 20, min_share: float = 0.8, min_span: int = 16, most_sent: int = 2_000_000) -> DataFrame:
     """(item_id, doc_id, span, matched): a row per pair; the longest verified stretch of the passage and its matching words.
 
-    The test set is taken in blocks of about ``block_items`` passages, whatever its size; what is
-    sent to the tasks is bounded by the block. Two hits at least, together ``min_span`` words long,
-    must share a diagonal. A stretch, or two parts of one passage together, counts from ``min_words``
-    words on (a shorter passage: from all its words) if ``min_share`` of it and all but one word in
-    eight match. Stock phrases that stand beside each other in both texts are told by what other
-    passages of the block hold: without a run of five words that no other has, a stretch must score
-    as much as ``min_words`` undamaged words do.
+    Two hits at least, together ``min_span`` words long, must share a diagonal. A stretch, or two
+    parts of one passage together, counts from ``min_words`` words on (a shorter passage: from all
+    its words) if ``min_share`` of it and all but one word in eight match. Stock phrases that stand
+    beside each other in both texts are told by what other passages hold: without a run of five
+    words that no other has, a stretch must score as much as ``min_words`` undamaged words do.
+
+    The corpus is read once for the seeds of all items and once to verify. Up to ``most_sent`` seeds
+    (24 bytes each) are sent to the tasks, so that a document's hits are counted where they are
+    found; more are joined by a shuffle. The result is the same.
     """
     spark = docs.sparkSession
     tests = items.select("item_id", "passage").filter("item_id is not null and length(passage) > 0").dropDuplicates(["item_id"])
-    blocks = max(1, -(-tests.count() // block_items))
+    tests = materialize(tests.mapInPandas(_passages, "item_id long, codes array<long>, runs array<long>, whole long"), "passages")
     own = docs.select("doc_id", "text").filter("doc_id is not null and length(text) > 0")
-    result = None
-    for block in range(blocks):
-        part = _leaks_of_block(spark, own, dict(tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()), min_words, min_share, min_span)
-        result = part if result is None else result.unionByName(part)
-    return result
-
-
-def _leaks_of_block(spark, docs: DataFrame, passages: dict[int, str], min_words: int, min_share: float, min_span: int) -> DataFrame:  # noqa: ANN001
-    tests = _Tests(passages)
-    shared = spark.sparkContext.broadcast(tests)
-    hit = docs.mapInPandas(lambda parts: _hits(shared.value)(parts), "doc_id long, pos long, seed long")
-    seeds = spark.createDataFrame(pd.DataFrame(tests.seeds, columns=["item_id", "at", "seed"]).astype("int64"), "item_id long, at long, seed long")
-    if len(tests.seeds) <= 2_000_000:  # sent along, a document's hits stay in its task and are counted there; else joined by shuffling
+    seeds = materialize(tests.select("item_id", "codes").mapInPandas(_seeds, "item_id long, at long, seed long"), "seeds")
+    of_words = spark.sparkContext.broadcast(_bitmap(tests.select(F.explode("codes")).distinct()))
+    of_seeds = spark.sparkContext.broadcast(_bitmap(seeds.select("seed").distinct()))
+    # Runs that no other passage holds (copies of a passage are one).
+    held = tests.select("whole", F.explode("runs").alias("run")).distinct().groupBy("run").agg(F.count("*").alias("n")).filter("n = 1").select("run", F.lit(True).alias("own"))
+    runs = tests.select("item_id", F.posexplode("runs").alias("at", "run")).join(held, "run", "left")
+    runs = runs.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("own", F.lit(False)).alias("own")))), lambda x: x["own"]).alias("own"))
+    passages = tests.select("item_id", "codes").join(runs, "item_id")
+    hit = own.mapInPandas(lambda parts: _hits(of_words.value, of_seeds.value)(parts), "doc_id long, pos long, seed long")
+    if seeds.count() <= most_sent:
         seeds = F.broadcast(seeds)
     diagonal = F.col("pos") - F.col("at")
     # Bins of 16 diagonals, each hit in two that overlap: hits up to 8 diagonals apart share one.
@@ -267,7 +298,8 @@ def _leaks_of_block(spark, docs: DataFrame, passages: dict[int, str], min_words:
         .agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.round(F.avg("diagonal")).cast("long").alias("diagonal"))
         .filter((F.col("n") >= 2) & (F.col("hi") - F.col("lo") + min(map(len, MASKS)) >= min_span))
     )
-    pairs = bands.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals")).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonals")).alias("pairs"))
+    pairs = bands.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals")).join(passages, "item_id")
+    pairs = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonals", "codes", "own")).alias("pairs"))
     pairs = materialize(pairs, "leak_pairs")
-    checked = docs.join(pairs, "doc_id").mapInPandas(lambda parts: _verify(shared.value, min_words, min_share)(parts), "item_id long, doc_id long, span long, matched long")
+    checked = own.join(pairs, "doc_id").mapInPandas(_verify(min_words, min_share), "item_id long, doc_id long, span long, matched long")
     return checked.groupBy("item_id", "doc_id").agg(F.max_by("span", F.struct("matched", "span")).alias("span"), F.max("matched").alias("matched"))
