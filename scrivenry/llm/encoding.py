@@ -30,6 +30,8 @@ BYTE_READERS = ("mac_roman", "cp850", "cp437")
 #: A word with a character outside ASCII, from white space to white space; the same in Java and Python.
 TOKEN = r"(?<![^ \t\r\n])[\x00-\x08\x0b\x0c\x0e-\x1f\x21-\x7f]*+[^\x00-\x7f][^ \t\r\n]*+"
 _TOKEN = re.compile(TOKEN)
+#: The share of all words outside ASCII that a word within ASCII is taken to have.
+COMMON = 0.0002
 _EDGES = ".,;:!?()[]\"'"
 SWITCH = {"clean": 0.0, **{f"u8:{r}": 1.0 for r in UTF8_READERS}, **{f"1b:{r}": 4.0 for r in BYTE_READERS}, "lost": 1.0}
 
@@ -66,44 +68,44 @@ def _sequences(reader: str) -> re.Pattern[str]:
     return re.compile(f"{cls(0xC2, 0xDF)}(?:{cont}|$)|{cls(0xE0, 0xEF)}{cont}{cont}|{cls(0xF0, 0xF4)}{cont}{{3}}")
 
 
-def _decoded(seq: str, reader: str, known: dict[str, float]) -> list[str]:
-    """What a misread UTF-8 sequence stood for; with a lost byte every character that fits and occurs in the corpus, likelier first."""
+def _fits(seq: str, reader: str, char: str) -> bool:
+    """Whether ``char`` can have become ``seq``: its bytes are those of the sequence, wherever none was lost."""
+    of, code = _bytes_of(reader), char.encode()
+    codes = [of.get(c, -1) for c in seq]
+    if len(codes) == 1 and codes[0] < 0xE0:
+        codes.append(0xA0)
+    return len(code) == len(codes) and all(x in (-1, y) for x, y in zip(codes, code))
+
+
+def _decoded(seq: str, reader: str, known: dict[str, float]) -> str | None:
+    """What a misread UTF-8 sequence stood for; with a lost byte the likeliest character of the corpus that fits."""
     of = _bytes_of(reader)
     codes = [of.get(c, -1) for c in seq]
     if codes[0] < 0xE0 and len(codes) == 1:
         codes.append(0xA0)
-    options = [codes]
-    for i, b in enumerate(codes):
-        if b < 0:
-            options = [[*o[:i], x, *o[i + 1 :]] for o in options for x in range(128, 192)]
-    out = []
-    for o in options[:4096]:
-        try:
-            out.append(bytes(o).decode("utf-8"))
-        except UnicodeDecodeError:
-            continue
-    if len(options) > 1:
-        out = sorted((c for c in out if c in known), key=lambda c: -known[c])[:4]
-    return out
+    if -1 in codes:
+        return max((c for c in known if _fits(seq, reader, c)), key=lambda c: (known[c], c), default=None)
+    try:
+        return bytes(codes).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
 
 
 def readings(word: str, known: dict[str, float]) -> list[tuple[str, str]]:
-    """(channel, what the word was) for each way in which it can have been garbled."""
+    """(channel, what the word was) for each way in which it can have been garbled, as often as it was garbled.
+
+    Where bytes were lost this is the likeliest path by characters alone (their costs add up, so
+    each is chosen by itself); the words of the corpus that fit the lattice come by ``lattice``.
+    """
     found: dict[tuple[str, str], None] = {}
     for reader in UTF8_READERS:
-        level = [word]
-        for _ in range(3):
-            new = []
-            for w in level:
-                m = _sequences(reader).search(w)
-                if not m:
-                    continue
-                options = [w]
-                for m in reversed(list(_sequences(reader).finditer(w))):
-                    options = [o[: m.start()] + c + o[m.end() :] for o in options for c in (_decoded(m.group(), reader, known) or [m.group()])][:64]
-                new += [o.replace("﻿", "") for o in options if o != w]
-            level = list(dict.fromkeys(new))
-            found.update(((f"u8:{reader}", x), None) for x in level)
+        w = word
+        while _sequences(reader).search(w):
+            new = _sequences(reader).sub(lambda m, r=reader: _decoded(m.group(), r, known) or m.group(), w).replace("\ufeff", "")
+            if new == w or (f"u8:{reader}", new) in found:
+                break
+            w = new
+            found[f"u8:{reader}", w] = None
     for reader in BYTE_READERS:
         of = _bytes_of(reader)
         try:
@@ -115,19 +117,47 @@ def readings(word: str, known: dict[str, float]) -> list[tuple[str, str]]:
     return list(found)
 
 
+def lattice(word: str) -> list[tuple[str, str]]:
+    """(channel, mask) for each reader under which the word has a sequence with a lost byte: one wildcard for each of its characters outside ASCII."""
+    out = []
+    for reader in UTF8_READERS:
+        if any(LOST in m.group() for m in _sequences(reader).finditer(word)):
+            out.append((f"u8:{reader}", re.sub(r"[^\x00-\x7f]", LOST, _sequences(reader).sub(LOST, word))))
+    return out
+
+
+def fits(word: str, channel: str, was: str) -> bool:
+    """Whether ``was`` is a path through the lattice of ``word``: its bytes are there wherever none was lost."""
+    reader = channel.partition(":")[2]
+    at = 0
+    for m in _sequences(reader).finditer(word):
+        plain, place = word[at : m.start()], m.start() - at
+        if was[:place] != plain or place >= len(was) or not _fits(m.group(), reader, was[place]):
+            return False
+        was, at = was[place + 1 :], m.end()
+    return was == word[at:]
+
+
 def _generate(known: dict[str, float]):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for key in p["key"]:
                 if LOST in key:
-                    rows.append((key, "lost", re.sub(r"[^\x00-\x7f]", LOST, key)))
-                rows += [(key, channel, x) for channel, x in readings(key, known)]
-            yield pd.DataFrame(rows, columns=["key", "channel", "was"])
+                    rows.append((key, "lost", re.sub(r"[^\x00-\x7f]", LOST, key), True))
+                    rows += [(key, channel, x, True) for channel, x in lattice(key)]
+                rows += [(key, channel, x, False) for channel, x in readings(key, known)]
+            yield pd.DataFrame(rows, columns=["key", "channel", "was", "masked"])
 
     return run
 
 
+def _fitting(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        ok = [c == "lost" or w is None or fits(k, c, w) for k, c, w in zip(p["key"], p["channel"], p["word"])]
+        yield p[ok]
+
+
 def _char_cost(known: dict[str, float]):  # noqa: ANN202
     floor = min(known.values(), default=0.0) - 2.0  # a character alone is a word: its own frequency says it all
 
@@ -188,17 +218,22 @@ def damaged_words(records: DataFrame) -> DataFrame:
     total = sum(r["n"] for r in chars) or 1
     known = {r["c"]: math.log(r["n"] / total) for r in chars}
     shared = spark.sparkContext.broadcast(known)
-    generated = lexicon.select("key").mapInPandas(lambda parts: _generate(shared.value)(parts), "key string, channel string, was string")
-    # A word with lost characters: the corpus words that look like it once their characters outside ASCII are lost too.
-    masked = lexicon.filter(~F.contains("key", F.lit(LOST))).select(F.regexp_replace("key", r"[^\x00-\x7f]", LOST).alias("mask"), F.col("key").alias("word"), "n")
-    masked = masked.groupBy("mask").agg(F.max_by("word", "n").alias("word"))
-    lost = generated.filter("channel = 'lost'").join(masked, F.col("was") == F.col("mask"), "left").select("key", "channel", F.coalesce("word", "key").alias("was"))
-    options = generated.filter("channel <> 'lost'").unionByName(lost)
+    generated = lexicon.select("key").mapInPandas(lambda parts: _generate(shared.value)(parts), "key string, channel string, was string, masked boolean")
+    # A word with lost bytes or characters: the corpus words that are a path through its lattice, all of them.
+    generated = materialize(generated, "readings")
+    asked = generated.filter("masked").select("key", "channel", F.col("was").alias("mask"))
+    words_of = lexicon.filter(~F.contains("key", F.lit(LOST))).select(F.regexp_replace("key", r"[^\x00-\x7f]", LOST).alias("mask"), F.col("key").alias("word"), F.col("n").alias("n_word"))
+    fitting = asked.join(words_of, "mask", "left").select("key", "channel", "word", "n_word").mapInPandas(_fitting, "key string, channel string, word string, n_word long")
+    # Paths through one channel differ by the frequency of the word alone: the search would take the most frequent.
+    fitting = fitting.groupBy("key", "channel").agg(F.max_by("word", F.struct("n_word", "word")).alias("word"))
+    masked = fitting.filter("channel = 'lost' or word is not null").select("key", "channel", F.coalesce("word", "key").alias("was"))
+    options = generated.filter("not masked").select("key", "channel", "was").unionByName(masked).distinct()
     options = options.unionByName(options.select("key").distinct().select("key", F.lit("clean").alias("channel"), F.col("key").alias("was")))
     counted = options.join(lexicon.select(F.col("key").alias("was"), "n"), "was", "left")
-    # A reading within ASCII isn't in the lexicon; it is as likely as a common word.
-    seen = F.when(~F.col("was").rlike(r"[^\x00-\x7f]"), F.lit(50)).otherwise(F.coalesce("n", F.lit(0)))
-    scored = counted.withColumn("n", seen).mapInPandas(lambda parts: _char_cost(shared.value)(parts), "was string, key string, channel string, n long, chars double")
+    # A reading within ASCII isn't in the lexicon (of words outside it); it is as likely as a common one: a share of all words, whatever their number.
+    common = max(1, lexicon.agg(F.sum("n")).first()[0] or 0) * COMMON
+    seen = F.when(~F.col("was").rlike(r"[^\x00-\x7f]"), F.lit(common)).otherwise(F.coalesce("n", F.lit(0)))
+    scored = counted.withColumn("n", seen.cast("double")).mapInPandas(lambda parts: _char_cost(shared.value)(parts), "was string, key string, channel string, n double, chars double")
     scored = scored.withColumn("score", F.log(F.col("n") + 0.05) + F.col("chars"))
     sure = F.col("key").rlike(f"[{LOST}\\x80-\\x9f]")
     best = F.max(F.when(F.col("channel") != "clean", F.col("score"))) - F.max(F.when(F.col("channel") == "clean", F.col("score")))
