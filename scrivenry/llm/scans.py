@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from scrivenry.sources import materialize
 
@@ -32,6 +33,11 @@ CONFUSIONS = {
     ("b", "h"): 1.0, ("y", "v"): 1.0, ("rn", "m"): 0.7, ("m", "rn"): 1.0, ("cl", "d"): 0.7, ("d", "cl"): 1.0, ("ii", "u"): 0.7, ("u", "ii"): 1.0, ("ri", "n"): 0.8, ("n", "ri"): 1.0,
     ("li", "h"): 0.8, ("h", "li"): 1.0, ("vv", "w"): 0.5, ("w", "vv"): 1.0, ("l", "i"): 1.0, ("i", "l"): 1.0, ("e", "c"): 1.0, ("t", "f"): 1.0, ("h", "b"): 1.0, ("v", "y"): 1.0, ("in", "m"): 1.0, ("nn", "m"): 1.0,
 }
+#: The letters that a digit or mark is read for.
+_STANDS: dict[str, str] = {}
+for (_read, _printed), _cost in CONFUSIONS.items():
+    if len(_read) == len(_printed) == 1 and not _read.isalpha():
+        _STANDS[_read] = _STANDS.get(_read, "") + _printed
 _WORD = re.compile(r"[^\W_]+(?:[-!][^\W_]+)*")
 _APART = re.compile(r"(?<![^\s(“\"'‘])(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
 _BREAK = re.compile(r"([^\W\d_]+)([-‐¬­])[ \t]*\n[ \t]*([^\W\d_]+)")
@@ -83,6 +89,21 @@ def confusion_cost(read: str, printed: str) -> float | None:
     return cost[n][m] if 0 < cost[n][m] <= 3 else None
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _spelt(words: pd.Series) -> pd.Series:
+    """What a word with digits or marks spells if each stands for one of its letters; words with more than six are none."""
+
+    def of(word: str) -> list[str]:
+        out = [""]
+        if sum(c in _STANDS for c in word) > 6:
+            return []
+        for c in word:
+            out = [x + y for x in out for y in _STANDS.get(c, c)]
+        return [x for x in out if x.isalpha()]
+
+    return words.map(of)
+
+
 def _weigh(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         cost = [confusion_cost(a, b) for a, b in zip(p["word"], p["printed"])]
@@ -108,6 +129,10 @@ def misreadings(words: DataFrame, min_ratio: float = 12.0) -> DataFrame:
     ratio = F.col("n_printed") / F.col("n_word")
     digits = F.col("word").rlike(r"[0-9!]")
     near = near.filter(F.when(digits, ratio >= 1).when(F.length("printed") <= 4, ratio >= 20 * min_ratio).otherwise(ratio >= min_ratio))
+    # Digits and marks stand for single letters: the words they spell are looked up among all words seen twice, whatever their frequency.
+    spelt = plain.filter(mixed).select("word", F.col("n").alias("n_word"), F.explode(_spelt(F.col("word"))).alias("printed"))
+    known = plain.filter(~mixed & (F.col("n") >= 2)).select(F.col("word").alias("printed"), F.col("n").alias("n_printed"))
+    near = near.unionByName(spelt.join(known, "printed").filter("n_printed >= n_word").select("word", "n_word", "printed", "n_printed")).distinct()
     weighed = near.select("word", "printed", "n_word", "n_printed").mapInPandas(_weigh, "word string, printed string, n_word long, n_printed long, cost double")
     return weighed.select("word", "printed", "cost", (F.log("n_printed") - 3 * F.col("cost")).alias("score"))
 
@@ -129,29 +154,41 @@ def _bitmap(words: DataFrame) -> np.ndarray:
     return total
 
 
-def _features(bits: np.ndarray):  # noqa: ANN202
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        verdict: dict[str, bool] = {}
+class _Verdicts(dict):
+    """For each word, worked out once: 1 if it may be misread, 2 if it may be a repair that its neighbours decide on."""
 
-        def suspect(w: str) -> bool:
-            if w not in verdict:
-                if len(verdict) > 500_000:
-                    verdict.clear()
-                s = zlib.crc32(w.encode()) & ((1 << _BITS) - 1)
-                verdict[w] = bool(bits[s >> 3] >> (s & 7) & 1)
-            return verdict[w]
+    def __init__(self, suspects: np.ndarray, repairs: np.ndarray) -> None:
+        super().__init__()
+        self.bits = suspects, repairs
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        s = zlib.crc32(word.encode()) & ((1 << _BITS) - 1)
+        self[word] = v = sum((int(b[s >> 3]) >> (s & 7) & 1) << i for i, b in enumerate(self.bits))
+        return v
+
+
+def _features(suspects: np.ndarray, repairs: np.ndarray):  # noqa: ANN202
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        verdict = _Verdicts(suspects, repairs)
         for p in parts:
             rows = []
+            seen: Counter[tuple[str, str]] = Counter()
             for chunk_id, doc_id, order, page, text in zip(p["chunk_id"], p["doc_id"], p["reading_order"], p["page_number"], p["content"]):
                 low = text.lower()
                 found = _WORD.findall(low)
-                rare = list({(w, found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else "") for i, w in enumerate(found) if suspect(w)})
+                said = [verdict[w] for w in found]
+                rare = list({(found[i], found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else "") for i, v in enumerate(said) if v & 1})
+                at = {i for i, v in enumerate(said) if v & 2}
+                seen.update((found[i], found[i + 1]) for i in {*at, *(i - 1 for i in at)} if 0 <= i < len(found) - 1)
                 apart = [m.group().replace(" ", "") for m in _APART.finditer(text) if not m.group().isupper()] if "  " in text or " " in text else []
                 breaks = [(a.lower(), m, b.lower()) for a, m, b in _BREAK.findall(text) if b[0].islower()] if "\n" in text else []
                 lines = [x for x in text.split("\n") if x.strip()]
-                rows.append((chunk_id, doc_id, order, None if pd.isna(page) else int(page), lines[:2], lines[-2:], rare, apart, breaks))
-            out = pd.DataFrame(rows, columns=["chunk_id", "doc_id", "reading_order", "page_number", "top", "bottom", "rare", "apart", "breaks"])
+                rows.append((chunk_id, doc_id, order, None if pd.isna(page) else int(page), lines[:2], lines[-2:], rare, apart, breaks, []))
+            if rows:  # The counts of a batch go with its first row.
+                rows[0] = (*rows[0][:-1], [(a, b, n) for (a, b), n in seen.items()])
+            out = pd.DataFrame(rows, columns=["chunk_id", "doc_id", "reading_order", "page_number", "top", "bottom", "rare", "apart", "breaks", "pairs"])
             yield out.astype({"reading_order": "float64", "page_number": "Int64"})
 
     return run
@@ -159,7 +196,7 @@ def _features(bits: np.ndarray):  # noqa: ANN202
 
 _FEATURES = (
     "chunk_id long, doc_id long, reading_order double, page_number long, top array<string>, bottom array<string>, "
-    "rare array<struct<word: string, before: string, after: string>>, apart array<string>, breaks array<struct<a: string, mark: string, b: string>>"
+    "rare array<struct<word: string, before: string, after: string>>, apart array<string>, breaks array<struct<a: string, mark: string, b: string>>, pairs array<struct<a: string, b: string, n: long>>"
 )
 
 
@@ -168,30 +205,6 @@ def _head_key(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
 
 
-def _pairs(bits: np.ndarray):  # noqa: ANN202
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        verdict: dict[str, bool] = {}
-
-        def wanted(w: str) -> bool:
-            if w not in verdict:
-                if len(verdict) > 500_000:
-                    verdict.clear()
-                s = zlib.crc32(w.encode()) & ((1 << _BITS) - 1)
-                verdict[w] = bool(bits[s >> 3] >> (s & 7) & 1)
-            return verdict[w]
-
-        for p in parts:
-            seen: Counter[tuple[str, str]] = Counter()
-            for t in p["content"]:
-                w = _WORD.findall(t.lower())
-                good = [wanted(x) for x in w]
-                seen.update((a, b) for a, b, g, h in zip(w, w[1:], good, good[1:]) if g or h)
-            rows = [(a, b, n) for (a, b), n in seen.items()]
-            yield pd.DataFrame(rows, columns=["a", "b", "n"]).astype({"n": "int64"})
-
-    return run
-
-
 def _repair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chunk texts without furniture lines, with misread words replaced and divided words joined."""
     for p in parts:
@@ -226,9 +239,10 @@ class Scan:
         self.chunks = chunks
         self.words = materialize(lexicon(chunks), "word_counts")
         self.misread = materialize(misreadings(self.words), "misreadings")
-        shared = spark.sparkContext.broadcast(_bitmap(self.misread.select("word").distinct()))
+        several = self.misread.join(self.misread.groupBy("word").count().filter("count > 1").select("word"), "word", "left_semi")
+        shared = spark.sparkContext.broadcast((_bitmap(self.misread.select("word").distinct()), _bitmap(several.select(F.col("printed").alias("word")).distinct())))
         own = chunks.select("chunk_id", "doc_id", "reading_order", "page_number", "content").filter("chunk_id is not null and length(content) > 0")
-        self.features = materialize(own.mapInPandas(lambda parts: _features(shared.value)(parts), _FEATURES), "scan_features")
+        self.features = materialize(own.mapInPandas(lambda parts: _features(*shared.value)(parts), _FEATURES), "scan_features")
         self.edges = materialize(self._edges(documents), "page_edges")
 
     def _edges(self, documents: DataFrame) -> DataFrame:
@@ -275,14 +289,12 @@ class Scan:
         return both.join(asked, ["a", "b"]).filter(F.col("one_word") | (F.col("mark") != "-")).select("chunk_id", "a", "mark", "b")
 
     def misread_words(self) -> DataFrame:
-        """(chunk_id, word, printed): the misread words of chunks, with the likeliest repair."""
+        """(chunk_id, word, printed): the misread words of chunks with their repairs, and words whose letters are set apart."""
         paged = self.edges.filter("paged").select("chunk_id")
-        best = self.misread.groupBy("word").agg(F.max_by("printed", F.struct("score", "printed")).alias("printed"))
-        rare = self.features.select("chunk_id", F.explode("rare").alias("x")).select("chunk_id", "x.word").distinct().join(best, "word").join(paged, "chunk_id", "left_semi")
         apart = self.features.select("chunk_id", F.explode("apart").alias("word")).distinct()
         known = self.words.filter("n >= 5").select(F.col("word").alias("printed"))
         apart = apart.withColumn("printed", F.lower("word")).join(known, "printed", "left_semi").join(paged, "chunk_id", "left_semi")
-        return rare.select("chunk_id", "word", "printed").unionByName(apart.select("chunk_id", "word", "printed"))
+        return self.repairs().unionByName(apart.select("chunk_id", "word", "printed"))
 
     def found(self) -> DataFrame:
         """(chunk_id, noise_kind): a row per chunk and kind."""
@@ -293,16 +305,17 @@ class Scan:
     def repairs(self) -> DataFrame:
         """(chunk_id, word, printed): the repair of each misread word of a chunk; where several fit, its neighbours there decide.
 
-        Pairs of words are counted over the whole corpus, but only those with a word that is a
-        possible repair leave their task: a bitmap of fixed size tells them.
+        Pairs of words with a possible repair are counted over the whole corpus, in the pass that
+        takes the features of the chunks. A repair is taken for what it and its neighbours say
+        together: the frequency of the word, the cost of the confusion, and how often the repaired
+        word stands beside these neighbours elsewhere.
         """
         several = self.misread.groupBy("word").agg(F.count("*").alias("n"), F.max_by("printed", F.struct("score", "printed")).alias("best"))
         places = self.features.select("chunk_id", F.explode("rare").alias("x")).select("chunk_id", "x.*").join(self.edges.filter("paged").select("chunk_id"), "chunk_id", "left_semi")
         sure = places.join(several.filter("n = 1"), "word").select("chunk_id", "word", F.col("best").alias("printed")).distinct()
         open_ = places.join(several.filter("n > 1").select("word"), "word", "left_semi").join(self.misread, "word")
         open_ = materialize(open_.select("chunk_id", "word", "before", "after", "printed", "score").distinct(), "open_repairs")
-        shared = self.chunks.sparkSession.sparkContext.broadcast(_bitmap(open_.select(F.col("printed").alias("word")).distinct()))
-        pairs = self.chunks.select("content").filter("length(content) > 0").mapInPandas(lambda parts: _pairs(shared.value)(parts), "a string, b string, n long")
+        pairs = self.features.select(F.explode("pairs").alias("x")).select("x.a", "x.b", "x.n")
         wanted = open_.select(F.col("before").alias("a"), F.col("printed").alias("b")).unionByName(open_.select(F.col("printed").alias("a"), F.col("after").alias("b"))).distinct()
         pairs = pairs.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("n").alias("n"))
         left = pairs.select(F.col("a").alias("before"), F.col("b").alias("printed"), F.col("n").alias("n_left"))
