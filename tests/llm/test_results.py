@@ -142,7 +142,7 @@ def test_leaks_tolerate_changes(spark):  # noqa: ANN001
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(7, passage), (8, text(2, 60))], "item_id long, passage string")
     assert {(r.item_id, r.doc_id) for r in leaks.leaks(docs, items).collect()} == {(7, 1), (7, 2), (7, 3)}
-    assert {(r.item_id, r.doc_id) for r in leaks.leaks(docs, items, block_items=1).collect()} == {(7, 1), (7, 2), (7, 3)}
+    assert {(r.item_id, r.doc_id) for r in leaks.leaks(docs, items, most_sent=0).collect()} == {(7, 1), (7, 2), (7, 3)}
 
 
 def test_leaks_of_short_and_divided_stretches(spark):  # noqa: ANN001
