@@ -2,39 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def packed_bounds(lengths: Column, most: int) -> Column:
-    """array<long>: the number of the pack of each piece, when pieces are packed greedily up to ``most`` characters.
+def packed(pieces: list[str], most: int, joiner: str, trim_cuts: bool = True) -> list[str]:
+    """Pieces packed greedily up to ``most`` characters; a longer piece is cut hard and stands alone."""
+    out: list[str] = []
+    pack: list[str] = []
+    used = 0
+    for piece in pieces:
+        n = len(piece)
+        if pack and used + len(joiner) + n <= most:
+            pack.append(piece)
+            used += len(joiner) + n
+            continue
+        if pack:
+            out.append(joiner.join(pack))
+        pack, used = [], 0
+        if n <= most:
+            pack, used = [piece], n
+        else:
+            cuts = (piece[i : i + most] for i in range(0, n, most))
+            out += [x for c in cuts if (x := c.strip())] if trim_cuts else list(cuts)
+    return [*out, joiner.join(pack)] if pack else out
 
-    A piece over ``most`` is alone; one line feed stands between packed pieces. Only lengths and
-    pack numbers are folded, never text, so long documents stay linear.
+
+def _pieces(text: str, split: str) -> list[str]:
+    if split == "blank":
+        text = text.replace("\r\n", "\n")
+        return [x for p in text.split("\n\n") if (x := p.strip())] or [x for p in text.split("\n") if (x := p.strip())]
+    if split == "clause":
+        return [x for p in " ".join(text.split()).replace("; ", ";\n").split("\n") if (x := p.strip())]
+    return [x for p in text.split("\n") if (x := p.strip())]
+
+
+def pack(docs: DataFrame, most: int = 2600, split: str = "line", joiner: str | None = None, trim_cuts: bool = True) -> DataFrame:
+    """(doc_id, reading_order, content): trimmed non-empty pieces packed in order; a piece over ``most`` is cut hard.
+
+    ``split``: ``line``, ``blank`` (paragraphs between blank lines, joined by one; lines where there
+    is none) or ``clause`` (white space made single, cut behind each ``;``). Whether a piece still
+    fits depends on all before it, so a document is packed in one pass of its task, linear in its length.
+    """
+    between = joiner if joiner is not None else "\n\n" if split == "blank" else "\n"
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else packed(_pieces(t, split), most, between, trim_cuts))
+
+    return docs.select("doc_id", F.posexplode(cut("text")).alias("reading_order", "content"))
+
+
+def structured_nodes(nodes: DataFrame) -> DataFrame:
+    """(doc_id, reading_order, ref, content): texts, then tables, trimmed and not empty, numbered; a reference that came before gets ``:`` and the number.
+
+    ``nodes``: (doc_id, kind, node_no, ref, content), kind ``text`` or ``table``.
     """
-    start = F.struct(F.lit(0).cast("long").alias("pack"), F.lit(-1).cast("long").alias("used"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        fits = (acc["used"] >= 0) & (n <= most) & (acc["used"] + 1 + n <= most)
-        pack = F.when(fits, acc["pack"]).otherwise(acc["pack"] + 1)
-        used = F.when(fits, acc["used"] + 1 + n).when(n > most, F.lit(-1).cast("long")).otherwise(n)
-        return F.struct(pack.alias("pack"), used.cast("long").alias("used"), F.concat(acc["out"], F.array(pack)).alias("out"))
-
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
-
-
-def pack(docs: DataFrame, most: int = 2600, separator: str = "\n") -> DataFrame:
-    """(doc_id, reading_order, content): trimmed non-empty pieces packed in order; a piece over ``most`` is cut hard."""
-    pieces = F.filter(F.transform(F.split("text", separator), lambda p: F.trim(p)), lambda p: p != "")
-    numbered = docs.select("doc_id", pieces.alias("pieces")).withColumn("packs", packed_bounds(F.transform("pieces", lambda p: F.length(p).cast("long")), most))
-    last = F.element_at("packs", -1)
-    texts = F.transform(
-        F.sequence(F.lit(1).cast("long"), last),
-        lambda k: F.array_join(F.transform(F.filter(F.arrays_zip("pieces", "packs"), lambda x: x["packs"] == k), lambda x: x["pieces"]), "\n"),
-    )
-    cut = F.flatten(F.transform(texts, lambda t: F.transform(F.sequence(F.lit(1), F.length(t), F.lit(most)), lambda i: F.trim(F.substring(t, i, F.lit(most))))))
-    chunks = numbered.filter(F.size("pieces") > 0).select("doc_id", F.filter(cut, lambda c: c != "").alias("chunks"))
-    return chunks.select("doc_id", F.posexplode("chunks").alias("reading_order", "content"))
+    rows = nodes.withColumn("content", F.trim("content")).filter("content <> ''")
+    at = Window.partitionBy("doc_id").orderBy(F.when(F.col("kind") == "text", 0).otherwise(1), "node_no")
+    rows = rows.withColumn("reading_order", F.row_number().over(at) - 1)
+    again = F.row_number().over(Window.partitionBy("doc_id", "ref").orderBy("reading_order")) > 1
+    return rows.select("doc_id", "reading_order", F.when(again, F.concat("ref", F.lit(":"), F.col("reading_order").cast("string"))).otherwise(F.col("ref")).alias("ref"), "content")
 
 
 def windows(pages: DataFrame, size: int = 4000, stride: int = 3600) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +14,9 @@ from scrivenry.functions import numbers as N
 from scrivenry.functions import text as T
 from scrivenry.operators.corpus import delivered_chunks, public_sources
 
+#: The types of primary law, and the terms of a query that weigh more.
 PRIMARY_LAW = ("act", "revised_act", "constitution", "code", "primary_legislation")
+WEIGHTED_TERMS = ("misconduct", "disciplinary", "hearing", "procedural", "admissibility", "indemnity", "confidentiality")
 
 
 def question_rows(cases: DataFrame, every: int = 20) -> DataFrame:
@@ -28,19 +35,19 @@ def _matches(questions: DataFrame, passages: DataFrame, terms: Column) -> DataFr
 
 
 def search(
-    questions: DataFrame, docs: DataFrame, chunks: DataFrame, registry: DataFrame, *, required: bool = False, most_terms: int = 4, candidates: int = 400, per_doc: int = 3, limit: int = 24
+    questions: DataFrame, docs: DataFrame, chunks: DataFrame, registry: DataFrame, *, required: bool = False, scoped: bool = False, most_terms: int = 4, candidates: int = 400, per_doc: int = 3, limit: int = 24
 ) -> DataFrame:
     """(question_id, chunk_id, doc_id, rank, place): ranked passages of public sources for each question.
 
     A passage matches if it holds any (``required``: all) of the first ``most_terms`` terms, or is
     one of the first two of a document whose title does. Rank: a tenth per occurrence, 1.5 for a
     title that matches, 0.16 for primary law. Of the best ``candidates`` at most ``per_doc`` a
-    document are kept, then ``limit``.
+    document are kept, then ``limit``. ``scoped``: only documents of the question's jurisdiction.
     """
     limit = max(1, min(limit, 60))
     asked = questions.select("question_id", F.slice("terms", 1, most_terms).alias("terms")).filter("size(terms) > 0")
     passages = delivered_chunks(chunks.select("chunk_id", "doc_id", "reading_order", "created_at", "content")).drop("created_at")
-    shown = docs.join(F.broadcast(public_sources(registry)), "source_id", "left_semi").select("doc_id", "title", "document_type")
+    shown = docs.join(F.broadcast(public_sources(registry)), "source_id", "left_semi").select("doc_id", "title", "document_type", F.col("jurisdiction_code").alias("of"))
     body = _matches(asked, passages, F.col("terms"))
     body = body.join(asked, "question_id").filter(F.col("distinct_terms") == F.size("terms")).drop("terms") if required else body
     titles = shown.select("doc_id", F.array_distinct(T.words(F.coalesce("title", F.lit("")), 1)).alias("words"))
@@ -51,7 +58,10 @@ def search(
     leading = passages.filter(F.coalesce("reading_order", F.lit(0)) <= 1).withColumn("at", F.row_number().over(at)).filter("at <= 2").select("chunk_id", "doc_id")
     by_title = titled.join(leading, "doc_id").select("question_id", "chunk_id", "doc_id", F.lit(0).cast("long").alias("n"))
     both = body.select("question_id", "chunk_id", "doc_id", "n").unionByName(by_title).groupBy("question_id", "chunk_id", "doc_id").agg(F.max("n").alias("n"))
-    ranked = both.join(shown.select("doc_id", "document_type"), "doc_id").join(titled, ["question_id", "doc_id"], "left")
+    places = questions.select("question_id", "jurisdiction_code")
+    both = both.join(shown.select("doc_id", "document_type", "of"), "doc_id")
+    both = both.join(F.broadcast(places), "question_id").filter(F.col("of") == F.col("jurisdiction_code")) if scoped else both
+    ranked = both.join(titled, ["question_id", "doc_id"], "left")
     rank = F.round(0.1 * F.col("n").cast("double") + F.when(F.col("title_match"), 1.5).otherwise(0.0) + F.when(F.lower(F.coalesce("document_type", F.lit(""))).isin(*PRIMARY_LAW), 0.16).otherwise(0.0), 6)
     ranked = ranked.select("question_id", "chunk_id", "doc_id", rank.alias("rank"))
     order = [F.desc("rank"), F.col("chunk_id")]
@@ -91,25 +101,43 @@ def gateway_candidates(questions: DataFrame, index: DataFrame, top: int = 8) ->
     held = index.select("jurisdiction_code", "term", "doc_id", "weight").join(F.broadcast(asked), ["jurisdiction_code", "term"])
     best = held.groupBy("question_id", "asked", "doc_id").agg(F.max("weight").alias("value"))
     df = best.groupBy("question_id", "asked").agg(F.count("*").alias("df"))
-    importance = F.when(F.col("asked").isin("misconduct", "disciplinary", "hearing", "procedural", "admissibility", "indemnity", "confidentiality"), 2.5).otherwise(1.0)
+    importance = F.when(F.col("asked").isin(*WEIGHTED_TERMS), 2.5).otherwise(1.0)
     weighted = best.join(df, ["question_id", "asked"]).withColumn("w", importance * N.term_weight(F.col("df")))
     score = F.round(F.sum(F.col("value") * F.col("w")) + 10 * F.sum("w"), 6)
     at = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
     return weighted.groupBy("question_id", "doc_id").agg(score.alias("score")).withColumn("place", F.row_number().over(at).cast("long")).filter(F.col("place") <= top)
 
 
-def best_passages(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, per_doc: int = 3, apart: int = 2) -> DataFrame:
+def times(text: Column, word: Column) -> Column:
+    """How often ``word`` stands in ``text``, also inside other words."""
+    return F.floor((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word))
+
+
+def passage_score(text: Column, terms: Column, weights: Column) -> Column:
+    """Score of a passage: each term by its commonest form, 0.15 more for each further occurrence up to three; a quarter for pages of contents.
+
+    ``terms``: array; ``weights``: map from term to weight, 1 where it has none.
+    """
+    low = F.lower(text)
+    forms = F.create_map(*[x for k, v in T.VARIANTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+    def part(t: Column) -> Column:
+        n = F.array_max(F.transform(F.coalesce(F.try_element_at(forms, t), F.array(t)), lambda v: times(low, v)))
+        return F.when(n > 0, F.coalesce(F.try_element_at(weights, t), F.lit(1.0)) * (1 + 0.15 * F.least(F.lit(3), n - 1))).otherwise(0.0)
+
+    score = F.aggregate(terms, F.lit(0.0), lambda s, t: s + part(t))
+    return F.when(text.rlike(r"(?i)arrangement\s+of\s+sections|table\s+of\s+contents"), score * 0.25).otherwise(score)
+
+
+def best_passages(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, per_doc: int = 3, apart: int = 2, weights: Column | None = None) -> DataFrame:
     """(question_id, doc_id, chunk_id, passage_score, passage_place): each candidate's best passages that aren't close to a better one."""
     terms = questions.select("question_id", T.gateway_terms(F.col("question")).alias("terms"))
     passages = delivered_chunks(chunks.select("chunk_id", "doc_id", "reading_order", "created_at", "content"))
     at_doc = Window.partitionBy("doc_id").orderBy("reading_order", "chunk_id")
     numbered = passages.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("at", F.row_number().over(at_doc))
     rows = numbered.join(candidates.select("question_id", "doc_id"), "doc_id").join(terms, "question_id")
-    low = F.lower("content")
-    times = lambda t: F.floor((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t))
-    part = lambda t: F.when(times(t) > 0, 1 + 0.15 * F.least(F.lit(3), times(t) - 1)).otherwise(0.0)
-    score = F.aggregate("terms", F.lit(0.0), lambda s, t: s + part(t))
-    scored = rows.withColumn("passage_score", F.round(score, 6)).filter("passage_score > 0").select("question_id", "doc_id", "chunk_id", "at", "passage_score")
+    weights = F.create_map(*[F.lit(x) for t in WEIGHTED_TERMS for x in (t, 2.5)]) if weights is None else weights
+    scored = rows.withColumn("passage_score", F.round(passage_score(F.col("content"), F.col("terms"), weights), 6)).filter("passage_score > 0").select("question_id", "doc_id", "chunk_id", "at", "passage_score")
     # What is compared are the passages of one document and question: places up to ``apart`` away, by equality.
     better = scored.select("question_id", "doc_id", F.col("at").alias("b_at"), F.col("passage_score").alias("b_score"))
     near = scored.withColumn("b_at", F.explode(F.sequence(F.col("at") - apart, F.col("at") + apart))).join(better, ["question_id", "doc_id", "b_at"])
@@ -119,19 +147,83 @@ def best_passages(candidates: DataFrame, questions: DataFrame, chunks: DataFrame
     return kept.withColumn("passage_place", F.row_number().over(order).cast("long")).filter(F.col("passage_place") <= per_doc).select("question_id", "doc_id", "chunk_id", "passage_score", "passage_place")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 10) -> DataFrame:
+def with_neighbours(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Columns of ``hits`` and ``context``: the passage with the one before and the one after it, each under its page or reference."""
+    passages = delivered_chunks(chunks.select("chunk_id", "doc_id", "reading_order", "page_number", "source_node_ref", "created_at", "content"))
+    passages = passages.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    head = F.when(F.coalesce("page_number", F.lit(0)) != 0, F.concat(F.lit("Page "), F.col("page_number").cast("string"))).otherwise(F.coalesce("source_node_ref", F.lit("null")))
+    shown = F.concat(F.lit("["), head, F.lit("]\n"), F.coalesce("content", F.lit("")))
+    at = Window.partitionBy("doc_id").orderBy("reading_order", "chunk_id")
+    own = passages.withColumn("shown", shown).withColumn("context", F.concat_ws("\n\n", F.lag("shown").over(at), "shown", F.lead("shown").over(at)))
+    return hits.join(own.select(key, "context"), key)
+
+
+def delta_scores(questions: DataFrame, delta: DataFrame) -> DataFrame:
+    """(question_id, doc_id, score, hits): documents that arrived after the index was built, scored by their word counts.
+
+    ``questions``: (question_id, jurisdiction_code, question); ``delta``: (jurisdiction_code, doc_id,
+    term, n). A term counts by its commonest form, 1 + ln(1 + n) times its weight.
+    """
+    forms = F.create_map(*[x for k, v in T.VARIANTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    asked = questions.select("question_id", "jurisdiction_code", F.explode(T.gateway_terms(F.col("question"))).alias("asked"))
+    asked = asked.select("*", F.explode(F.coalesce(F.try_element_at(forms, F.col("asked")), F.array("asked"))).alias("term"))
+    best = delta.join(asked, ["jurisdiction_code", "term"]).groupBy("question_id", "asked", "doc_id").agg(F.max("n").alias("n"))
+    weight = F.when(F.col("asked").isin(*WEIGHTED_TERMS), 2.5).otherwise(1.0)
+    return best.groupBy("question_id", "doc_id").agg(F.round(F.sum((1 + F.log1p(F.col("n").cast("double"))) * weight), 6).alias("score"), F.sum(weight).alias("hits"))
+
+
+def first_per_url(ranked: DataFrame, url: Column, most: int = 6) -> DataFrame:
+    """Rows of ranked lists, the first of each address (of one question), ``most`` at most. ``ranked``: (question_id, list_no, place, ...)."""
+    rows = ranked.withColumn("url", url).filter("url is not null")
+    first = Window.partitionBy("question_id", "url").orderBy("list_no", "place")
+    order = Window.partitionBy("question_id").orderBy("list_no", "place")
+    rows = rows.withColumn("_at", F.row_number().over(first)).filter("_at = 1").drop("_at")
+    return rows.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= most)
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 10, block: int = 2_048) -> DataFrame:
     """(query_id, vec_id, similarity, place): the ``k`` nearest rows by cosine for every row whose id ``every`` divides.
 
-    The stated queries are sent to the tasks in blocks of bounded size and meet every row once; each
-    task keeps its own best ``k`` before the shuffle.
+    The stated queries are taken in blocks of about ``block`` rows, which is what is sent to the
+    tasks; each block meets every row once, as a product of matrices per batch of which only each
+    query's best rows leave the task (with a margin, so that rounding decides no tie there). Null and
+    zero vectors and those of another length have no similarity.
     """
-    asked = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    pairs = vectors.select("vec_id", "embedding").join(asked, F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(N.cosine(F.col("query"), F.col("embedding")), 6).alias("similarity")).filter("similarity is not null")
+    spark = vectors.sparkSession
+    asked = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").filter("embedding is not null")
+    blocks = max(1, -(-asked.count() // block))
+    parts = []
+    for n in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect()
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), [np.asarray(r[1], np.float64) for r in rows]))
+        parts.append(vectors.select("vec_id", "embedding").filter("embedding is not null").mapInPandas(_near(sent, k), "query_id long, vec_id long, similarity double"))
+    scored = reduce(DataFrame.unionByName, parts).withColumn("similarity", F.round("similarity", 6))
     at = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("place", F.row_number().over(at).cast("long")).filter(F.col("place") <= k)
 
 
+def _near(sent, k: int):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, queries = sent.value
+        for p in batches:
+            own = [np.asarray(v, np.float64) for v in p["embedding"]]
+            for size in {len(v) for v in own} & {len(q) for q in queries}:
+                qs, vs = np.array([i for i, q in enumerate(queries) if len(q) == size]), np.array([i for i, v in enumerate(own) if len(v) == size])
+                a, b = np.stack([queries[i] for i in qs]), np.stack([own[i] for i in vs])
+                la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+                qs, a, vs, b = qs[la > 0], a[la > 0] / la[la > 0, None], vs[lb > 0], b[lb > 0] / lb[lb > 0, None]
+                if not len(qs) or not len(vs):
+                    continue
+                there = p["vec_id"].to_numpy(np.int64)[vs]
+                s = a @ b.T
+                s[ids[qs][:, None] == there[None, :]] = -np.inf
+                least = np.sort(s, axis=1)[:, -min(k, s.shape[1])][:, None] - 2e-6
+                i, j = np.nonzero((s >= least) & np.isfinite(s))
+                yield pd.DataFrame({"query_id": ids[qs][i], "vec_id": there[j], "similarity": s[i, j]})
+
+    return run
+
+
 def fused(rows: DataFrame) -> DataFrame:
     """(query_id, vec_id, score, place): two rankings of the same rows made one."""
     lexical = F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id")) - 1

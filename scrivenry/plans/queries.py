@@ -11,6 +11,7 @@ from scrivenry.functions import numbers as N
 from scrivenry.functions import sensitive
 from scrivenry.functions import text as T
 from scrivenry.operators import chunking, corpus, index, relations, retrieval
+from scrivenry.plans import checks
 from scrivenry.plans.sql import SQL
 from scrivenry.sources import table
 from scrivenry.streaming import queue
@@ -131,7 +132,7 @@ def token_estimates(spark: SparkSession, d: str) -> DataFrame:
 @query
 def index_words(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("jurisdiction_code", F.explode(T.index_words(F.col("text"))).alias("term"))
-    return docs.groupBy("jurisdiction_code", "term").agg(F.count("*").alias("n")).filter("n >= 5")
+    return docs.groupBy("jurisdiction_code", "term").agg(F.count("*").alias("n"))
 
 
 @query
@@ -167,16 +168,6 @@ def quote_verify(spark: SparkSession, d: str) -> DataFrame:
     return corpus.quote_checks(*_tables(spark, d, "citator_entries", "chunks"))
 
 
-@query
-def label_audit(spark: SparkSession, d: str) -> DataFrame:
-    # An answer to each quote that refers to its passage, to one that isn't there, and to a page.
-    entries = corpus.latest(table(spark, d, "citator_entries"), ["entry_id"], [F.col("created_at").asc_nulls_last()])
-    answer = F.concat(F.lit("See [P"), (F.col("entry_id") % 3 + 1).cast("string"), F.lit("] and (F2, page 4) against [P9; P1]: "), F.col("evidence_quote"))
-    labels = T.evidence_labels(answer)
-    known = F.array(*[F.lit(x) for x in ("P1", "P2", "P3", "F1", "F2")])
-    return entries.select("entry_id", F.array_join(labels, " ").alias("labels"), F.array_join(F.array_except(labels, known), " ").alias("unknown"))
-
-
 @query
 def sensitive_scan(spark: SparkSession, d: str) -> DataFrame:
     # The corpus holds few such strings, so a line that does is put behind every fourth passage.
@@ -392,3 +383,7 @@ def newest_generations(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     runs = docs.groupBy("source_id", "batch_no").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
     return relations.newest(runs, "source_id", "batch_no").select("source_id", F.col("batch_no").cast("long").alias("batch_no"), "n_docs", "n_chars", "age")
+
+
+QUERIES.update(checks.QUERIES)
+SQL.update(checks.SQL)

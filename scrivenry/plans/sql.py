@@ -31,15 +31,40 @@ _SHARD = "lower(printf('%02x', list_reduce(list_prepend(0::BIGINT, list_transfor
 _TS = "CAST('2024-01-15 12:00:00' AS TIMESTAMP)"
 
 
-def _search(required: bool, terms: int, name: str) -> str:
+#: White space as Python strips it, as a class of RE2 and as characters.
+SPACE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{SPACE}+', ''), '{SPACE}+$', '')"
+
+
+def packing(pieces: str, most: int, joiner: str, width: int, trim_cuts: bool = True) -> str:
+    """Greedy packing of the list ``pieces`` of each document."""
+    content = f"substring(t, (s * {most} + 1)::BIGINT, {most})"
+    content = strip(content) if trim_cuts else content
+    return f"""WITH RECURSIVE pieces AS (
+            SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, length(piece) AS n FROM (
+                SELECT doc_id, {strip('p')} AS piece, i FROM (SELECT doc_id, unnest({pieces}) AS p, generate_subscripts({pieces}, 1) AS i FROM documents)) WHERE piece <> ''),
+        packed AS (SELECT doc_id, i, 1::BIGINT AS pack, CASE WHEN n > {most} THEN -1 ELSE n END AS used FROM pieces WHERE i = 1
+            UNION ALL SELECT p.doc_id, p.i, CASE WHEN k.used >= 0 AND p.n <= {most} AND k.used + {width} + p.n <= {most} THEN k.pack ELSE k.pack + 1 END,
+                CASE WHEN k.used >= 0 AND p.n <= {most} AND k.used + {width} + p.n <= {most} THEN k.used + {width} + p.n WHEN p.n > {most} THEN -1 ELSE p.n END
+            FROM packed k JOIN pieces p ON p.doc_id = k.doc_id AND p.i = k.i + 1),
+        texts AS (SELECT doc_id, pack, string_agg(piece, {joiner} ORDER BY i) AS t FROM packed JOIN pieces USING (doc_id, i) GROUP BY 1, 2),
+        cut AS (SELECT doc_id, pack, {content} AS content, s FROM (SELECT doc_id, pack, t, unnest(range(0, (length(t) + {most - 1}) // {most})) AS s FROM texts))
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pack, s) - 1)::INTEGER AS reading_order, content FROM cut WHERE content <> ''"""
+
+
+def _search(required: bool, terms: int, name: str, scoped: bool = False) -> str:
     """CTEs that end in ``name`` (question_id, chunk_id, doc_id, rank, place)."""
-    body_all = f"HAVING count(*) = any_value(asked)" if required else ""
+    body_all = "HAVING count(*) = any_value(asked)" if required else ""
+    within = "WHERE s.jurisdiction_code = (SELECT any_value(jurisdiction_code) FROM evaluation_cases WHERE item_id = u.question_id)" if scoped else ""
     return f"""
     q_{name} AS (SELECT item_id AS question_id, term, count(*) OVER (PARTITION BY item_id) AS asked FROM qterms WHERE item_id % 20 = 0 AND pos <= {terms}),
     b_{name} AS (SELECT question_id, chunk_id, doc_id, sum(n)::BIGINT AS n FROM (
             SELECT chunk_id, doc_id, term, count(*) AS n FROM (SELECT chunk_id, doc_id, unnest({_WORDS1.format('content')}) AS term FROM c) GROUP BY ALL)
          JOIN q_{name} USING (term) GROUP BY 1, 2, 3 {body_all}),
-    shown_{name} AS (SELECT doc_id, title, document_type FROM documents WHERE source_id IN (SELECT source_id FROM source_registry WHERE policy_state = 'approved' AND commercial_display_allowed)),
+    shown_{name} AS (SELECT doc_id, title, document_type, jurisdiction_code FROM documents WHERE source_id IN (SELECT source_id FROM source_registry WHERE policy_state = 'approved' AND commercial_display_allowed)),
     t_{name} AS (SELECT question_id, doc_id FROM (SELECT DISTINCT doc_id, unnest({_WORDS1.format("coalesce(title, '')")}) AS term FROM shown_{name}) JOIN q_{name} USING (term)
          GROUP BY 1, 2 {body_all}),
     lead_{name} AS (SELECT chunk_id, doc_id FROM c WHERE coalesce(reading_order, 0) <= 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY reading_order NULLS FIRST, chunk_id) <= 2),
@@ -47,7 +72,7 @@ def _search(required: bool, terms: int, name: str) -> str:
     r_{name} AS (SELECT u.question_id, u.chunk_id, u.doc_id,
             round(0.1::DOUBLE * u.n + CASE WHEN t.doc_id IS NOT NULL THEN 1.5::DOUBLE ELSE 0 END
                   + CASE WHEN lower(coalesce(s.document_type, '')) IN {tuple(T_PRIMARY)} THEN 0.16::DOUBLE ELSE 0 END, 6) AS rank
-         FROM u_{name} u JOIN shown_{name} s USING (doc_id) LEFT JOIN t_{name} t ON t.question_id = u.question_id AND t.doc_id = u.doc_id),
+         FROM u_{name} u JOIN shown_{name} s USING (doc_id) LEFT JOIN t_{name} t ON t.question_id = u.question_id AND t.doc_id = u.doc_id {within}),
     k_{name} AS (SELECT * FROM r_{name} QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, chunk_id) <= 400),
     v_{name} AS (SELECT * FROM k_{name} QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY rank DESC, chunk_id) <= 3),
     {name} AS (SELECT question_id, chunk_id, doc_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, chunk_id) AS place FROM v_{name} QUALIFY place <= 24)"""
@@ -108,26 +133,17 @@ SQL: dict[str, str] = {
         two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) - 1 AS lexical, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) - 1 AS semantic FROM top),
         s AS (SELECT *, round(0.45::DOUBLE / (20 + lexical) + 0.55::DOUBLE / (20 + semantic), 9) AS score FROM two)
         SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lexical) AS place FROM s""",
-    "chunk_pack": """WITH RECURSIVE pieces AS (
-            SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, length(piece) AS n FROM (
-                SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS piece, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE piece <> ''),
-        packed AS (SELECT doc_id, i, 1::BIGINT AS pack, CASE WHEN n > 2600 THEN -1 ELSE n END AS used FROM pieces WHERE i = 1
-            UNION ALL SELECT p.doc_id, p.i, CASE WHEN k.used >= 0 AND p.n <= 2600 AND k.used + 1 + p.n <= 2600 THEN k.pack ELSE k.pack + 1 END,
-                CASE WHEN k.used >= 0 AND p.n <= 2600 AND k.used + 1 + p.n <= 2600 THEN k.used + 1 + p.n WHEN p.n > 2600 THEN -1 ELSE p.n END
-            FROM packed k JOIN pieces p ON p.doc_id = k.doc_id AND p.i = k.i + 1),
-        texts AS (SELECT doc_id, pack, string_agg(piece, chr(10) ORDER BY i) AS t FROM packed JOIN pieces USING (doc_id, i) GROUP BY 1, 2),
-        cut AS (SELECT doc_id, pack, trim(substring(t, (s * 2600 + 1)::BIGINT, 2600)) AS content, s FROM (SELECT doc_id, pack, t, unnest(range(0, (length(t) + 2599) // 2600)) AS s FROM texts))
-        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pack, s) - 1)::INTEGER AS reading_order, content FROM cut WHERE content <> ''""",
+    "chunk_pack": packing("string_split(text, chr(10))", 2600, "chr(10)", 1),
     "chunk_windows": """WITH t AS (SELECT doc_id AS chunk_id, trim(replace(text, chr(0), '')) AS t FROM documents),
         w AS (SELECT chunk_id, t, unnest(range(0, CASE WHEN length(t) <= 4000 THEN 1 ELSE 1 + ceil((length(t) - 4000) / 3600.0)::BIGINT END)) AS window_no FROM t WHERE t <> '')
         SELECT chunk_id, window_no, window_no * 3600 AS start, substring(t, window_no * 3600 + 1, 4000) AS content FROM w""",
     "markup_strip": f"""WITH {_CHUNKS}
-        SELECT chunk_id, array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\f]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS content FROM c""",
+        SELECT chunk_id, array_to_string(list_filter(list_transform(string_split_regex(content, '\\r\\n|[\\n\\r\\x{{0b}}\\x{{0c}}\\x{{1c}}-\\x{{1e}}\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(regexp_replace(x, '{SPACE}+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS content FROM c""",
     "token_estimates": f"WITH {_CHUNKS} SELECT source_id, count(*) AS chunks, sum(greatest(1, length(content) // 4))::BIGINT AS tokens FROM c GROUP BY 1",
     "index_words": f"""WITH w AS (SELECT jurisdiction_code, unnest({_WORDS3.format('text')}) AS term FROM documents)
-        SELECT jurisdiction_code, term, count(*) AS n FROM w WHERE NOT list_contains({_list(T.INDEX_STOP)}, term) GROUP BY 1, 2 HAVING count(*) >= 5""",
+        SELECT jurisdiction_code, term, count(*) AS n FROM w WHERE NOT list_contains({_list(T.INDEX_STOP)}, term) GROUP BY 1, 2""",
     "shard_prefix": f"""WITH w AS (SELECT jurisdiction_code, unnest({_WORDS3.format('text')}) AS term FROM documents),
-        k AS (SELECT jurisdiction_code, term, count(*) AS n FROM w WHERE NOT list_contains({_list(T.INDEX_STOP)}, term) GROUP BY 1, 2 HAVING count(*) >= 5)
+        k AS (SELECT jurisdiction_code, term, count(*) AS n FROM w WHERE NOT list_contains({_list(T.INDEX_STOP)}, term) GROUP BY 1, 2)
         SELECT {_SHARD.format('term')} AS shard, count(*) AS terms, sum(n)::BIGINT AS n FROM k GROUP BY 1""",
     "question_plans": f"""WITH {_QTERMS},
         l AS (SELECT item_id, list(term ORDER BY pos) AS ts FROM qterms GROUP BY 1),
@@ -138,7 +154,7 @@ SQL: dict[str, str] = {
         FROM evaluation_cases LEFT JOIN p USING (item_id)""",
     "title_languages": """SELECT CASE WHEN regexp_matches(lower(coalesce(title, '')), '^(sheria|kanuni|katiba)\\b') THEN 'sw' ELSE 'en' END AS guess, substring(lower(coalesce(lang, 'und')), 1, 2) AS lang, count(*) AS n FROM documents GROUP BY 1, 2""",
     "citation_candidates": """SELECT citation, count(DISTINCT entry_id) AS entries FROM (
-        SELECT entry_id, unnest(regexp_extract_all(concat_ws(' ', target_citation, judgment_citation), '\\[[0-9]{4}\\]\\s*[A-Z][A-Z0-9]{1,12}\\s*[0-9]{1,7}')) AS citation FROM citator_entries) GROUP BY 1""",
+        SELECT entry_id, unnest(regexp_extract_all(concat_ws(' ', target_citation, judgment_citation), '\\[\\d{4}\\]\\s*[A-Z][A-Z0-9]{1,12}\\s*\\d{1,7}\\b')) AS citation FROM citator_entries) GROUP BY 1""",
     "citator_lookup": f"""WITH {_ENTRIES} SELECT a.authority_id, e.treatment, count(*) AS n, min(e.entry_id) AS first_entry FROM authorities a
         JOIN e ON e.jurisdiction = a.jurisdiction_code AND regexp_replace(lower(e.target_citation), '\\s+', '', 'g') = regexp_replace(lower(a.citation), '\\s+', '', 'g')
         WHERE e.status = 'verified' GROUP BY 1, 2""",
@@ -216,3 +232,17 @@ SQL: dict[str, str] = {
     "newest_generations": """SELECT source_id, batch_no::BIGINT AS batch_no, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars, row_number() OVER (PARTITION BY source_id ORDER BY batch_no DESC) AS age
         FROM documents GROUP BY source_id, documents.batch_no QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY documents.batch_no DESC) <= 3""",
 }
+
+_TERM_FORMS = ",".join(f"('{k}','{f}')" for k, v in T.VARIANTS.items() for f in v)
+SQL["gateway_passages"] = f"""WITH {_GATEWAY.strip()}, {_CHUNKS},
+    n0 AS (SELECT chunk_id, doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order NULLS FIRST, chunk_id) AS at_no FROM c WHERE doc_id IN (SELECT doc_id FROM gateway)),
+    r0 AS (SELECT g.question_id, n0.*, g1.asked, coalesce(forms.term, g1.asked) AS term FROM gateway g JOIN n0 USING (doc_id) JOIN g1 USING (question_id) LEFT JOIN forms ON forms.asked = g1.asked),
+    c0 AS (SELECT question_id, doc_id, chunk_id, at_no, asked, max((length(lower(content)) - length(replace(lower(content), term, ''))) // length(term)) AS k,
+           any_value(regexp_matches(content, '(?i)arrangement\\s+of\\s+sections|table\\s+of\\s+contents')) AS contents FROM r0 GROUP BY ALL),
+    s0 AS (SELECT question_id, doc_id, chunk_id, at_no, round(sum(CASE WHEN k > 0 THEN
+               CASE WHEN asked IN ('misconduct','disciplinary','hearing','procedural','admissibility','indemnity','confidentiality') THEN 2.5::DOUBLE ELSE 1::DOUBLE END * (1 + 0.15::DOUBLE * least(3, k - 1)) ELSE 0::DOUBLE END)
+               * CASE WHEN any_value(contents) THEN 0.25::DOUBLE ELSE 1::DOUBLE END, 6) AS score FROM c0 GROUP BY 1, 2, 3, 4),
+    p0 AS (SELECT * FROM s0 WHERE score > 0),
+    k0 AS (SELECT * FROM p0 a WHERE NOT EXISTS (SELECT 1 FROM p0 b WHERE b.question_id = a.question_id AND b.doc_id = a.doc_id AND abs(b.at_no - a.at_no) <= 2
+           AND (b.score > a.score OR (b.score = a.score AND b.at_no < a.at_no))))
+    SELECT question_id, doc_id, chunk_id, score AS passage_score, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY score DESC, at_no) AS passage_place FROM k0 QUALIFY passage_place <= 3"""
