@@ -1,10 +1,11 @@
 """Freely typed citations mapped to a canonical list.
 
 Distinct values are normalised, candidates of the same jurisdiction come from an inverted index of
-character trigrams (padded words, so that their order doesn't matter) and whole numbers, are scored
-by a weighted cosine, and those above a threshold and near the best are checked: a
-value that gives numbers must give those of the authority, a title must agree word by word with
-slips allowed. The best of those checked is accepted if the next is a margin away.
+character trigrams (padded words, so that their order doesn't matter) and whole numbers, and are
+scored by a weighted cosine against the forms of an entry: its citation, its title, and both. The
+best entry is accepted if its score is above a threshold and the next entry is a margin away. An
+exact check follows, which can only refuse the one accepted: a value that gives numbers must give
+those of the authority, a title must agree word by word with slips allowed.
 
 Defined results: null, blank and canonical values are no cases; a null jurisdiction, an unknown
 jurisdiction and an empty canonical list give 0; repeated rows give one row; ties give 0.
@@ -17,14 +18,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivenry.sources import materialize
 
 #: Ways of writing the kinds of citations, after folding; the right side is the kind.
 KINDS = {
-    "statutory rules": "sr", "statutory rule": "sr", "statutes of quelbec": "sq", "government notice": "gn", "government notices": "gn",
+    "statutory rules": "sr", "statutory rule": "sr", "government notice": "gn", "government notices": "gn",
     "chapter": "c", "chap": "c", "ch": "c", "cap": "c", "regulation": "reg", "reglement": "reg", "verordnung": "reg", "r": "reg", "statute": "act",
     "sura ya": "c", "gnno": "gn", "srno": "sr", "actno": "act", "capno": "c", "sqno": "sq", "regno": "reg",
 }
@@ -32,7 +33,7 @@ KIND_WORDS = frozenset({"sr", "sq", "gn", "c", "reg", "act"})
 #: Words that name nothing.
 FILLERS = frozenset("the of fo and v vs versus no nr num number case in see cf also applied followed cited per at a an by to laws re rev ed".split())
 #: Words that begin a reference into an authority; what follows them is no part of its citation.
-PINPOINTS = frozenset("p pp page para paras paragraph s ss section sec art article unreported ff".split())
+PINPOINTS = frozenset("at p pp page para paras paragraph s ss section sec art article unreported ff".split())
 _DIGITLIKE = str.maketrans("OoQlI|SB", "00011158")
 _TOKEN = re.compile(r"[^\W_]+")
 _PART = re.compile(r"\d+|[^\W\d_]+")
@@ -71,7 +72,7 @@ def tokens_of(text: str) -> list[str]:
 
 
 def grams(tokens: list[str]) -> list[str]:
-    """Distinct features of what names something: padded trigrams of words, short words also as a bag of letters (for exchanged letters), numbers whole."""
+    """Distinct features of what names something: padded trigrams of words, short words also as a bag of letters (for exchanged letters), beginnings for words cut short, numbers whole."""
     out = set()
     for t in tokens:
         if t.isdigit():
@@ -79,6 +80,8 @@ def grams(tokens: list[str]) -> list[str]:
         elif t not in FILLERS and t not in PINPOINTS:
             p = f"^{t}$"
             out.update(p[i : i + 3] for i in range(max(1, len(p) - 2)))
+            if len(t) >= 3:
+                out.add(f"<{t[:3]}")
             if 3 <= len(t) <= 5:
                 out.add("=" + "".join(sorted(t)))
     return sorted(out)
@@ -121,7 +124,7 @@ class Reading:
         self.tokens = tokens_of(text)
         cut = next((i for i, t in enumerate(self.tokens) if t in PINPOINTS and i > 0 and any(x.isdigit() for x in self.tokens[:i])), len(self.tokens))
         self.main = self.tokens[:cut]
-        self.numbers = [int(t) for t in self.main if t.isdigit() and len(t) < 10]
+        self.numbers = [int(t) for t in self.main if t.isdigit()]
         self.words = [t for t in self.main if not t.isdigit() and t not in FILLERS]
 
 
@@ -139,14 +142,17 @@ def agrees(value: Reading, citation: Reading, title: Reading, court: Reading, co
             return (1, slips) if sorted(value.numbers[: len(own)]) == sorted(own) else None
     else:
         kind = next((w for w in citation.words if w in KIND_WORDS), None)
-        given = [w for w in value.main if w in KIND_WORDS]
+        # A kind is also named by the words that its letters stand for.
+        initials = [a[0] + b[0] for a, b in zip(value.words, value.words[1:])]
+        given = [w for w in [*value.main, *initials] if w in KIND_WORDS]
         typed = kind in given or (not given and not value.words)
-        ordered = [int(t) for t in citation.main if t.isdigit()]
+        ordered = citation.numbers
         if typed and value.numbers:
             first = value.numbers[: len(own)]
             if sorted(first) == sorted(own) and (kind in given or first == ordered):
                 # "Act 24/1973" is a citation, "Water Act 1973" a title: the title's words must then not be another's.
-                rest = [w for w in value.words if w not in KIND_WORDS]
+                spelt = {w for a, b in zip(value.words, value.words[1:]) if kind not in value.main and a[0] + b[0] == kind for w in (a, b)}
+                rest = [w for w in value.words if w not in KIND_WORDS and w not in spelt]
                 if not rest or _titled(rest, [w for w in names if w not in KIND_WORDS], True) is not None:
                     return (1, 0)
                 return None
@@ -179,7 +185,7 @@ def _titled(words: list[str], names: list[str], shorten: bool) -> int | None:
 
 def _prepare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
-        yield p.assign(grams=[grams(tokens_of(v)) for v in p["value"]])
+        yield p.assign(grams=[grams(Reading(v).main) for v in p["value"]])
 
 
 def _check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,51 +204,59 @@ def _check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             code = None if code is None else code.lower()
             got = agrees(read(value), read(citation), read(title or ""), read(court or ""), code, -1 if pd.isna(year) else int(year))
             if got:
-                rows.append((vid, aid, score, *got))
-        yield pd.DataFrame(rows, columns=["vid", "authority_id", "score", "by_citation", "slips"])
+                rows.append((vid, aid, score))
+        yield pd.DataFrame(rows, columns=["vid", "authority_id", "score"])
 
 
-def map_values(values: DataFrame, authorities: DataFrame, threshold: float = 0.15, near: float = 0.5, margin: float = 1e-6, common: float = 8.0) -> DataFrame:
+def map_values(values: DataFrame, authorities: DataFrame, threshold: float = 0.35, near: float = 0.5, margin: float = 0.004, common: float = 8.0) -> DataFrame:
     """(jurisdiction, value, authority_id, score): the authority each distinct value names in its jurisdiction, or 0.
 
-    ``values``: (jurisdiction, value). A feature weighs the square of its inverse document
-    frequency in the jurisdiction, and nothing if over one entry in ``common`` (and three at least) has it. Candidates below ``threshold`` or below ``near`` times the
-    best score of their value are left; of the agreeing ones those by citation go before those by
-    title, fewer slips before more, and equals within ``margin`` of score give 0.
+    ``values``: (jurisdiction, value). A feature weighs the square of its inverse document frequency
+    in the jurisdiction. Candidates are found by the features that at most one entry in ``common``
+    (or three) has, or by all of them for a value that has no such feature in common with an entry;
+    those with at least ``near`` times the best of these sums are scored over all features. The best
+    is accepted from ``threshold`` on, if no other entry comes within ``margin``.
     """
     listed = authorities.select("authority_id", F.col("jurisdiction_code").alias("jurisdiction"), "citation", "title", "court_code", "court", "issued_year").filter("authority_id is not null and citation is not null")
     distinct = values.select("jurisdiction", "value").distinct().withColumn("vid", F.xxhash64("jurisdiction", "value"))
     prepared = materialize(distinct.mapInPandas(_prepare, "jurisdiction string, value string, vid long, grams array<string>"), "values")
-    # Two forms of each entry, so that a citation isn't measured against the words of a title. A form is (authority, number of the form).
-    forms = listed.select("jurisdiction", F.explode(F.array(F.struct((F.col("authority_id") * 2).alias("vid"), F.concat_ws(" ", "citation", "court").alias("value")), F.struct((F.col("authority_id") * 2 + 1).alias("vid"), F.coalesce("title", F.lit("")).alias("value")))).alias("x"))
-    forms = forms.select("jurisdiction", "x.value", "x.vid").mapInPandas(_prepare, "jurisdiction string, value string, vid long, grams array<string>")
+    # The forms in which an entry is named, so that a citation isn't measured against the words of a title. A form is (authority, number of the form).
+    year, title = F.col("issued_year").cast("string"), F.coalesce("title", F.lit(""))
+    named = [F.col("citation"), F.when(F.col("court").isNotNull(), F.concat_ws(" ", "citation", "court")), title, F.concat_ws(" ", title, year), F.concat_ws(" ", title, "citation")]
+    forms = listed.select("jurisdiction", "authority_id", F.posexplode(F.array(*named)).alias("at", "value")).filter("value is not null")
+    forms = forms.select("jurisdiction", "value", (F.col("authority_id") * 8 + F.col("at")).alias("vid"))
+    forms = forms.mapInPandas(_prepare, "jurisdiction string, value string, vid long, grams array<string>")
     postings = materialize(forms.select("jurisdiction", F.col("vid").alias("form_id"), F.explode("grams").alias("gram")), "postings")
-    total = postings.groupBy("jurisdiction").agg((F.countDistinct("form_id") / 2).alias("total"))
+    entry = F.floor(F.col("form_id") / 8)
+    total = postings.groupBy("jurisdiction").agg(F.countDistinct(entry).alias("total"))
     rarity = F.log1p(F.col("total") / F.col("df"))
-    weight = postings.groupBy("jurisdiction", "gram").agg(F.count("*").alias("df")).join(total, "jurisdiction")
-    weight = weight.select("jurisdiction", "gram", F.when(F.col("df") > F.greatest(F.lit(3), F.col("total") / common), 0.0).otherwise(rarity * rarity).alias("w"))
-    weight = materialize(weight, "gram_weights")
-    weighted = postings.join(weight, ["jurisdiction", "gram"]).filter("w > 0")
+    weight = postings.groupBy("jurisdiction", "gram").agg(F.countDistinct(entry).alias("df")).join(total, "jurisdiction")
+    weight = materialize(weight.select("jurisdiction", "gram", (F.col("df") > F.greatest(F.lit(3), F.col("total") / common)).alias("is_common"), (rarity * rarity).alias("w")), "gram_weights")
+    weighted = postings.join(weight, ["jurisdiction", "gram"])
     lengths = weighted.groupBy("form_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    weighted = materialize(weighted.join(lengths, "form_id").select("jurisdiction", "gram", "form_id", "w", (F.col("w") / F.col("length")).alias("part")), "weighted_postings")
+    weighted = materialize(weighted.join(lengths, "form_id").select("jurisdiction", "gram", "form_id", "is_common", "w", (F.col("w") / F.col("length")).alias("part")), "weighted_postings")
     asked = prepared.select("jurisdiction", "vid", F.explode("grams").alias("gram"))
-    unseen = F.pow(F.log1p(F.col("total") / 10), 2)
+    # A number that no entry has is as rare as can be; letters that none has are mostly slips.
+    unseen = F.pow(F.log1p(F.when(F.startswith("gram", F.lit("#")), F.col("total")).otherwise(F.col("total") / 10)), 2)
     w = F.coalesce(F.col("w"), unseen)
     own_length = asked.join(weight, ["jurisdiction", "gram"], "left").join(F.broadcast(total), "jurisdiction").groupBy("vid").agg(F.sqrt(F.sum(w * w)).alias("own_length"))
-    shared = asked.join(weighted, ["jurisdiction", "gram"]).groupBy("vid", "form_id").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
-    scored = shared.join(own_length, "vid").withColumn("score", F.col("dot") / F.col("own_length")).filter(F.col("score") >= threshold)
-    scored = scored.groupBy("vid", F.floor(F.col("form_id") / 2).alias("authority_id")).agg(F.max("score").alias("score"))
-    scored = materialize(scored, "scored")
-    best = scored.groupBy("vid").agg(F.max("score").alias("best"))
-    close = scored.join(best, "vid").filter(F.col("score") >= near * F.col("best")).join(listed.drop("jurisdiction"), "authority_id").join(prepared.select("vid", "value"), "vid")
-    checked = close.select("vid", "value", "authority_id", "score", "citation", "title", "court_code", "court", "issued_year").mapInPandas(_check, "vid long, authority_id long, score double, by_citation long, slips long")
-    order = F.struct((-F.col("by_citation")).alias("a"), F.col("slips").alias("b"), (-F.round("score", 9)).alias("c"), "authority_id")
-    first = checked.groupBy("vid").agg(F.min(order).alias("first"))
-    rivals = checked.join(first, "vid").filter(
-        (F.col("authority_id") != F.col("first.authority_id")) & (-F.col("by_citation") == F.col("first.a")) & (F.col("slips") == F.col("first.b")) & (F.col("score") + F.col("first.c") >= -margin)
+    sums = lambda rows, postings: rows.join(postings, ["jurisdiction", "gram"]).groupBy("vid", "form_id").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
+    rare = materialize(sums(asked, weighted.filter("not is_common")), "rare_sums")
+    others = sums(asked.join(rare.select("vid").distinct(), "vid", "left_anti"), weighted)
+    best = rare.groupBy("vid").agg((F.max("dot") * near).alias("least"))
+    kept = rare.join(best, "vid").filter("dot >= least").select("vid", "form_id", "dot")
+    more = kept.select("vid", "form_id").join(asked.join(weight.filter("is_common").select("jurisdiction", "gram"), ["jurisdiction", "gram"]).select("vid", "gram"), "vid")
+    more = more.join(weighted.filter("is_common").select("form_id", "gram", (F.col("w") * F.col("part")).alias("dot")), ["form_id", "gram"]).select("vid", "form_id", "dot")
+    scored = kept.unionByName(more).unionByName(others).groupBy("vid", "form_id").agg(F.sum("dot").alias("dot")).join(own_length, "vid")
+    scored = scored.groupBy("vid", F.floor(F.col("form_id") / 8).alias("authority_id")).agg(F.max(F.round(F.col("dot") / F.col("own_length"), 9)).alias("score"))
+    at = Window.partitionBy("vid").orderBy(F.desc("score"), "authority_id")
+    two = scored.withColumn("at", F.row_number().over(at)).filter("at <= 2").groupBy("vid").agg(
+        F.max("score").alias("score"), F.max(F.when(F.col("at") == 1, F.col("authority_id"))).alias("authority_id"), F.max(F.when(F.col("at") == 2, F.col("score"))).alias("next")
     )
-    accepted = first.join(rivals, "vid", "left_anti").select("vid", F.col("first.authority_id").alias("authority_id"), (-F.col("first.c")).alias("score"))
-    return prepared.select("jurisdiction", "value", "vid").join(accepted, "vid", "left").select("jurisdiction", "value", F.coalesce("authority_id", F.lit(0)).alias("authority_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    accepted = materialize(two.filter((F.col("score") >= threshold) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin)), "accepted")
+    asked_of = accepted.join(listed.drop("jurisdiction"), "authority_id").join(prepared.select("vid", "value"), "vid")
+    checked = asked_of.select("vid", "value", "authority_id", "score", "citation", "title", "court_code", "court", "issued_year").mapInPandas(_check, "vid long, authority_id long, score double")
+    return prepared.select("jurisdiction", "value", "vid").join(checked, "vid", "left").select("jurisdiction", "value", F.coalesce("authority_id", F.lit(0)).alias("authority_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def typed_citations(documents: DataFrame, entries: DataFrame, authorities: DataFrame) -> DataFrame:
