@@ -46,12 +46,12 @@ from pyspark.sql.types import DoubleType
 from scrivenry.llm.site_lines import site_lines
 from scrivenry.sources import materialize, shared_dir
 
-#: Words of a shingle in comparisons and in keys; keys of a text, and how many of them a pair shares at least (a tenth of fewer keys).
-SHINGLE, KEY_SHINGLE, KEYS, SHARED = 5, 6, 40, 4
+#: Words of a shingle in comparisons and in keys; keys of a text, and how many of them a pair shares at least (an eighth of fewer keys).
+SHINGLE, KEY_SHINGLE, KEYS, SHARED = 5, 6, 24, 3
 #: A phrase is frequent from this share of the history's documents on, and from so many; slots of the sketch are the leading bits of a hash, counted in so many chunks.
 FREQUENT_SHARE, FREQUENT, SLOT_BITS, CHUNKS = 0.005, 8, 20, 64
 #: The least similarity that is aligned, and the shares of words and length that then stay ("about one word in ten" differs).
-ALIGNED, SAME_WORDS, SAME_LENGTH = 0.2, 0.87, 0.8
+ALIGNED, SAME_WORDS, SAME_LENGTH = 0.2, 0.87, 0.75
 #: Documents of a key that a document is held against at a time.
 PIVOTS = 256
 _WORD = re.compile(r"[^\W_]+")
@@ -77,8 +77,8 @@ def folded(text: str) -> str:
     return text
 
 
-def plain_words(text: str, site: frozenset[int] = frozenset()) -> list[str]:
-    """The words of a text that count in a comparison; ``site`` holds the hashes of the lines of its site.
+def plain_words(text: str, site: frozenset[int] = frozenset(), longest: int = 1 << 30) -> list[str]:
+    """The words of a text that count in a comparison; ``site`` holds the hashes of the lines of its site, the longest of which has ``longest`` letters.
 
     A line is looked up in ``site`` by the letters it has before accents are taken off, as the lines were counted.
     """
@@ -87,7 +87,7 @@ def plain_words(text: str, site: frozenset[int] = frozenset()) -> list[str]:
     for line in text.split("\n"):
         if _NUMBER_LINE.fullmatch(line):
             continue
-        if site and len(line) >= 20 and _line_hash(line) in site:
+        if site and len(line) >= 20 and _line_hash(line, longest) in site:
             continue
         keep.append(line)
         divided = divided or line.rstrip()[-1:] in _HYPHENS
@@ -100,10 +100,12 @@ def plain_words(text: str, site: frozenset[int] = frozenset()) -> list[str]:
     return text.encode().translate(_SPACED).decode().split() if text.isascii() else _WORD.findall(text)
 
 
-def _line_hash(line: str) -> int | None:
-    """The hash of the letters of a line, as lines of the site are counted; None of fewer than 20."""
-    low = line.lower()
-    letters = low.encode().translate(None, _NO_LETTERS) if low.isascii() else _OTHER.sub("", low)
+def _line_hash(line: str, longest: int) -> int | None:
+    """The hash of the letters of a line, as lines of the site are counted; None of fewer than 20 or more than ``longest``."""
+    letters = line.encode("ascii", "ignore").translate(None, _NO_LETTERS)
+    if len(letters) > longest:
+        return None
+    letters = letters.lower() if line.isascii() else _OTHER.sub("", line.lower())
     if len(letters) < 20:
         return None
     return xxhash.xxh64_intdigest(letters if isinstance(letters, bytes) else letters.encode(), seed=42)
@@ -210,7 +212,7 @@ def _summed(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [key[0]], "n": [sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in p["n"]).tobytes()]})
 
 
-def _features(site: dict[str, frozenset[int]]):  # noqa: ANN202
+def _features(site: dict[str, tuple[frozenset[int], int]]):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = _Codes()
         for p in parts:
@@ -218,7 +220,7 @@ def _features(site: dict[str, frozenset[int]]):  # noqa: ANN202
             for source, text in zip(p["source_id"], p["text"]):
                 if len(code) > 500_000:
                     code.clear()
-                words = plain_words(text, site.get(source, frozenset()))
+                words = plain_words(text, *site.get(source, (frozenset(), 0)))
                 codes = np.fromiter(map(code.__getitem__, words), np.uint16, len(words))
                 rows.append((codes.tobytes(), xxhash.xxh64_intdigest(" ".join(words).encode()) - 2**63, len(words)))
             yield pd.concat([p[["doc_id", "batch_no", "part"]], pd.DataFrame(rows, columns=["codes", "exact", "n_words"], index=p.index)], axis=1)
@@ -248,13 +250,13 @@ class Landed:
         self.parts = max(1, ids // documents_a_part)
         own = docs.select("doc_id", F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "source_id", F.coalesce("text", F.lit("")).alias("text"))
         history = own.filter("batch_no = 0").select(F.col("doc_id").alias("chunk_id"), "doc_id", "source_id", F.lit(0).alias("reading_order"), F.col("text").alias("content"))
-        found = site_lines(history).select("source_id", F.col("key.h").alias("h")).limit(most_site_lines + 1).collect()
+        found = site_lines(history).select("source_id", F.col("key.h").alias("h"), F.col("key.n").alias("n")).limit(most_site_lines + 1).collect()
         if len(found) > most_site_lines:
             raise ValueError("more lines of sites than may be sent to the tasks")
-        site: dict[str, set[int]] = {}
-        for source, h in found:
-            site.setdefault(source, set()).add(h % 2**64)
-        shared = spark.sparkContext.broadcast({k: frozenset(v) for k, v in site.items()})
+        site: dict[str, dict[int, int]] = {}
+        for source, h, n in found:
+            site.setdefault(source, {})[h % 2**64] = n
+        shared = spark.sparkContext.broadcast({k: (frozenset(v), max(v.values())) for k, v in site.items()})
         path = f"{shared_dir(spark)}/scrivenry/landed-{uuid.uuid4().hex}"
         features = own.withColumn("part", self.part("doc_id")).mapInPandas(lambda parts: _features(shared.value)(parts), _FEATURES)
         features.repartition("batch_no", "part").write.partitionBy("batch_no", "part").parquet(path)
