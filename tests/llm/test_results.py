@@ -208,3 +208,30 @@ def test_words_beside_abuse_are_not_learned(spark):  # noqa: ANN001
     assert {"tarrow folk", "gnaw"} <= set(lexicon.counts)
     assert not {"the sender", "sender wrote", "wrote", "gave no", "no reason"} & set(lexicon.counts)
     assert lexicon.weight["idiot"] > 3 and abuse.describe("", lexicon) == [0.0] * len(abuse.FEATURES)
+
+
+def test_lines_that_are_no_excess_are_refused(spark):  # noqa: ANN001
+    own = lambda i: "own line " + " ".join("abcdefghij"[int(c)] * 4 for c in f"{i:07d}")
+    common, site = "words that stand in documents everywhere", "share this page with your colleagues now"
+    # ``common`` meets the rule in a (4 of 57), but is as frequent outside; ``site`` is in excess.
+    rows = [(i, i, "a", 0, own(i) + (f"\n{common}" if i < 4 else "") + (f"\n{site}" if i < 30 else "")) for i in range(57)]
+    rows += [(i, i, "b", 0, own(i) + (f"\n{common}" if i < 1069 else "")) for i in range(1000, 2000)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, source_id string, reading_order int, content string")
+    assert [(r.source_id, r.n_docs) for r in site_lines.site_lines(chunks).collect()] == [("a", 30)]
+
+
+def test_values_beyond_the_old_bounds(spark):  # noqa: ANN001
+    from scrivenry.llm.mixing import _pieces
+
+    text_ = "short words " + "x" * 120_000 + " more words"
+    assert "".join(_pieces(text_)) == text_ and [len(x) for x in _pieces(text_)] == [50_012, 50_000, 20_011]
+    known = {"é": -1.0, "ä": -3.0, "ß": -4.0}
+    # Three lost bytes and more in one word: the likeliest path by characters, and the lattice for the corpus words.
+    word = "".join("Ã�" for _ in range(8))
+    assert encoding.readings(word, known)[0][1] == "é" * 8
+    assert ("u8:cp1252", "�" * 8) in encoding.lattice(word)
+    assert encoding.fits("grÃ�ndlich", "u8:cp1252", "gründlich") and not encoding.fits("grÃ�ndlich", "u8:cp1252", "grundlich")
+    assert not encoding.fits("grÃ�ndlich", "u8:cp1252", "gr“ndlich")
+    long_line = "this line of the site is long " * 20
+    codes = arrivals._line_hash(long_line, 10_000)  # noqa: SLF001
+    assert arrivals.plain_words(f"{long_line}\nown words", frozenset({codes}), 10_000) == ["own", "words"]
