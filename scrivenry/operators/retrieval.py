@@ -25,12 +25,18 @@ def question_rows(cases: DataFrame, every: int = 20) -> DataFrame:
     return rows.withColumn("terms", T.question_terms(F.col("question")))
 
 
-def _matches(questions: DataFrame, passages: DataFrame, terms: Column) -> DataFrame:
-    """(question_id, chunk_id, doc_id, n, distinct_terms): occurrences of any asked term in each passage."""
+def _matches(questions: DataFrame, chunks: DataFrame, delivered: DataFrame, terms: Column) -> DataFrame:
+    """(question_id, chunk_id, doc_id, n, distinct_terms): occurrences of any asked term in each delivered passage.
+
+    Texts are taken apart where they are read; only asked words are shuffled. ``delivered``
+    (chunk_id, created_at) tells which delivery of a passage counts, without its text.
+    """
     asked = questions.select("question_id", F.explode(terms).alias("term"))
-    held = passages.select("chunk_id", "doc_id", F.explode(T.words(F.col("content"), 1)).alias("term"))
-    # Only asked words leave the scan: the terms of the stated questions are few and bounded.
-    held = held.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "doc_id", "term").agg(F.count("*").alias("n"))
+    held = chunks.select("chunk_id", "doc_id", "created_at", F.posexplode(T.words(F.col("content"), 1)).alias("at", "term"))
+    # The terms of the stated questions are few and bounded.
+    held = held.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").dropDuplicates(["chunk_id", "created_at", "at"])
+    own = delivered.select(F.col("chunk_id").alias("own_id"), F.col("created_at").alias("own_at"))
+    held = held.join(own, (F.col("chunk_id") == F.col("own_id")) & F.col("created_at").eqNullSafe(F.col("own_at"))).groupBy("chunk_id", "doc_id", "term").agg(F.count("*").alias("n"))
     return held.join(F.broadcast(asked), "term").groupBy("question_id", "chunk_id", "doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_terms"))
 
 
@@ -46,9 +52,9 @@ def search(
     """
     limit = max(1, min(limit, 60))
     asked = questions.select("question_id", F.slice("terms", 1, most_terms).alias("terms")).filter("size(terms) > 0")
-    passages = delivered_chunks(chunks.select("chunk_id", "doc_id", "reading_order", "created_at", "content")).drop("created_at")
+    passages = delivered_chunks(chunks.select("chunk_id", "doc_id", "reading_order", "created_at"))
     shown = docs.join(F.broadcast(public_sources(registry)), "source_id", "left_semi").select("doc_id", "title", "document_type", F.col("jurisdiction_code").alias("of"))
-    body = _matches(asked, passages, F.col("terms"))
+    body = _matches(asked, chunks, passages, F.col("terms"))
     body = body.join(asked, "question_id").filter(F.col("distinct_terms") == F.size("terms")).drop("terms") if required else body
     titles = shown.select("doc_id", F.array_distinct(T.words(F.coalesce("title", F.lit("")), 1)).alias("words"))
     titled = titles.select("doc_id", F.explode("words").alias("term")).join(F.broadcast(asked.select("question_id", F.size("terms").alias("asked"), F.explode("terms").alias("term"))), "term")

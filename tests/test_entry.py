@@ -10,7 +10,10 @@ import __spark_entry__ as entry
 from scrivenry.plans.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
-CHECKED = ("search_evidence", "search_context", "posting_build", "gateway_search", "chunk_pack", "question_plans", "quote_verify", "upsert_actions", "corpus_overview", "monitor_scan", "lease_claim", "event_windows", "table_text")
+CHECKED = (
+    "search_evidence", "search_context", "posting_build", "gateway_search", "chunk_pack", "question_plans", "quote_verify", "upsert_actions", "corpus_overview", "monitor_scan", "lease_claim", "event_windows", "table_text",
+    "citation_audit", "gateway_delta", "gateway_passages", "pack_clauses", "pack_paragraphs", "workflow_order", "passage_neighbours", "discovery_terms", "document_checks", "search_jurisdiction", "vector_nearest",
+)
 
 
 def test_names_match():
