@@ -253,3 +253,39 @@ def first_that_answers(lists: DataFrame) -> DataFrame:
     """The rows of each question's first list that isn't empty."""
     first = lists.groupBy("question_id").agg(F.min("list_no").alias("list_no"))
     return lists.join(first, ["question_id", "list_no"])
+
+
+def phrase_search(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, chunk_id, doc_id): delivered passages that hold every phrase and no excluded word.
+
+    ``asked``: (question_id, phrases, without), arrays of phrases and of words. A phrase is its words
+    beside each other, without case and punctuation; one without words is held by none. Words are
+    joined by equality, a phrase by the place where its first word would stand.
+    """
+    delivered = delivered_chunks(chunks.select("chunk_id", "doc_id", "created_at"))
+    phrases = asked.select("question_id", F.size("phrases").alias("n_phrases"), F.posexplode("phrases").alias("phrase_no", "phrase"))
+    words_ = phrases.select("question_id", "n_phrases", "phrase_no", T.words(F.col("phrase"), 1).alias("ws")).select("question_id", "n_phrases", "phrase_no", F.size("ws").alias("n_words"), F.posexplode("ws").alias("i", "term"))
+    without = asked.select("question_id", F.explode("without").alias("word")).select("question_id", F.explode(T.words(F.col("word"), 1)).alias("term"))
+    held = chunks.select("chunk_id", "created_at", F.posexplode(T.words(F.col("content"), 1)).alias("at", "term"))
+    held = held.join(F.broadcast(words_.select("term").union(without.select("term")).distinct()), "term", "left_semi")
+    own = delivered.select(F.col("chunk_id").alias("own_id"), "doc_id", F.col("created_at").alias("own_at"))
+    held = held.join(own, (F.col("chunk_id") == F.col("own_id")) & F.col("created_at").eqNullSafe(F.col("own_at"))).select("chunk_id", "doc_id", "at", "term").distinct()
+    runs = held.join(F.broadcast(words_), "term").groupBy("question_id", "n_phrases", "phrase_no", "n_words", "chunk_id", "doc_id", (F.col("at") - F.col("i")).alias("start")).agg(F.count("*").alias("n"))
+    found = runs.filter("n = n_words").groupBy("question_id", "n_phrases", "chunk_id", "doc_id").agg(F.countDistinct("phrase_no").alias("n")).filter("n = n_phrases")
+    barred = held.join(F.broadcast(without), "term").select("question_id", "chunk_id").distinct()
+    return found.join(barred, ["question_id", "chunk_id"], "left_anti").select("question_id", "chunk_id", "doc_id")
+
+
+def private_search(questions: DataFrame, passages: DataFrame, most_terms: int = 4, limit: int = 12) -> DataFrame:
+    """(question_id, passage_id, rank, place): passages of the asker's own organization that hold any of the terms.
+
+    ``questions``: (question_id, organization_id, terms); ``passages``: (passage_id, organization_id,
+    content), those that are ready. Rank: a tenth per occurrence. A passage of another organization
+    is never compared: the organization is part of the join.
+    """
+    asked = questions.select("question_id", "organization_id", F.explode(F.slice("terms", 1, most_terms)).alias("term"))
+    held = passages.select("passage_id", "organization_id", F.explode(T.words(F.col("content"), 1)).alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    hits = held.groupBy("passage_id", "organization_id", "term").agg(F.count("*").alias("n")).join(F.broadcast(asked), ["organization_id", "term"])
+    ranked = hits.groupBy("question_id", "passage_id").agg(F.round(0.1 * F.sum("n").cast("double"), 6).alias("rank"))
+    at = Window.partitionBy("question_id").orderBy(F.desc("rank"), "passage_id")
+    return ranked.withColumn("place", F.row_number().over(at).cast("long")).filter(F.col("place") <= max(1, min(limit, 60)))

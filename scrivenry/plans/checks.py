@@ -261,3 +261,100 @@ def entry_citations(spark: SparkSession, d: str) -> DataFrame:
 def known_content_types(spark: SparkSession, d: str) -> DataFrame:
     known = F.array(*map(F.lit, ("legislation", "judgment", "notice", "guidance")))
     return table(spark, d, "source_registry").select("source_id", ((F.size(F.array_except("content_types", known)) == 0) & F.size("content_types").between(1, 8)).alias("known_types"))
+
+
+@_query(f"""WITH {S._CHUNKS}, a AS (SELECT item_id AS question_id, {S._WORDS1.format('passage')} AS ws FROM evaluation_cases WHERE item_id % 4 = 0),
+    q AS (SELECT question_id, ' ' || array_to_string(ws[1:3], ' ') || ' ' AS p1, ' ' || array_to_string(ws[7:8], ' ') || ' ' AS p2, ' ' || ws[30] || ' ' AS no FROM a),
+    t AS (SELECT chunk_id, doc_id, ' ' || array_to_string({S._WORDS1.format('content')}, ' ') || ' ' AS t FROM c)
+    SELECT question_id, chunk_id, doc_id FROM q JOIN t ON contains(t, p1) AND contains(t, p2) AND NOT contains(t, coalesce(no, '\x01'))""")
+def search_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Passages with the first three and the seventh and eighth word of an item as phrases, without its thirtieth."""
+    cases = table(spark, d, "evaluation_cases").filter("item_id % 4 = 0").select(F.col("item_id").alias("question_id"), T.words(F.col("passage"), 1).alias("ws"))
+    phrase = lambda at, n: F.array_join(F.slice("ws", at, n), " ")
+    asked = cases.select("question_id", F.array(phrase(1, 3), phrase(7, 2)).alias("phrases"), F.array_compact(F.array(F.get("ws", F.lit(29)))).alias("without"))
+    return retrieval.phrase_search(asked, table(spark, d, "chunks"))
+
+
+@_query(f"""WITH {S._ENTRIES}, {S._QTERMS.strip()},
+    o AS (SELECT organization_id, row_number() OVER (ORDER BY organization_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT organization_id FROM e WHERE organization_id IS NOT NULL)),
+    q AS (SELECT item_id AS question_id, organization_id, term FROM qterms JOIN o ON o.i = item_id % o.n WHERE pos <= 4),
+    w AS (SELECT entry_id, organization_id, term, count(*) AS n FROM (SELECT entry_id, organization_id, unnest({S._WORDS1.format('evidence_quote')}) AS term FROM e WHERE reviewed_at IS NOT NULL) GROUP BY ALL),
+    r AS (SELECT question_id, entry_id, round(0.1::DOUBLE * sum(n), 6) AS rank FROM w JOIN q USING (organization_id, term) GROUP BY 1, 2)
+    SELECT question_id, entry_id AS passage_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, entry_id) AS place FROM r QUALIFY place <= 12""")
+def private_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each item asked by a member of one organization, over the quotes that its reviewers have seen."""
+    entries = _entries(spark, d)
+    at = F.row_number().over(Window.orderBy("organization_id")) - 1
+    # The organizations are the tenants: a list that is small beside their entries.
+    organizations = entries.select("organization_id").filter("organization_id is not null").distinct()
+    numbered = organizations.withColumn("i", at).crossJoin(F.broadcast(organizations.agg(F.count("*").alias("n"))))
+    questions = table(spark, d, "evaluation_cases").select(F.col("item_id").alias("question_id"), T.question_terms(F.col("query")).alias("terms"))
+    questions = questions.join(numbered, F.col("question_id") % F.col("n") == F.col("i"))
+    passages = entries.filter("reviewed_at is not null").select(F.col("entry_id").alias("passage_id"), "organization_id", F.col("evidence_quote").alias("content"))
+    return retrieval.private_search(questions.select("question_id", "organization_id", "terms"), passages)
+
+
+@_query("SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS part_id, l_returnflag AS flag FROM lineitem")
+def json_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Typed rows out of JSON arrays: each order's lines, written as one text and read back by a declared schema."""
+    packed = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct(F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("part_id"), F.col("l_returnflag").alias("flag")))).alias("lines"))
+    rows = packed.select(F.col("l_orderkey").alias("order_id"), F.explode(F.from_json("lines", "array<struct<line_no: int, part_id: long, flag: string>>")).alias("x"))
+    return rows.select("order_id", "x.line_no", "x.part_id", "x.flag")
+
+
+@_query(f"""WITH k AS (SELECT source_id, {S._KEY} AS external_key, doc_id, batch_no, {S._HASH} AS content_hash FROM documents WHERE external_id IS NOT NULL),
+    l AS (SELECT *, lag(content_hash) OVER (PARTITION BY source_id, external_key ORDER BY batch_no, doc_id) AS before FROM k)
+    SELECT source_id, external_key, doc_id, CASE WHEN before IS NULL THEN 'created' ELSE 'changed' END AS event FROM l WHERE before IS NULL OR before <> content_hash""")
+def state_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log of each record: a row when it is created and whenever its content changes, none for what came again unchanged."""
+    docs = table(spark, d, "documents")
+    rows = docs.filter("external_id is not null").select("source_id", corpus.external_key(F.col("external_id")).alias("external_key"), "doc_id", "batch_no", corpus.content_hash(docs).alias("content_hash"))
+    before = F.lag("content_hash").over(Window.partitionBy("source_id", "external_key").orderBy("batch_no", "doc_id"))
+    log = rows.withColumn("before", before).filter("before is null or before <> content_hash")
+    return log.select("source_id", "external_key", "doc_id", F.when(F.col("before").isNull(), "created").otherwise("changed").alias("event"))
+
+
+@_query("""WITH t AS (SELECT item_id, query, lag(query) OVER (PARTITION BY jurisdiction_code, lang ORDER BY item_id) AS before FROM evaluation_cases)
+    SELECT item_id, CASE WHEN length(query) < 120 AND before IS NOT NULL THEN before || chr(10) || query ELSE query END AS query FROM t""")
+def carried_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Short questions with the one asked before them in the same conversation."""
+    before = F.lag("query").over(Window.partitionBy("jurisdiction_code", "lang").orderBy("item_id"))
+    cases = table(spark, d, "evaluation_cases").withColumn("before", before)
+    return cases.select("item_id", F.when((F.length("query") < 120) & F.col("before").isNotNull(), F.concat("before", F.lit("\n"), "query")).otherwise(F.col("query")).alias("query"))
+
+
+@_query(f"""WITH k AS (SELECT source_id, {S._KEY} AS external_key, doc_id, batch_no FROM documents WHERE external_id IS NOT NULL),
+    l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY source_id, external_key ORDER BY batch_no DESC, doc_id DESC) = 1)
+    SELECT l.doc_id, l.source_id, r.adapter_key, CASE WHEN r.sync_enabled AND r.policy_state = 'approved' THEN 'promote' ELSE 'hold' END AS action FROM l JOIN source_registry r USING (source_id)""")
+def promoted_records(spark: SparkSession, d: str) -> DataFrame:
+    """The latest form of each record beside the adapter of its source, and whether it is taken over."""
+    docs = table(spark, d, "documents").filter("external_id is not null").select("source_id", corpus.external_key(F.col("external_id")).alias("external_key"), "doc_id", "batch_no")
+    last = corpus.latest(docs, ["source_id", "external_key"], [F.desc("batch_no"), F.desc("doc_id")])
+    action = F.when(F.col("sync_enabled") & (F.col("policy_state") == "approved"), "promote").otherwise("hold")
+    return last.join(table(spark, d, "source_registry"), "source_id").select("doc_id", "source_id", "adapter_key", action.alias("action"))
+
+
+@_query(f"""WITH {S._ENTRIES}, v AS (SELECT source_doc_id AS doc_id, arg_max(treatment, entry_id) AS treatment, count(*) AS n FROM e WHERE status = 'verified' GROUP BY 1)
+    SELECT d.doc_id, coalesce(v.treatment, d.current_status) AS current_status, coalesce(v.n, 0) AS entries FROM documents d LEFT JOIN v USING (doc_id)""")
+def updated_status(spark: SparkSession, d: str) -> DataFrame:
+    """Documents updated from their last verified entry; the others stay as they are."""
+    last = _entries(spark, d).filter("status = 'verified'").groupBy(F.col("source_doc_id").alias("doc_id")).agg(F.max_by("treatment", "entry_id").alias("treatment"), F.count("*").alias("n"))
+    rows = table(spark, d, "documents").select("doc_id", "current_status").join(last, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("treatment", "current_status").alias("current_status"), F.coalesce("n", F.lit(0)).alias("entries"))
+
+
+_OWN = SQL["private_search"].split("SELECT question_id, entry_id AS passage_id")[0].replace("WITH ", "", 1).replace(S._QTERMS.strip() + ",", "")
+
+
+@_query(f"""{S._SEARCH}, {_OWN}, p AS (SELECT question_id, count(*) AS n FROM hits WHERE place <= 16 GROUP BY 1),
+    s AS (SELECT question_id, least(count(*), 12) AS n FROM r GROUP BY 1)
+    SELECT item_id AS question_id, coalesce(p.n, 0) AS n_public, coalesce(s.n, 0) AS n_private, CASE WHEN coalesce(p.n, 0) + coalesce(s.n, 0) > 0 THEN 'retrieved' ELSE 'no-evidence' END AS state,
+           (coalesce(p.n, 0) = 0) <> (coalesce(s.n, 0) = 0) AS partial FROM evaluation_cases c LEFT JOIN p ON p.question_id = c.item_id LEFT JOIN s ON s.question_id = c.item_id WHERE item_id % 20 = 0""")
+def evidence_packet(spark: SparkSession, d: str) -> DataFrame:
+    """What each stated question gets: at most sixteen public and twelve private passages, and whether one kind is missing."""
+    docs, chunks, registry, cases = (table(spark, d, n) for n in ("documents", "chunks", "source_registry", "evaluation_cases"))
+    public = retrieval.search(retrieval.question_rows(cases), docs, chunks, registry).filter("place <= 16").groupBy("question_id").agg(F.count("*").alias("n_public"))
+    private = private_search(spark, d).groupBy("question_id").agg(F.count("*").alias("n_private"))
+    rows = cases.filter("item_id % 20 = 0").select(F.col("item_id").alias("question_id")).join(public, "question_id", "left").join(private, "question_id", "left").fillna(0, ["n_public", "n_private"])
+    state = F.when(F.col("n_public") + F.col("n_private") > 0, "retrieved").otherwise("no-evidence")
+    return rows.select("question_id", "n_public", "n_private", state.alias("state"), ((F.col("n_public") == 0) != (F.col("n_private") == 0)).alias("partial"))
