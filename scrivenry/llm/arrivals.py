@@ -3,7 +3,7 @@
 Texts are landed once: their word codes (for verification) go to folders by batch and hash of the
 id, their minwise keys to folders by batch. The keys of a text are the least hashes of its six-word
 shingles, those of phrases that are frequent in the history last: one order for all texts, so near
-texts have keys in common. Frequent is what falls into a slot of a counted sketch that 0.5 % of all
+texts have keys in common. Frequent is what falls into a slot of a counted sketch that 0.3 % of all
 documents of the history fall into; sketch and share don't depend on their number. The index of what
 is accepted holds the keys in folders by prefix and buckets by key. A batch reads the folders its own keys fall into, and the word codes only from the folders of the
 candidates; it verifies the pairs that share enough keys, and appends the keys of what was
@@ -49,7 +49,7 @@ from scrivenry.sources import materialize, shared_dir
 #: Words of a shingle in comparisons and in keys; keys of a text, and how many of them a pair shares at least (an eighth of fewer keys).
 SHINGLE, KEY_SHINGLE, KEYS, SHARED = 5, 6, 24, 3
 #: A phrase is frequent from this share of the history's documents on, and from so many; slots of the sketch are the leading bits of a hash, counted in so many chunks.
-FREQUENT_SHARE, FREQUENT, SLOT_BITS, CHUNKS = 0.005, 8, 20, 64
+FREQUENT_SHARE, FREQUENT, SLOT_BITS, CHUNKS = 0.003, 8, 20, 64
 #: The least similarity that is aligned, and the shares of words and length that then stay ("about one word in ten" differs).
 ALIGNED, SAME_WORDS, SAME_LENGTH = 0.2, 0.87, 0.75
 #: Documents of a key that a document is held against at a time.
@@ -324,10 +324,11 @@ class AcceptedIndex:
 
     def _keys(self, batch: int) -> DataFrame:
         folder = F.pmod(F.shiftrightunsigned("key", 40), F.lit(self.folders)).cast("int")
-        return self.landed.keys.filter(F.col("batch_no") == batch).select("key", "doc_id", "n_words", "least", folder.alias("folder"))
+        # The number of the batch comes from the data, not as a literal: the code that Spark compiles for one batch serves the next.
+        return self.landed.keys.filter(F.col("batch_no") == batch).select("key", "doc_id", "n_words", "least", "batch_no", folder.alias("folder"))
 
-    def _append(self, part: str, keys: DataFrame, batch: int) -> None:
-        rows = keys.select("key", F.col("doc_id").alias("old_id"), F.col("n_words").alias("old_words"), F.lit(batch).alias("old_batch"), "folder")
+    def _append(self, part: str, keys: DataFrame) -> None:
+        rows = keys.select("key", F.col("doc_id").alias("old_id"), F.col("n_words").alias("old_words"), F.col("batch_no").alias("old_batch"), "folder")
         name = f"{self.name}_{part}"
         writer = rows.repartition(self.buckets, "key").write.partitionBy("folder").bucketBy(self.buckets, "key").option("path", f"{self.path}/{part}")
         writer.mode("append").saveAsTable(name)
@@ -342,9 +343,9 @@ class AcceptedIndex:
             beyond = crowded.join(first, ["key", "doc_id"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("beyond"))
             near = materialize(beyond.filter(F.col("beyond") >= KEYS // 2).select("doc_id"), "near_copies")
             if not near.isEmpty():
-                self._append("rest", keys.join(near, "doc_id", "left_semi"), batch)
+                self._append("rest", keys.join(near, "doc_id", "left_semi"))
                 keys = keys.join(near, "doc_id", "left_anti")
-        self._append("first", keys, batch)
+        self._append("first", keys)
 
     def accept_all(self, batch: int) -> None:
         """Take a batch as it is, unchecked (the history)."""
@@ -352,18 +353,18 @@ class AcceptedIndex:
 
     def _known(self, part: str, folders: list[int]) -> DataFrame:
         """The index rows in the folders that a batch's keys fall into."""
-        return self.spark.table(f"{self.name}_{part}").filter(F.col("folder").isin(folders)).select("key", "old_id", "old_words", "old_batch")
+        return self.spark.table(f"{self.name}_{part}").filter(F.col("folder").isin(folders)).select("key", "old_id", "old_words", "old_batch", F.lit(0).alias("inside"))
 
     def arrive(self, batch: int) -> DataFrame:
         """(doc_id, original_id, similarity): the documents of the batch that repeat an accepted one; the others become accepted. Exact copies within the batch are left to ``of_copies``."""
         keys = self._keys(batch)
         folders = [r[0] for r in keys.select("folder").distinct().collect()] if self.folders > 1 else [0]
-        shared = self._within(keys, batch)
+        shared = self._within(keys)
         if "first" in self.filled:
             shared = shared.unionByName(self._shared(self._known("first", folders), keys))
         links = self._verified(materialize(self._enough(shared), "pairs"), batch)
         if "rest" in self.filled:
-            open_ = keys.join(links.filter(F.col("old_batch") < batch).select("doc_id").distinct(), "doc_id", "left_anti")
+            open_ = keys.join(links.filter("not inside").select("doc_id").distinct(), "doc_id", "left_anti")
             more = materialize(self._enough(self._shared(self._known("rest", folders), open_)), "pairs")
             links = materialize(links.unionByName(self._verified(more, batch)), "links")
         repeats = self._decide(links, keys, batch)
@@ -373,31 +374,33 @@ class AcceptedIndex:
     @staticmethod
     def _enough(shared: DataFrame) -> DataFrame:
         """Pairs that share enough keys. Most share one or two, so as little as can be of each is shuffled: its ids and one number."""
-        # The batch and what it takes, in one number: both are the same in all rows of a pair.
-        n = shared.groupBy("doc_id", "old_id").agg(F.count("*").alias("n"), F.first(F.col("old_batch") * 64 + F.col("least")).alias("x"))
-        return n.filter("n >= x % 64").select("doc_id", "old_id", F.floor(F.col("x") / 64).cast("int").alias("old_batch"))
+        # The older batch, whether it is this one, and what the pair takes, in one number: they are the same in all rows of a pair.
+        x = F.col("old_batch") * 128 + F.col("inside") * 64 + F.col("least")
+        n = shared.groupBy("doc_id", "old_id").agg(F.count("*").alias("n"), F.first(x).alias("x")).filter("n >= x % 64")
+        return n.select("doc_id", "old_id", F.floor(F.col("x") / 128).cast("int").alias("old_batch"), (F.floor(F.col("x") / 64) % 2 == 1).alias("inside"))
 
     @staticmethod
     def _shared(known: DataFrame, keys: DataFrame) -> DataFrame:
         """Keys shared with known documents of like length. The keys of the batch are hashed; the index is read bucket by bucket, unsorted and not shuffled."""
         like = F.least("n_words", "old_words") >= SAME_LENGTH * F.greatest("n_words", "old_words")
-        return known.join(keys.hint("shuffle_hash"), "key").filter(like).select("doc_id", "least", "old_id", "old_batch")
+        return known.join(keys.hint("shuffle_hash"), "key").filter(like).select("doc_id", "least", "old_id", "old_batch", "inside")
 
-    def _within(self, keys: DataFrame, batch: int) -> DataFrame:
+    def _within(self, keys: DataFrame) -> DataFrame:
         """Keys shared inside the batch by a document and one of the key's first ``PIVOTS``."""
         pivots = keys.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS)
-        pivots = pivots.select("key", F.col("doc_id").alias("old_id"), F.col("n_words").alias("old_words"), F.lit(batch).alias("old_batch"))
+        pivots = pivots.select("key", F.col("doc_id").alias("old_id"), F.col("n_words").alias("old_words"), F.col("batch_no").alias("old_batch"), F.lit(1).alias("inside"))
         return self._shared(pivots, keys).filter("old_id < doc_id")
 
     def _verified(self, pairs: DataFrame, batch: int) -> DataFrame:
         """Those of the written ``pairs`` that are repeats, with their similarity. Codes are read from the folders of the pairs' documents."""
         side = lambda x: F.struct(F.col(x).alias("id"), self.landed.part(x).alias("part"), F.lit(x == "doc_id").alias("new"))
-        ends = pairs.select("doc_id", "old_id", "old_batch", F.explode(F.array(side("doc_id"), side("old_id"))).alias("e"))
-        ends = ends.select("doc_id", "old_id", "old_batch", F.col("e.id").alias("id"), F.col("e.part").alias("part"), F.col("e.new").alias("new"))
+        pair = ["doc_id", "old_id", "old_batch", "inside"]
+        ends = pairs.select(*pair, F.explode(F.array(side("doc_id"), side("old_id"))).alias("e"))
+        ends = ends.select(*pair, F.col("e.id").alias("id"), F.col("e.part").alias("part"), F.col("e.new").alias("new"))
         parts = [r[0] for r in ends.select("part").distinct().collect()] if self.landed.parts > 1 else [0]
         codes = self.landed.codes.filter((F.col("batch_no") <= batch) & F.col("part").isin(parts)).select(F.col("doc_id").alias("id"), "codes")
-        both = codes.join(ends, "id").groupBy("doc_id", "old_id", "old_batch").agg(F.max(F.when(F.col("new"), F.col("codes"))).alias("a"), F.max(F.when(~F.col("new"), F.col("codes"))).alias("b"))
-        near = both.select("doc_id", "old_id", "old_batch", _nearness(self.min_similarity)("a", "b").alias("similarity"))
+        both = codes.join(ends, "id").groupBy(*pair).agg(F.max(F.when(F.col("new"), F.col("codes"))).alias("a"), F.max(F.when(~F.col("new"), F.col("codes"))).alias("b"))
+        near = both.select(*pair, _nearness(self.min_similarity)("a", "b").alias("similarity"))
         return materialize(near.filter("similarity is not null"), "links")
 
     def _decide(self, links: DataFrame, keys: DataFrame, batch: int) -> DataFrame:
@@ -412,8 +415,8 @@ class AcceptedIndex:
         def repeats() -> DataFrame:
             return self.spark.read.schema(schema).parquet(path)
 
-        best(links.filter(F.col("old_batch") < batch)).write.parquet(path)
-        open_ = links.filter(F.col("old_batch") == batch)
+        best(links.filter("not inside")).write.parquet(path)
+        open_ = links.filter("inside")
         rows = keys if batch in self.landed.crowded else None
         while True:
             # Links whose ends are both undecided; documents that still have to be held against later pivots can't be called accepted yet.
@@ -434,7 +437,7 @@ class AcceptedIndex:
             best(open_.join(accepted, "old_id", "left_semi")).write.mode("append").parquet(path)
             if rows is not None:
                 rows = rows.join(repeats().select("doc_id"), "doc_id", "left_anti")
-                pairs = materialize(self._enough(self._within(rows.withColumn("least", F.lit(1)), batch)), "pairs")
+                pairs = materialize(self._enough(self._within(rows.withColumn("least", F.lit(1)))), "pairs")
                 open_ = open_.unionByName(self._verified(pairs, batch)).dropDuplicates(["doc_id", "old_id"])
 
 

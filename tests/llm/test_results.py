@@ -86,7 +86,7 @@ def test_many_near_copies_in_one_key(spark, monkeypatch):  # noqa: ANN001
     landed = arrivals.Landed(docs)
     index = arrivals.AcceptedIndex(landed, buckets=2, folders=3)
     assert {(x.doc_id, x.original_id) for x in index.arrive(1).collect()} == {(i, 40) for i in range(41, 80)}
-    assert index._within(index._keys(1), 1).select("doc_id", "old_id").distinct().count() <= 50 * 20 * 4  # noqa: SLF001
+    assert index._within(index._keys(1)).select("doc_id", "old_id").distinct().count() <= 50 * 20 * 4  # noqa: SLF001
     assert {(x.doc_id, x.original_id) for x in index.arrive(2).collect()} == {(i, 40) for i in range(80, 120)}
     index.close()
 
