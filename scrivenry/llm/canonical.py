@@ -208,7 +208,7 @@ def _check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["vid", "authority_id", "score"])
 
 
-def map_values(values: DataFrame, authorities: DataFrame, threshold: float = 0.35, near: float = 0.5, margin: float = 0.004, common: float = 8.0) -> DataFrame:
+def map_values(values: DataFrame, authorities: DataFrame, threshold: float = 0.35, near: float = 0.5, margin: float = 0.004, common: float = 20.0) -> DataFrame:
     """(jurisdiction, value, authority_id, score): the authority each distinct value names in its jurisdiction, or 0.
 
     ``values``: (jurisdiction, value). A feature weighs the square of its inverse document frequency
@@ -240,11 +240,11 @@ def map_values(values: DataFrame, authorities: DataFrame, threshold: float = 0.3
     unseen = F.pow(F.log1p(F.when(F.startswith("gram", F.lit("#")), F.col("total")).otherwise(F.col("total") / 10)), 2)
     w = F.coalesce(F.col("w"), unseen)
     own_length = asked.join(weight, ["jurisdiction", "gram"], "left").join(F.broadcast(total), "jurisdiction").groupBy("vid").agg(F.sqrt(F.sum(w * w)).alias("own_length"))
-    sums = lambda rows, postings: rows.join(postings, ["jurisdiction", "gram"]).groupBy("vid", "form_id").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
-    rare = materialize(sums(asked, weighted.filter("not is_common")), "rare_sums")
-    others = sums(asked.join(rare.select("vid").distinct(), "vid", "left_anti"), weighted)
-    best = rare.groupBy("vid").agg((F.max("dot") * near).alias("least"))
-    kept = rare.join(best, "vid").filter("dot >= least").select("vid", "form_id", "dot")
+    # All sums of a value come to one task (a value has at most so many as the canonical list has forms): its best is known there, and what is far from it goes no further.
+    sums = lambda rows, postings: rows.join(postings, ["jurisdiction", "gram"]).select("vid", "form_id", (F.col("w") * F.col("part")).cast("float").alias("dot")).repartition("vid").groupBy("vid", "form_id").agg(F.sum("dot").alias("dot"))
+    rare = sums(asked, weighted.filter("not is_common")).withColumn("best", F.max("dot").over(Window.partitionBy("vid")))
+    kept = materialize(rare.filter(F.col("dot") >= near * F.col("best")).select("vid", "form_id", "dot"), "candidates")
+    others = sums(asked.join(kept.select("vid").distinct(), "vid", "left_anti"), weighted)
     more = kept.select("vid", "form_id").join(asked.join(weight.filter("is_common").select("jurisdiction", "gram"), ["jurisdiction", "gram"]).select("vid", "gram"), "vid")
     more = more.join(weighted.filter("is_common").select("form_id", "gram", (F.col("w") * F.col("part")).alias("dot")), ["form_id", "gram"]).select("vid", "form_id", "dot")
     scored = kept.unionByName(more).unionByName(others).groupBy("vid", "form_id").agg(F.sum("dot").alias("dot")).join(own_length, "vid")
