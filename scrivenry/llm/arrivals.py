@@ -5,9 +5,10 @@ id, their minwise keys to folders by batch. The keys of a text are the least has
 shingles, those of phrases that are frequent in the history last: one order for all texts, so near
 texts have keys in common. Frequent is what falls into a slot of a counted sketch that 0.3 % of all
 documents of the history fall into; sketch and share don't depend on their number. The index of what
-is accepted holds the keys in folders by prefix and buckets by key. A batch reads the folders its own keys fall into, and the word codes only from the folders of the
+is accepted holds the keys in folders by prefix and buckets by key. A batch reads the folders its own keys fall into, and keys of pairs and word codes only from the folders of the
 candidates; it verifies the pairs that share enough keys, and appends the keys of what was
-accepted. The history's texts are never processed again.
+accepted. The history's texts are never processed again. Batches that are there together arrive together,
+in order of (batch_no, doc_id): the index is read once for all of them.
 
 Texts are compared without the lines of the site, page furniture, line breaks, case, punctuation,
 typography and Unicode form. A pair is a repeat if the Jaccard similarity of its five-word shingles is
@@ -16,9 +17,11 @@ and less in some texts, as does a text replaced by half; so pairs from 0.2 on ar
 and are repeats if ``SAME_WORDS`` of the longer text's words are left in their order. A text of under
 ``SAME_LENGTH`` of the other's words repeats nothing of it.
 
-Hot keys: inside a batch each document is held against a key's first ``PIVOTS``; those that this
+Hot keys: a phrase in many unlike texts would pair them all, so a key with more than some documents
+(``HOT``) is looked up only together with the next hot ones of its text: two texts that share many have
+such rows in common. Candidates are the pairs with any row in common that share enough of their keys. Inside an arrival each document is held against a key's first ``PIVOTS``; those that this
 shows to be repeats leave, and the others go on with the next ``PIVOTS``. Accepted documents most of
-whose keys had ``PIVOTS`` documents before them (near copies within a history that is taken as it is)
+whose rows had ``PIVOTS`` documents before them (near copies within a history that is taken as it is)
 stand in a second table, against which only those are held that the first didn't show to be
 repeats. So a group of near copies costs its size, not its square, and no two unlike texts are left
 unlinked. In such a group the original of a repeat is the first of those it was compared with.
@@ -47,9 +50,11 @@ from scrivenry.llm.site_lines import site_lines
 from scrivenry.sources import materialize, shared_dir
 
 #: Words of a shingle in comparisons and in keys; keys of a text, and how many of them a pair shares at least (an eighth of fewer keys).
-SHINGLE, KEY_SHINGLE, KEYS, SHARED = 5, 6, 24, 3
+SHINGLE, KEY_SHINGLE, KEYS, SHARED = 5, 6, 25, 3
 #: A phrase is frequent from this share of the history's documents on, and from so many; slots of the sketch are the leading bits of a hash, counted in so many chunks.
-FREQUENT_SHARE, FREQUENT, SLOT_BITS, CHUNKS = 0.003, 8, 20, 64
+FREQUENT_SHARE, FREQUENT, SLOT_BITS, CHUNKS = 0.003, 8, 22, 64
+#: A key is hot if its slot has more than so many documents of the history and twice the mean; it is looked up together with each of the next so many hot keys of its text, and by itself where a text has fewer rows than the last.
+HOT, NEXT_KEYS, FEW_ROWS = 16, 2, 6
 #: The least similarity that is aligned, and the shares of words and length that then stay ("about one word in ten" differs).
 ALIGNED, SAME_WORDS, SAME_LENGTH = 0.2, 0.87, 0.75
 #: Documents of a key that a document is held against at a time.
@@ -130,23 +135,23 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _key_shingles(texts: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """The hashes of the key shingles of each text (with repeats), worked out for all of them at once."""
-    gap = np.zeros(KEY_SHINGLE, np.uint16)
-    parts = [x for c in texts for x in ((c, gap) if len(c) >= KEY_SHINGLE else (c, gap[: KEY_SHINGLE - len(c)], gap))]
-    codes = np.concatenate(parts).astype(np.uint64) + np.uint64(1) if parts else np.zeros(KEY_SHINGLE, np.uint64)
-    n = len(codes) - KEY_SHINGLE + 1
+def _key_shingles(texts: list[np.ndarray], words: int = KEY_SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of the shingles of each text (with repeats), worked out for all of them at once."""
+    gap = np.zeros(words, np.uint16)
+    parts = [x for c in texts for x in ((c, gap) if len(c) >= words else (c, gap[: words - len(c)], gap))]
+    codes = np.concatenate(parts).astype(np.uint64) + np.uint64(1) if parts else np.zeros(words, np.uint64)
+    n = len(codes) - words + 1
     h = np.zeros(n, np.uint64)
-    for i in range(KEY_SHINGLE):
+    for i in range(words):
         h += codes[i : n + i] * _MIX[i]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     at = 0
     for c in texts:
-        own = max(len(c), KEY_SHINGLE)
-        yield h[at : at + own - KEY_SHINGLE + 1]
-        at += own + KEY_SHINGLE
+        own = max(len(c), words)
+        yield h[at : at + own - words + 1]
+        at += own + words
 
 
 def least_keys(texts: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
@@ -162,6 +167,20 @@ def least_keys(texts: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray
     return out
 
 
+def key_rows(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What a text is looked up by: its keys, the hot ones joined with the next hot ones; ``hot`` says of each slot whether it is."""
+    u = keys.view(np.uint64)
+    is_hot = hot[slots(u)]
+    h, rows = u[is_hot], [u[~is_hot]]
+    for d in range(1, NEXT_KEYS + 1):
+        x = h[:-d] * _MIX[0] + h[d:] * _MIX[1]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        rows.append(x ^ x >> np.uint64(29))
+    out = np.concatenate(rows)
+    return (out if len(out) >= FEW_ROWS else np.concatenate([out, h])).view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     x, y = shingles(a), shingles(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -267,44 +286,56 @@ class Landed:
         """The folder of a document's codes."""
         return F.pmod(F.xxhash64(doc_id), F.lit(self.parts)).cast("int")
 
-    def _frequent(self) -> np.ndarray:
-        """Of each slot, whether it is frequent in the history; all its documents are counted."""
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each slot, whether it is frequent in the history, and whether it is hot; all its documents are counted."""
         history = self.codes.filter("batch_no = 0 and n_words > 0").select("codes")
-        counted = history.mapInPandas(_counted, "chunk long, n binary").groupBy("chunk").applyInPandas(_summed, "chunk long, n binary").orderBy("chunk").collect()
+        counted = history.coalesce(CHUNKS).mapInPandas(_counted, "chunk long, n binary").groupBy("chunk").applyInPandas(_summed, "chunk long, n binary").orderBy("chunk").collect()
         n = np.concatenate([np.frombuffer(r[1], np.uint64) for r in counted]) if counted else np.zeros(1 << SLOT_BITS, np.uint64)
-        return n >= max(FREQUENT, FREQUENT_SHARE * history.count())
+        return n >= max(FREQUENT, FREQUENT_SHARE * history.count()), n > HOT + 2 * n.mean()
 
     def _land_keys(self) -> None:
-        frequent = self.spark.sparkContext.broadcast(self._frequent())
+        bits = self.spark.sparkContext.broadcast([np.packbits(x) for x in self._frequent()])
 
-        @F.pandas_udf("array<long>")
-        def keys(codes: pd.Series) -> pd.Series:
-            return pd.Series(least_keys([np.frombuffer(c, np.uint16) for c in codes], frequent.value), index=codes.index, dtype=object)
+        @F.pandas_udf("own array<int>, rows array<long>")
+        def keys(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            frequent, hot = (np.unpackbits(x).view(bool) for x in bits.value)
+            for codes in parts:
+                own = least_keys([np.frombuffer(c, np.uint16) for c in codes], frequent)
+                yield pd.DataFrame({"own": [k.astype(np.int32) for k in own], "rows": [key_rows(k, hot) for k in own]}, index=codes.index)
 
         read = self.codes.filter("n_words > 0")
         narrow = read.select("batch_no", "doc_id", "exact")
         firsts = narrow.groupBy("batch_no", "exact").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
         copies = narrow.join(firsts, ["batch_no", "exact"]).filter("doc_id <> first_id").select("batch_no", "doc_id", "first_id")
         self.copies = materialize(copies, "copies")
-        own = read.join(self.copies.select("doc_id"), "doc_id", "left_anti").select("batch_no", "doc_id", "n_words", keys("codes").alias("keys"))
-        least = F.least(F.lit(SHARED), F.ceil(F.size("keys") * SHARED / KEYS)).cast("int").alias("least")
+        own = read.join(self.copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", keys("codes").alias("k"), "batch_no", "part")
         path = f"{shared_dir(self.spark)}/scrivenry/keys-{uuid.uuid4().hex}"
-        own.select("doc_id", "n_words", least, F.explode("keys").alias("key"), "batch_no").write.partitionBy("batch_no").parquet(path)
-        self.keys = self.spark.read.schema("doc_id long, n_words int, least int, key long, batch_no int").parquet(path)
-        #: Batches in which some key has more than ``PIVOTS`` documents.
-        self.crowded = {r[0] for r in self.keys.groupBy("batch_no", "key").count().filter(F.col("count") > PIVOTS).select("batch_no").distinct().collect()}
+        own.select("doc_id", "n_words", "k.own", "k.rows", "batch_no", "part").write.partitionBy("batch_no", "part").parquet(path)
+        #: The keys of each text (``own``, 32 bits of each, are what a pair has to share) and the rows of the index that it is looked up by.
+        self.texts = self.spark.read.schema("doc_id long, n_words int, own array<int>, rows array<long>, batch_no int, part int").parquet(path)
+        self.keys = self.texts.select("doc_id", "n_words", F.explode("rows").alias("key"), "batch_no")
 
 
 def _nearness(bound: float):  # noqa: ANN202
+    least = min(bound, ALIGNED)
+
     @F.pandas_udf(DoubleType())
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([nearness(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), bound) for x, y in zip(a, b)], dtype="float64")
+        x, y = ([np.frombuffer(c, np.uint16) for c in side] for side in (a, b))
+        out = []
+        for p, q, g, h in zip(x, y, _key_shingles(x, SHINGLE), _key_shingles(y, SHINGLE)):
+            # At least as many shingles in common as there are, of at most as many as there are: most pairs are far below the bound.
+            seen = np.zeros(1 << 16, bool)
+            seen[g & np.uint64(0xFFFF)] = True
+            both = np.count_nonzero(seen[h & np.uint64(0xFFFF)])
+            out.append(nearness(p, q, bound) if both >= least * np.count_nonzero(seen) else None)
+        return pd.Series(out, dtype="float64")
 
     return near
 
 
 class AcceptedIndex:
-    """The keys of everything accepted so far; ``arrive`` takes the batches of ``landed`` in their order.
+    """The keys of everything accepted so far; ``arrive`` takes the batches of ``landed`` in their order, one or several at a time.
 
     ``buckets`` and ``folders`` should fit the history that is expected: some hundred thousand keys a bucket, some buckets a folder.
     """
@@ -315,17 +346,17 @@ class AcceptedIndex:
         self.name = f"accepted_{uuid.uuid4().hex}"
         self.filled: set[str] = set()
         self.path = f"{shared_dir(self.spark)}/scrivenry/{self.name}"
-        self._at = Window.partitionBy("key").orderBy("doc_id")
+        self._at = Window.partitionBy("key").orderBy("batch_no", "doc_id")
 
     def close(self) -> None:
         """Forget the names of the tables; their files stay."""
         for part in self.filled:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
 
-    def _keys(self, batch: int) -> DataFrame:
+    def _keys(self, *batches: int) -> DataFrame:
         folder = F.pmod(F.shiftrightunsigned("key", 40), F.lit(self.folders)).cast("int")
         # The number of the batch comes from the data, not as a literal: the code that Spark compiles for one batch serves the next.
-        return self.landed.keys.filter(F.col("batch_no") == batch).select("key", "doc_id", "n_words", "least", "batch_no", folder.alias("folder"))
+        return self.landed.keys.filter(F.col("batch_no").isin(*batches)).select("key", "doc_id", "n_words", "batch_no", folder.alias("folder"))
 
     def _append(self, part: str, keys: DataFrame) -> None:
         rows = keys.select("key", F.col("doc_id").alias("old_id"), F.col("n_words").alias("old_words"), F.col("batch_no").alias("old_batch"), "folder")
@@ -334,13 +365,16 @@ class AcceptedIndex:
         writer.mode("append").saveAsTable(name)
         self.filled.add(part)
 
-    def _accept(self, keys: DataFrame, batch: int) -> None:
+    @staticmethod
+    def _crowded(keys: DataFrame) -> DataFrame | None:
+        """The rows of keys that have more than ``PIVOTS`` documents."""
+        crowded = materialize(keys.groupBy("key").count().filter(F.col("count") > PIVOTS).select("key"), "crowded")
+        return None if crowded.isEmpty() else materialize(keys.join(crowded, "key", "left_semi"), "crowded_keys")
+
+    def _accept(self, keys: DataFrame, crowded: DataFrame | None) -> None:
         """Append keys; documents that come after the first ``PIVOTS`` in at least half of their keys go to the second table."""
-        if batch in self.landed.crowded:
-            crowded = keys.join(keys.groupBy("key").count().filter(F.col("count") > PIVOTS).select("key"), "key", "left_semi").select("key", "doc_id")
-            crowded = materialize(crowded, "crowded_keys")
-            first = crowded.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).select("key", "doc_id")
-            beyond = crowded.join(first, ["key", "doc_id"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("beyond"))
+        if crowded is not None:
+            beyond = crowded.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") > PIVOTS).groupBy("doc_id").agg(F.count("*").alias("beyond"))
             near = materialize(beyond.filter(F.col("beyond") >= KEYS // 2).select("doc_id"), "near_copies")
             if not near.isEmpty():
                 self._append("rest", keys.join(near, "doc_id", "left_semi"))
@@ -349,47 +383,62 @@ class AcceptedIndex:
 
     def accept_all(self, batch: int) -> None:
         """Take a batch as it is, unchecked (the history)."""
-        self._accept(self._keys(batch), batch)
+        keys = self._keys(batch)
+        self._accept(keys, self._crowded(keys))
 
     def _known(self, part: str, folders: list[int]) -> DataFrame:
         """The index rows in the folders that a batch's keys fall into."""
         return self.spark.table(f"{self.name}_{part}").filter(F.col("folder").isin(folders)).select("key", "old_id", "old_words", "old_batch", F.lit(0).alias("inside"))
 
-    def arrive(self, batch: int) -> DataFrame:
-        """(doc_id, original_id, similarity): the documents of the batch that repeat an accepted one; the others become accepted. Exact copies within the batch are left to ``of_copies``."""
-        keys = self._keys(batch)
+    def arrive(self, *batches: int) -> DataFrame:
+        """(doc_id, original_id, similarity): the documents of the batches that repeat an accepted one; the others become accepted.
+
+        Several batches arrive in order of (batch_no, doc_id): the result is that of one after the other, and the index is
+        read once for all of them. Exact copies within a batch are left to ``of_copies``.
+        """
+        keys, batch = self._keys(*batches), max(batches)
+        crowded = self._crowded(keys)
         folders = [r[0] for r in keys.select("folder").distinct().collect()] if self.folders > 1 else [0]
         shared = self._within(keys)
         if "first" in self.filled:
-            shared = shared.unionByName(self._shared(self._known("first", folders), keys))
-        links = self._verified(materialize(self._enough(shared), "pairs"), batch)
+            shared = shared.unionByName(self._shared(self._known("first", folders), keys).drop("batch_no"))
+        links = self._verified(self._enough(shared, batch), batch)
         if "rest" in self.filled:
             open_ = keys.join(links.filter("not inside").select("doc_id").distinct(), "doc_id", "left_anti")
-            more = materialize(self._enough(self._shared(self._known("rest", folders), open_)), "pairs")
+            more = self._enough(self._shared(self._known("rest", folders), open_).drop("batch_no"), batch)
             links = materialize(links.unionByName(self._verified(more, batch)), "links")
-        repeats = self._decide(links, keys, batch)
-        self._accept(keys.join(repeats.select("doc_id"), "doc_id", "left_anti"), batch)
+        repeats = self._decide(links, crowded, batch)
+        gone = repeats.select("doc_id")
+        self._accept(keys.join(gone, "doc_id", "left_anti"), None if crowded is None else crowded.join(gone, "doc_id", "left_anti"))
         return repeats
 
-    @staticmethod
-    def _enough(shared: DataFrame) -> DataFrame:
-        """Pairs that share enough keys. Most share one or two, so as little as can be of each is shuffled: its ids and one number."""
-        # The older batch, whether it is this one, and what the pair takes, in one number: they are the same in all rows of a pair.
-        x = F.col("old_batch") * 128 + F.col("inside") * 64 + F.col("least")
-        n = shared.groupBy("doc_id", "old_id").agg(F.count("*").alias("n"), F.first(x).alias("x")).filter("n >= x % 64")
-        return n.select("doc_id", "old_id", F.floor(F.col("x") / 128).cast("int").alias("old_batch"), (F.floor(F.col("x") / 64) % 2 == 1).alias("inside"))
+    def _enough(self, shared: DataFrame, batch: int) -> DataFrame:
+        """Pairs that share enough keys (an eighth of the document's), by the keys of both."""
+        # The older batch and whether it is this arrival, in one number: they are the same in all rows of a pair.
+        x = F.first(F.col("old_batch") * 2 + F.col("inside")).alias("x")
+        pairs = materialize(shared.groupBy("doc_id", "old_id").agg(x), "near_keys")
+        texts = self.landed.texts.filter(F.col("batch_no") <= batch)
+        if self.landed.parts > 1:
+            ends = pairs.select(F.explode(F.array(self.landed.part("doc_id"), self.landed.part("old_id"))).alias("part"))
+            texts = texts.filter(F.col("part").isin([r[0] for r in ends.distinct().collect()]))
+        a, b = texts.select("doc_id", F.col("own").alias("a")), texts.select(F.col("doc_id").alias("old_id"), F.col("own").alias("b"))
+        least = F.least(F.lit(SHARED), F.ceil(F.size("a") * SHARED / KEYS))
+        n = pairs.join(a, "doc_id").join(b, "old_id").filter(F.size(F.array_intersect("a", "b")) >= least)
+        n = n.select("doc_id", "old_id", F.floor(F.col("x") / 2).cast("int").alias("old_batch"), (F.col("x") % 2 == 1).alias("inside"))
+        return materialize(n, "pairs")
 
     @staticmethod
     def _shared(known: DataFrame, keys: DataFrame) -> DataFrame:
         """Keys shared with known documents of like length. The keys of the batch are hashed; the index is read bucket by bucket, unsorted and not shuffled."""
         like = F.least("n_words", "old_words") >= SAME_LENGTH * F.greatest("n_words", "old_words")
-        return known.join(keys.hint("shuffle_hash"), "key").filter(like).select("doc_id", "least", "old_id", "old_batch", "inside")
+        return known.join(keys.hint("shuffle_hash"), "key").filter(like).select("doc_id", "batch_no", "old_id", "old_batch", "inside")
 
     def _within(self, keys: DataFrame) -> DataFrame:
-        """Keys shared inside the batch by a document and one of the key's first ``PIVOTS``."""
+        """Keys shared by two documents that arrive, the older one among the key's first ``PIVOTS``."""
         pivots = keys.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS)
         pivots = pivots.select("key", F.col("doc_id").alias("old_id"), F.col("n_words").alias("old_words"), F.col("batch_no").alias("old_batch"), F.lit(1).alias("inside"))
-        return self._shared(pivots, keys).filter("old_id < doc_id")
+        older = (F.col("old_batch") < F.col("batch_no")) | ((F.col("old_batch") == F.col("batch_no")) & (F.col("old_id") < F.col("doc_id")))
+        return self._shared(pivots, keys).filter(older).drop("batch_no")
 
     def _verified(self, pairs: DataFrame, batch: int) -> DataFrame:
         """Those of the written ``pairs`` that are repeats, with their similarity. Codes are read from the folders of the pairs' documents."""
@@ -403,42 +452,41 @@ class AcceptedIndex:
         near = both.select(*pair, _nearness(self.min_similarity)("a", "b").alias("similarity"))
         return materialize(near.filter("similarity is not null"), "links")
 
-    def _decide(self, links: DataFrame, keys: DataFrame, batch: int) -> DataFrame:
-        """(doc_id, original_id, similarity): repeats of the accepted; a repeat is not accepted, so nothing repeats it in turn."""
+    def _decide(self, links: DataFrame, rows: DataFrame | None, batch: int) -> DataFrame:
+        """(doc_id, original_id, similarity): repeats of the accepted; a repeat is not accepted, so nothing repeats it in turn. ``rows``: those of crowded keys."""
         path = f"{self.path}/repeats-{batch}"
-        schema = "doc_id long, original_id long, similarity double"
-
-        def best(x: DataFrame) -> DataFrame:
-            x = x.groupBy("doc_id").agg(F.min_by(F.struct("old_id", "similarity"), F.struct("old_batch", "old_id")).alias("o"))
-            return x.select("doc_id", F.col("o.old_id").alias("original_id"), F.col("o.similarity").alias("similarity"))
 
-        def repeats() -> DataFrame:
-            return self.spark.read.schema(schema).parquet(path)
+        def gone() -> DataFrame:
+            return self.spark.read.schema("doc_id long").parquet(f"{path}-ids")
 
-        best(links.filter("not inside")).write.parquet(path)
-        open_ = links.filter("inside")
-        rows = keys if batch in self.landed.crowded else None
+        links.filter("not inside").select("doc_id").distinct().write.parquet(f"{path}-ids")
+        open_ = links.filter("inside").select("doc_id", "old_id")
         while True:
             # Links whose ends are both undecided; documents that still have to be held against later pivots can't be called accepted yet.
-            gone = repeats().select("doc_id")
-            open_ = open_.join(gone, "doc_id", "left_anti").join(gone.toDF("old_id"), "old_id", "left_anti")
+            open_ = open_.join(gone(), "doc_id", "left_anti").join(gone().toDF("old_id"), "old_id", "left_anti")
             open_ = materialize(open_, "open_links")
             if rows is not None:
                 # Each key's first PIVOTS have been held against all its later documents.
-                done = rows.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") <= PIVOTS).select("key", "doc_id")
-                rows = materialize(rows.join(done, ["key", "doc_id"], "left_anti").join(gone, "doc_id", "left_anti"), "open_keys")
+                beyond = rows.withColumn("at", F.row_number().over(self._at)).filter(F.col("at") > PIVOTS).drop("at")
+                rows = materialize(beyond.join(gone(), "doc_id", "left_anti"), "open_keys")
                 if rows.isEmpty():
                     rows = None
             if open_.isEmpty() and rows is None:
-                return repeats()
+                break
             accepted = open_.select("old_id").distinct().join(open_.select(F.col("doc_id").alias("old_id")).distinct(), "old_id", "left_anti")
             if rows is not None:
                 accepted = accepted.join(rows.select(F.col("doc_id").alias("old_id")).distinct(), "old_id", "left_anti")
-            best(open_.join(accepted, "old_id", "left_semi")).write.mode("append").parquet(path)
+            open_.join(accepted, "old_id", "left_semi").select("doc_id").distinct().write.mode("append").parquet(f"{path}-ids")
             if rows is not None:
-                rows = rows.join(repeats().select("doc_id"), "doc_id", "left_anti")
-                pairs = materialize(self._enough(self._within(rows.withColumn("least", F.lit(1)))), "pairs")
-                open_ = open_.unionByName(self._verified(pairs, batch)).dropDuplicates(["doc_id", "old_id"])
+                rows = rows.join(gone(), "doc_id", "left_anti")
+                more = self._verified(self._enough(self._within(rows), batch), batch)
+                links = materialize(links.unionByName(more).dropDuplicates(["doc_id", "old_id"]), "links")
+                open_ = open_.unionByName(more.select("doc_id", "old_id")).distinct()
+        # Of all accepted documents that one repeats, the first is its original.
+        accepted = links.join(gone().toDF("old_id"), "old_id", "left_anti")
+        best = accepted.groupBy("doc_id").agg(F.min_by(F.struct("old_id", "similarity"), F.struct("old_batch", "old_id")).alias("o"))
+        best.select("doc_id", F.col("o.old_id").alias("original_id"), F.col("o.similarity").alias("similarity")).write.parquet(path)
+        return self.spark.read.schema("doc_id long, original_id long, similarity double").parquet(path)
 
 
 def of_copies(repeats: DataFrame, copies: DataFrame) -> DataFrame:
@@ -451,19 +499,14 @@ def of_copies(repeats: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, min_similarity: float = 0.5, documents_a_bucket: int = 10_000, buckets_a_folder: int = 256) -> DataFrame:
-    """(doc_id, original_id, similarity) over all batches after the history, taken one after the other."""
+    """(doc_id, original_id, similarity) over all batches after the history; those that are there arrive together, in their order."""
     landed = Landed(docs)
     sizes = {r[0]: r[1] for r in landed.codes.groupBy("batch_no").count().collect()}
     buckets = max(4, sum(sizes.values()) // documents_a_bucket)
     index = AcceptedIndex(landed, min_similarity, min(buckets, buckets_a_folder), -(-buckets // buckets_a_folder))
     if 0 in sizes:
         index.accept_all(0)
-    repeats = landed.spark.createDataFrame([], "doc_id long, original_id long, similarity double")
-    for n in sorted(sizes):
-        if n > 0:
-            index.arrive(n)
-            repeats = None
-    if repeats is None:
-        repeats = landed.spark.read.schema("doc_id long, original_id long, similarity double").parquet(*[f"{index.path}/repeats-{n}" for n in sizes if n > 0])
+    later = [n for n in sorted(sizes) if n > 0]
+    repeats = index.arrive(*later) if later else landed.spark.createDataFrame([], "doc_id long, original_id long, similarity double")
     index.close()
     return of_copies(repeats, landed.copies.filter("batch_no > 0").drop("batch_no"))

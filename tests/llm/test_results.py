@@ -91,6 +91,32 @@ def test_many_near_copies_in_one_key(spark, monkeypatch):  # noqa: ANN001
     index.close()
 
 
+def test_phrases_of_many_unlike_texts_do_not_pair_them(spark, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(arrivals, "FREQUENT_SHARE", 1.0)
+    phrases = [text(7000 + i, 8) for i in range(60)]
+
+    def own(i: int) -> str:
+        return " ".join(f"{p} {text(8000 + 100 * i + j, 3)}" for j, p in enumerate(random.Random(i).sample(phrases, 12)))
+
+    rows = [(i, i // 150, "s", own(i)) for i in range(300)] + [(1000 + i, 1, "s", own(i) + " more") for i in range(150)]
+    landed = arrivals.Landed(spark.createDataFrame(rows, "doc_id long, batch_no int, source_id string, text string"))
+    index = arrivals.AcceptedIndex(landed, buckets=2)
+    index.accept_all(0)
+    # Each key of a phrase stands in a fifth of all texts: looked up by itself it would be shared some 60,000 times.
+    assert index._shared(index._known("first", [0]), index._keys(1)).count() < 30_000  # noqa: SLF001
+    assert {(x.doc_id, x.original_id) for x in index.arrive(1).collect()} == {(1000 + i, i) for i in range(150)}
+    index.close()
+
+
+def test_batches_that_arrive_together(spark):  # noqa: ANN001
+    rows = [(50, 0, text(1)), (40, 1, text(2)), (41, 1, text(1)), (30, 2, text(2) + " more"), (31, 2, text(3)), (32, 2, text(3) + " more"), (10, 3, text(3)), (11, 3, text(1)), (12, 3, text(4)), (5, 3, text(2))]
+    landed = arrivals.Landed(spark.createDataFrame([(d, b, "s", t) for d, b, t in rows], "doc_id long, batch_no int, source_id string, text string"))
+    index = arrivals.AcceptedIndex(landed, buckets=2)
+    index.accept_all(0)
+    assert {(x.doc_id, x.original_id) for x in index.arrive(1, 2, 3).collect()} == {(41, 50), (30, 40), (32, 31), (10, 31), (11, 50), (5, 40)}
+    index.close()
+
+
 def test_a_batch_reads_the_folders_it_touches(spark):  # noqa: ANN001
     docs = spark.createDataFrame([(i, 0, "s", text(i)) for i in range(200)] + [(900, 1, "s", text(7) + " more")], "doc_id long, batch_no int, source_id string, text string")
     landed = arrivals.Landed(docs, documents_a_part=5)
