@@ -66,8 +66,9 @@ _MARKS = re.compile("[\u0300-\u036f]+")
 _HYPHENS = frozenset("-‐¬\u00ad")
 _NUMBER_LINE = re.compile(r"[\W_]*(?:[^\W\d_]{1,6}[\W_]*)?(?:\d{1,4}|[ivxlc]{1,8})[\W_]*(?:(?:[^\W\d_]{1,4}|/)[\W_]*\d{1,4}[\W_]*)?")
 _SIGNS = re.compile(r"[^\x00-\x7f\w]+")
-_NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
-_SPACED = bytes(b if chr(b).isalnum() and b < 128 else 32 for b in range(256))
+_NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha() and b != 10)
+_LOWER_SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
+_ASCII = bytes(range(128))
 _rng = np.random.default_rng(5)
 _MIX = _rng.integers(1, 2**62, KEY_SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -89,31 +90,59 @@ def plain_words(text: str, site: frozenset[int] = frozenset(), longest: int = 1
     """
     keep = []
     divided = False
-    for line in text.split("\n"):
-        if _NUMBER_LINE.fullmatch(line):
+    # The ASCII letters of all lines at once. A line of a page number has 18 of them at most.
+    for line, letters in zip(text.split("\n"), text.encode("ascii", "ignore").translate(None, _NO_LETTERS).split(b"\n")):
+        if len(letters) <= 18 and _NUMBER_LINE.fullmatch(line):
             continue
-        if site and len(line) >= 20 and _line_hash(line, longest) in site:
+        if site and len(line) >= 20 and len(letters) <= longest and _line_hash(line, longest, letters) in site:
             continue
         keep.append(line)
         divided = divided or line.rstrip()[-1:] in _HYPHENS
-    text = folded("\n".join(keep))
+    text = "\n".join(keep)
+    plain = _plain_bytes(text)
+    if plain is not None:
+        if divided:
+            plain = _BREAK.sub("", plain.decode()).encode()
+        return plain.translate(_LOWER_SPACED).decode().split()
+    text = folded(text)
     if divided:
         text = _BREAK.sub("", text)
+    return _WORD.findall(_SIGNS.sub(" ", text))
+
+
+class _Plain(dict):
+    """What stands for a character beyond ASCII in a text that is taken by bytes: its folded form, with ``-`` for hyphens and ``|`` for other signs; None if the text has to be taken whole."""
+
+    def __missing__(self, c: str) -> bytes | None:
+        x = "".join("-" if y in _HYPHENS else "|" if _SIGNS.fullmatch(y) and not y.isspace() else y for y in folded(c))
+        # A sigma's lower case depends on its place; capitals that a compatibility form has stay capitals.
+        self[c] = y = x.encode() if x == x.lower() and c != "\u03a3" and not _SIGNS.search(x) else None
+        return y
+
+
+_PLAIN = _Plain()
+
+
+def _plain_bytes(text: str) -> bytes | None:
+    """``text`` with no signs but those of ASCII, so that its words are those of the folded text; None if that can't be said of each character by itself."""
+    out = text.encode()
     if not text.isascii():
-        text = _SIGNS.sub(" ", text)
-    # Within ASCII the same words are cut out faster by bytes.
-    return text.encode().translate(_SPACED).decode().split() if text.isascii() else _WORD.findall(text)
+        for c in set(out.translate(None, _ASCII).decode()):
+            x = _PLAIN[c]
+            if x is None:
+                return None
+            out = out.replace(c.encode(), x)
+    return out
 
 
-def _line_hash(line: str, longest: int) -> int | None:
-    """The hash of the letters of a line, as lines of the site are counted; None of fewer than 20 or more than ``longest``."""
-    letters = line.encode("ascii", "ignore").translate(None, _NO_LETTERS)
+def _line_hash(line: str, longest: int, letters: bytes | None = None) -> int | None:
+    """The hash of the letters of a line, as lines of the site are counted; None of fewer than 20 or more than ``longest``. ``letters``: those within ASCII, where they are known."""
+    if letters is None:
+        letters = line.encode("ascii", "ignore").translate(None, _NO_LETTERS)
     if len(letters) > longest:
         return None
-    letters = letters.lower() if line.isascii() else _OTHER.sub("", line.lower())
-    if len(letters) < 20:
-        return None
-    return xxhash.xxh64_intdigest(letters if isinstance(letters, bytes) else letters.encode(), seed=42)
+    own = letters.lower() if line.isascii() else _OTHER.sub("", line.lower())
+    return xxhash.xxh64_intdigest(own, seed=42) if len(own) >= 20 else None
 
 
 def shingles(codes: np.ndarray, words: int = SHINGLE) -> np.ndarray:
@@ -135,50 +164,77 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _key_shingles(texts: list[np.ndarray], words: int = KEY_SHINGLE) -> Iterator[np.ndarray]:
-    """The hashes of the shingles of each text (with repeats), worked out for all of them at once."""
+def _key_shingles(texts: list[np.ndarray], words: int = KEY_SHINGLE, at_once: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of the shingles of so many texts at once (with repeats), and of each hash the number of its text among them."""
     gap = np.zeros(words, np.uint16)
-    parts = [x for c in texts for x in ((c, gap) if len(c) >= words else (c, gap[: words - len(c)], gap))]
-    codes = np.concatenate(parts).astype(np.uint64) + np.uint64(1) if parts else np.zeros(words, np.uint64)
-    n = len(codes) - words + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(words):
-        h += codes[i : n + i] * _MIX[i]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    at = 0
-    for c in texts:
-        own = max(len(c), words)
-        yield h[at : at + own - words + 1]
-        at += own + words
+    for first in range(0, len(texts), at_once):
+        some = texts[first : first + at_once]
+        parts = [x for c in some for x in ((c, gap) if len(c) >= words else (c, gap[: words - len(c)], gap))]
+        codes = np.concatenate(parts).astype(np.uint64) + np.uint64(1)
+        n = len(codes) - words + 1
+        h = np.zeros(n, np.uint64)
+        for i in range(words):
+            h += codes[i : n + i] * _MIX[i]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        own = np.maximum([len(c) for c in some], words) - words + 1
+        # Between two texts stand the runs that hold words of the gap.
+        inside = np.repeat(np.tile([True, False], len(some)), np.column_stack([own, np.full(len(some), 2 * words - 1)]).ravel())
+        yield h[inside[:n]], np.repeat(np.arange(len(some), dtype=np.uint16), own)
+
+
+def _by_text(x: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
+    """The values of each of ``n`` texts, in the order that they have."""
+    return np.split(x[np.argsort(text, kind="stable")], np.cumsum(np.bincount(text, minlength=n))[:-1])
 
 
 def least_keys(texts: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
     """The keys of each text; ``frequent`` says of each slot whether it is."""
     out = []
-    for h in _key_shingles(texts):
-        late = frequent[slots(h)]
-        rare = h[~late]
-        x = np.unique(np.partition(rare, 2 * KEYS)[: 2 * KEYS]) if len(rare) > 3 * KEYS else np.unique(rare)
-        if len(x) < KEYS:
-            x = np.concatenate([np.unique(rare), np.unique(h[late])])
-        out.append(x[:KEYS].view(np.int64))
+    for h, text in _key_shingles(texts):
+        late, n = frequent[slots(h)], int(text[-1]) + 1
+        # The rare ones first. Of a text with many, those below a bound that leaves about 60: if they are enough, the least are among them.
+        many = np.bincount(text[~late], minlength=n)
+        bound = np.where(many > 80, 2.0**64 / np.maximum(many, 81) * 60, 2.0**63 * 1.99).astype(np.uint64)
+        small = np.flatnonzero(~late & ((h < bound[text]) | (many <= 80)[text]))
+        small = small[np.argsort(h[small])]
+        small = small[np.argsort(text[small], kind="stable")]
+        x, of = h[small], text[small]
+        once = np.ones(len(x), bool)
+        once[1:] = (x[1:] != x[:-1]) | (of[1:] != of[:-1])
+        x, of = x[once], of[once]
+        ends = np.cumsum(np.bincount(of, minlength=n))
+        starts = np.cumsum(np.bincount(text, minlength=n))
+        for i, (end, start) in enumerate(zip(ends, [0, *ends[:-1]])):
+            if end - start < KEYS:
+                own = slice(starts[i - 1] if i else 0, starts[i])
+                rare = np.unique(h[own][~late[own]]) if many[i] > 80 else x[start:end]
+                own_keys = rare if len(rare) >= KEYS else np.concatenate([rare, np.unique(h[own][late[own]])])
+            else:
+                own_keys = x[start:end]
+            out.append(own_keys[:KEYS].view(np.int64))
     return out
 
 
-def key_rows(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """What a text is looked up by: its keys, the hot ones joined with the next hot ones; ``hot`` says of each slot whether it is."""
-    u = keys.view(np.uint64)
+def key_rows(keys: list[np.ndarray], hot: np.ndarray) -> list[np.ndarray]:
+    """What each text is looked up by: its keys, the hot ones joined with the next hot ones; ``hot`` says of each slot whether it is."""
+    if not keys:
+        return []
+    u = np.concatenate(keys).view(np.uint64)
+    text = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     is_hot = hot[slots(u)]
-    h, rows = u[is_hot], [u[~is_hot]]
+    h, of = u[is_hot], text[is_hot]
+    rows, owners = [u[~is_hot]], [text[~is_hot]]
     for d in range(1, NEXT_KEYS + 1):
-        x = h[:-d] * _MIX[0] + h[d:] * _MIX[1]
+        same = of[:-d] == of[d:]
+        x = h[:-d][same] * _MIX[0] + h[d:][same] * _MIX[1]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9E3779B97F4A7C15)
         rows.append(x ^ x >> np.uint64(29))
-    out = np.concatenate(rows)
-    return (out if len(out) >= FEW_ROWS else np.concatenate([out, h])).view(np.int64)
+        owners.append(of[:-d][same])
+    few = (np.bincount(np.concatenate(owners), minlength=len(keys)) < FEW_ROWS)[of]
+    return _by_text(np.concatenate([*rows, h[few]]).view(np.int64), np.concatenate([*owners, of[few]]), len(keys))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -221,7 +277,11 @@ def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How many documents of one task fall into each slot, in chunks."""
     n = np.zeros(1 << SLOT_BITS, np.uint32)
     for p in parts:
-        seen = [np.unique(slots(h)) for h in _key_shingles([np.frombuffer(c, np.uint16) for c in p["codes"]])]
+        seen = []
+        for h, text in _key_shingles([np.frombuffer(c, np.uint16) for c in p["codes"]]):
+            # Each slot once for a text: of equal numbers beside each other the first.
+            x = np.sort(slots(h).astype(np.uint32) | text.astype(np.uint32) << np.uint32(SLOT_BITS))
+            seen.append(x[np.concatenate([[True], x[1:] != x[:-1]])] & np.uint32(len(n) - 1))
         if seen:
             n += np.bincount(np.concatenate(seen), minlength=len(n)).astype(np.uint32)
     yield pd.DataFrame({"chunk": np.arange(CHUNKS), "n": [x.tobytes() for x in np.split(n, CHUNKS)]})
@@ -301,7 +361,7 @@ class Landed:
             frequent, hot = (np.unpackbits(x).view(bool) for x in bits.value)
             for codes in parts:
                 own = least_keys([np.frombuffer(c, np.uint16) for c in codes], frequent)
-                yield pd.DataFrame({"own": [k.astype(np.int32) for k in own], "rows": [key_rows(k, hot) for k in own]}, index=codes.index)
+                yield pd.DataFrame({"own": [k.astype(np.int32) for k in own], "rows": key_rows(own, hot)}, index=codes.index)
 
         read = self.codes.filter("n_words > 0")
         narrow = read.select("batch_no", "doc_id", "exact")
@@ -321,14 +381,19 @@ def _nearness(bound: float):  # noqa: ANN202
 
     @F.pandas_udf(DoubleType())
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = ([np.frombuffer(c, np.uint16) for c in side] for side in (a, b))
-        out = []
-        for p, q, g, h in zip(x, y, _key_shingles(x, SHINGLE), _key_shingles(y, SHINGLE)):
-            # At least as many shingles in common as there are, of at most as many as there are: most pairs are far below the bound.
-            seen = np.zeros(1 << 16, bool)
-            seen[g & np.uint64(0xFFFF)] = True
-            both = np.count_nonzero(seen[h & np.uint64(0xFFFF)])
-            out.append(nearness(p, q, bound) if both >= least * np.count_nonzero(seen) else None)
+        out, seen = [], np.zeros(1 << 16, bool)
+        for first in range(0, len(a), 1024):
+            x, y = a[first : first + 1024], b[first : first + 1024]
+            # Most texts stand in several pairs: each is hashed once.
+            codes = {c: np.frombuffer(c, np.uint16) for c in (*x, *y)}
+            low = [p for h, text in _key_shingles(list(codes.values()), SHINGLE) for p in _by_text((h & np.uint64(0xFFFF)).astype(np.intp), text, int(text[-1]) + 1)]
+            of = dict(zip(codes, low))
+            for p, q in zip(x, y):
+                # At least as many shingles in common as there are, of at most as many as there are: most pairs are far below the bound.
+                seen[of[p]] = True
+                both, own = np.count_nonzero(seen[of[q]]), np.count_nonzero(seen)
+                seen[of[p]] = False
+                out.append(nearness(codes[p], codes[q], bound) if both >= least * own else None)
         return pd.Series(out, dtype="float64")
 
     return near

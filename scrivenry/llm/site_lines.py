@@ -27,10 +27,10 @@ def line_key(line: Column) -> Column:
 
 def chunk_lines(chunks: DataFrame, min_letters: int = 20) -> DataFrame:
     """(chunk_id, doc_id, source_id, reading_order, line_no, line, key): a row per line; key is null below ``min_letters``."""
-    lines = chunks.select("chunk_id", "doc_id", "source_id", "reading_order", F.posexplode(F.split("content", "\n", -1)).alias("at", "line"))
-    key = line_key(F.col("line"))
     # A 64-bit hash and the length stand for the letters: fixed width in every shuffle. Lines shorter than that need no regex.
-    keyed = lines.withColumn("letters", F.when(F.length("line") >= min_letters, key))
+    # The letters are taken where a text is divided: a filter on the key, pushed below a projection, would take them twice.
+    parts = F.transform(F.split("content", "\n", -1), lambda x: F.struct(x.alias("line"), F.when(F.length(x) >= min_letters, line_key(x)).alias("letters")))
+    keyed = chunks.select("chunk_id", "doc_id", "source_id", "reading_order", F.posexplode(parts).alias("at", "part")).select("*", "part.line", "part.letters")
     return keyed.select(
         "chunk_id", "doc_id", "source_id", "reading_order", (F.col("at") + 1).cast("long").alias("line_no"), "line",
         F.when(F.length("letters") >= min_letters, F.struct(F.xxhash64("letters").alias("h"), F.length("letters").alias("n"))).alias("key"),

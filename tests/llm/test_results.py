@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 
 from scrivenry.llm import abuse, arrivals, canonical, encoding, leaks, mixing, scans, site_lines
 
@@ -261,3 +262,43 @@ def test_values_beyond_the_old_bounds(spark):  # noqa: ANN001
     long_line = "this line of the site is long " * 20
     codes = arrivals._line_hash(long_line, 10_000)  # noqa: SLF001
     assert arrivals.plain_words(f"{long_line}\nown words", frozenset({codes}), 10_000) == ["own", "words"]
+
+
+def test_letters_of_lines_are_taken_once(spark):  # noqa: ANN001
+    chunks = spark.createDataFrame([(1, 1, "a", 0, "x")], "chunk_id long, doc_id long, source_id string, reading_order int, content string")
+    keys = site_lines.chunk_lines(chunks).filter("key is not null").select("source_id", "key", "doc_id").distinct()
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1  # noqa: SLF001
+
+
+def test_texts_of_several_pairs_are_hashed_once(monkeypatch):  # noqa: ANN001
+    hashed, plain = [], arrivals._key_shingles  # noqa: SLF001
+    monkeypatch.setattr(arrivals, "_key_shingles", lambda texts, *x: (hashed.extend(texts), plain(texts, *x))[1])
+    a, b, c = (np.random.default_rng(i).integers(0, 60_000, 200).astype(np.uint16) for i in range(3))
+    near = np.concatenate([a[:190], b[:10]])
+    found = arrivals._nearness(0.5).func(pd.Series([x.tobytes() for x in (a, a, a, near)]), pd.Series([x.tobytes() for x in (b, c, near, a[:3])]))  # noqa: SLF001
+    assert len(hashed) == 5
+    assert [x is not None and x == x for x in found] == [False, False, True, False]
+    assert found[2] == arrivals.similarity(a, near)
+
+
+def test_keys_of_many_texts_at_once():  # noqa: ANN201
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 3 if i % 7 == 0 else 60_000, (1, 4, 6, 9, 40, 130, 700)[i % 5 if i < 300 else i % 7]).astype(np.uint16) for i in range(600)]
+    frequent, hot = r.random(1 << arrivals.SLOT_BITS) < 0.6, r.random(1 << arrivals.SLOT_BITS) < 0.5
+    keys = arrivals.least_keys(texts, frequent)
+    for c, own, rows in zip(texts, keys, arrivals.key_rows(keys, hot)):
+        h = arrivals.shingles(c, arrivals.KEY_SHINGLE)
+        late = frequent[arrivals.slots(h)]
+        assert own.view(np.uint64).tolist() == [*h[~late], *h[late]][: arrivals.KEYS]
+        assert rows.tolist() == arrivals.key_rows([own], hot)[0].tolist()
+
+
+def test_words_by_bytes_are_those_of_the_folded_text():  # noqa: ANN201
+    r = random.Random(2)
+    signs = "abcXYZ019 -\n\t.,|'_‐¬­–’“é  ÉİΣς™²½ﬁµªº…​ßŁ한"
+    for i in range(3000):
+        x = "".join(r.choice(signs) for _ in range(1 + i % 40))
+        lines = [line for line in x.split("\n") if not arrivals._NUMBER_LINE.fullmatch(line)]  # noqa: SLF001
+        whole = arrivals.folded("\n".join(lines))
+        assert arrivals.plain_words(x) == arrivals._WORD.findall(arrivals._BREAK.sub("", whole)), repr(x)  # noqa: SLF001
+    assert arrivals.plain_words("L’été, ½ Straße\n– 12 –\nＡＢＣ") == ["l", "ete", "1", "2", "straße", "abc"]
